@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, packing, secrets
+from . import jaccard, lines, packing, secrets
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard.similarity_components(_docs(spark, sf_dir).select("doc_id", "text"), size=3, num=90, den=100)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_docs(spark, sf_dir))
 
@@ -27,6 +32,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op5_line_dedup": op5_line_dedup,
     "op8_secret_scan": op8_secret_scan,
