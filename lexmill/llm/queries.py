@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, language, lines, packing, secrets, toxicity
+from . import jaccard, language, lines, packing, secrets, substrings, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.dedup_substrings(_docs(spark, sf_dir).select("doc_id", "text"), length=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -44,6 +49,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_language_id": op3_language_id,
     "op5_line_dedup": op5_line_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_secret_scan": op8_secret_scan,
 }
