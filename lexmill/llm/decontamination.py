@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ._words import NOT_ALNUM, Words, join, mix
 
 STRIDE, LONGEST_WINDOW, SHORTEST = 3, 12, 8
-SAMPLED = 6
+SAMPLED = 8
 #: Words of benchmark text handled in one pass over the documents; longer benchmarks take several.
 BLOCK_WORDS = 200_000
 MATCHES = "item_id long, edits int, item_words int, first_word long, end_word long"
@@ -35,8 +35,8 @@ MATCHES = "item_id long, edits int, item_words int, first_word long, end_word lo
 
 def repeats_for(recall: float, edit_share: float, sampled: int = SAMPLED) -> int:
     """Walks needed for the recall of one aligned window, if each sampled place agrees with a chance of
-    1 - 2 edit_share."""
-    agree = (1 - 2 * edit_share) ** sampled
+    1 - edit_share."""
+    agree = (1 - edit_share) ** sampled
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
 
 
@@ -98,7 +98,7 @@ class ItemIndex:
         self.max_edits = max_edits
         shortest = min((len(h) for _, h in self.items), default=SHORTEST)
         self.size = int(np.clip(shortest - STRIDE + 1, SHORTEST - STRIDE + 1, LONGEST_WINDOW))
-        self.walks = Walks(self.size, repeats_for(recall, max_edits / 2))
+        self.walks = Walks(self.size, repeats_for(recall, max_edits / 2, SAMPLED))
         owner, offset, flat, at = [], [], [], 0
         for k, (_, h) in enumerate(self.items):
             for o in range(len(h) - self.size + 1):
@@ -166,6 +166,9 @@ class ItemIndex:
             return
         most = int(self.max_edits * len(h))
         low, high = max(int(bounds[k]), start - most), min(int(bounds[k + 1]), start + len(h) + most)
+        near = set(hashes[low:high].tolist())
+        if sum(w not in near for w in h.tolist()) > most:  # each absent word is an edit
+            return
         edits, first, end = edit_distance(h, hashes[low:high])
         if edits <= most and (old is None or (edits, low + first) < old[:2]):
             found[k, item] = edits, low + first, low + end
