@@ -105,9 +105,9 @@ def _highs(num: int, den: int, up_to: int) -> np.ndarray:
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    """For each of some n/2 to n cells of the domain, its hashes' sum modulo 256: two sets differ in at
+    """For each of n to 2 n cells of the domain, its hashes' sum modulo 256: two sets differ in at
     least as many shingles as their sketches in cells."""
-    cells = max(64, 1 << (len(shingles) // 2).bit_length())
+    cells = max(64, 1 << len(shingles).bit_length())
     cut = np.searchsorted(shingles, np.arange(1, cells, dtype="u8") * np.uint64(2**64 // cells))
     sums = np.zeros(len(shingles) + 1, "u8")
     np.cumsum(mix(shingles), out=sums[1:])
@@ -241,10 +241,14 @@ def _cross_pairs(num: int, den: int):
                 yield from ((int(node[i]), int(node[k])) for k in j)
 
     def run(batches):
-        rest = None
+        rest, seen = None, set()
 
         def out(group):
-            pairs = list(compare(group)) if group.num_rows > 1 else []
+            if len(seen) > 1 << 20:
+                seen.clear()
+            # A pair that shares several signatures of a task is told once.
+            pairs = [p for p in compare(group) if p not in seen] if group.num_rows > 1 else []
+            seen.update(pairs)
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
