@@ -92,33 +92,32 @@ def _emit_windows(length: int):
         for batch in batches:
             w = [windows(np.frombuffer(x.as_py(), "u8"), length) for x in batch.column("words")]
             count = [len(x) for x in w]
-            doc, start = (np.repeat(batch.column(c).to_numpy(), count) for c in ("doc", "start"))
-            within = np.concatenate([np.zeros(0, "i8"), *(np.arange(n) for n in count)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, "u8"), *w]).view("i8")), pa.array(doc), pa.array(start + within.astype("i8"))], names=["w", "doc", "pos"])
+            t, doc, start = (np.repeat(batch.column(c).to_numpy(), count) for c in ("t", "doc", "start"))
+            within = np.concatenate([np.zeros(0, "i4"), *(np.arange(n, dtype="i4") for n in count)])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate([np.zeros(0, "u8"), *w]).view("i8"), t, doc, start, within)], names=["w", "t", "doc", "start", "pos"])
 
     return run
 
 
 def _route(length: int, shards: int):
-    """Reference passages (kind 0) and stretches to look up (kind 1) of each run, for their shards."""
+    """Reference passages (kind 0) and stretches to look up (kind 1) of each run, for their shards.
+
+    pos and low are a run's repeated windows (from its start) and the smallest document that has each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for t, doc, start, raw, found in zip(*(batch.column(c).to_pylist() for c in ("t", "doc", "start", "words", "found")), strict=True):
-                words = np.frombuffer(raw, "u8")
-                pos = np.array([f["pos"] for f in found], "i8") - start
-                low = np.array([f["low"] for f in found], "i8")
-                own = (pos >= 0) & (pos <= len(words) - length)
-                pos, low = pos[own], low[own]
-                order = np.argsort(pos, kind="stable")
-                pos, low = pos[order], low[order]
-                shard = low % shards
-                for kind, mask in ((0, low == doc), (1, low < doc)):
-                    for s in np.unique(shard[mask]).tolist():
-                        for a, b in _stretches(np.unique(pos[mask & (shard == s)])):
-                            rows.append((s, kind, t, doc, start + a, words[a : b + length].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], x) for k, x in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["shard", "kind", "t", "doc", "start", "words"])
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1000):
+                batch, rows = whole.slice(k, 1000), []
+                for t, doc, start, raw, at, lowest in zip(*(batch.column(c).to_pylist() for c in ("t", "doc", "start")), *(batch.column(c) for c in ("words", "pos", "low")), strict=True):
+                    words = np.frombuffer(raw.as_py(), "u8")
+                    pos, low = at.values.to_numpy(zero_copy_only=False), lowest.values.to_numpy(zero_copy_only=False)
+                    shard = low % shards
+                    for kind, mask in ((0, low == doc), (1, low < doc)):
+                        for s in np.unique(shard[mask]).tolist():
+                            for a, b in _stretches(np.unique(pos[mask & (shard == s)])):
+                                rows.append((s, kind, t, doc, start + a, words[a : b + length].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], x) for c, x in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["shard", "kind", "t", "doc", "start", "words"])
 
     return run
 
@@ -234,13 +233,13 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
     by_m = Window.partitionBy("m")
     shared = found.withColumns({"low": F.min("t").over(by_m), "high": F.max("t").over(by_m)}).filter("low <> high").groupBy("t").agg(F.collect_set("m").alias("shared"))
     runs = materialise(texts.join(shared, "t").mapInArrow(_emit_runs(length), "t long, doc long, start long, words binary").distinct(), "runs")
-    seen = runs.mapInArrow(_emit_windows(length), "w long, doc long, pos long")
+    seen = runs.mapInArrow(_emit_windows(length), "w long, t long, doc long, start long, pos int")
     low = seen.groupBy("w").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low <> high").select("w", "low")
-    verdict = seen.join(low, "w").groupBy("doc").agg(F.collect_list(F.struct("pos", "low")).alias("found"))
+    verdict = seen.join(low, "w").groupBy("t", "start").agg(F.collect_list(F.struct("pos", "low")).alias("found"))
     # Shards by the words of all runs, an upper bound on those of the passages.
     words = runs.agg(F.coalesce(F.sum(F.length("words")), F.lit(0)).alias("n")).first()["n"] // 8
     shards = int(max(1, words // SHARD_WORDS))
-    routed = materialise(runs.join(verdict, "doc").mapInArrow(_route(length, shards), "shard long, kind int, t long, doc long, start long, words binary"), "routed")
+    routed = materialise(runs.join(verdict, ["t", "start"]).select("t", "doc", "start", "words", F.col("found.pos").alias("pos"), F.col("found.low").alias("low")).mapInArrow(_route(length, shards), "shard long, kind int, t long, doc long, start long, words binary"), "routed")
     tasks = routed.filter("kind = 1").groupBy("shard").agg(F.ceil(F.count("*") / TASK_STRETCHES).cast("int").alias("tasks"))
     dealt = routed.join(tasks, "shard").withColumn("task", F.when(F.col("kind") == 0, F.sequence(F.lit(0), F.col("tasks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("t", "start"), "tasks").cast("int"))))
     spans = dealt.select("shard", F.explode("task").alias("task"), "kind", "t", "doc", "start", "words").groupBy("shard", "task").applyInPandas(_match(length), "t long, first long, end long")
