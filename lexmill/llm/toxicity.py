@@ -133,9 +133,12 @@ class LabelModel:
             q = self.posterior(patterns)
         return q
 
-    def fit(self, patterns: np.ndarray, counts: np.ndarray, start: np.ndarray, least: float = 0.02, largest: int = 3) -> LabelModel:
-        """Accuracies with independent voters first; then pairs correlated beyond that are joined and all fitted anew."""
-        q = self._em(patterns, counts, start)
+    def fit(self, patterns: np.ndarray, counts: np.ndarray, start: np.ndarray, least: float = 0.1, largest: int = 3) -> LabelModel:
+        """Pairs correlated beyond the starting labels are joined, strongest first, then all is fitted by EM.
+
+        Correlations come first: else EM takes the agreement of two copies of a voter for the label.
+        """
+        self._em(patterns, counts, start, 1)
         total, bits = counts.sum(), [(patterns >> j & 1).astype(float) for j in range(self.voters)]
         excess = []
         for i, j in combinations(range(self.voters), 2):
@@ -148,7 +151,7 @@ class LabelModel:
             a, b = (next(g for g in self.groups if k in g) for k in (i, j))
             if size >= least and a != b and len(a) + len(b) <= largest:
                 self.groups = [g for g in self.groups if g not in (a, b)] + [a + b]
-        self._em(patterns, counts, q)
+        self._em(patterns, counts, start)
         return self
 
 
