@@ -32,8 +32,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that are in ten or more documents; documents stay, if need be empty."""
     out = lines.dedup_lines(docs, min_docs=10, min_chars=1)
     changed = F.col("n_dropped") > 0
-    text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
-    return out.select("doc_id", text.alias("text"), "lang", "source", F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def dedup_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -40,3 +41,16 @@ def release(df: DataFrame) -> None:
         if "/lexmill-" in f:
             hadoop = spark._jvm.org.apache.hadoop.fs.Path(f)
             hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def packed(docs: DataFrame, new: tuple[str, ...]) -> DataFrame:
+    """docs as _row (all columns but text, and but those that an operator adds) and _text: no name of a
+    caller's column can clash with an operator's own."""
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != "text" and c not in new]
+    row = F.struct(*kept) if kept else F.struct(F.lit(None).cast("string").alias("_none"))
+    return docs.select(row.alias("_row"), F.col("text").cast("string").alias("_text"))
+
+
+def fields_of(df: DataFrame, leave: tuple[str, ...] = ()) -> list[str]:
+    """DDL of df's columns, for the schema of a mapInArrow."""
+    return [f"`{x.name}` {x.dataType.simpleString()}" for x in df.schema.fields if x.name not in leave]

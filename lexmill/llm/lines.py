@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import materialise, scratch_path
+from ._store import fields_of, materialise, packed, scratch_path
 
 #: Stripped at both ends of a line: \x20 and \x09 to \x0d.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -60,8 +60,8 @@ class LineRuns:
 
 
 def _with_text_hash(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select("*", text.alias("_text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("2"), text).alias("t2"))
+    text = F.coalesce("_text", F.lit(""))
+    return docs.select("_row", text.alias("_text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("2"), text).alias("t2"))
 
 
 def _hash_lines(min_chars: int):
@@ -87,7 +87,7 @@ def _hash_lines(min_chars: int):
 
 
 def line_keys(docs: DataFrame, min_chars: int = 1) -> DataFrame:
-    """A row for each line of each document: text hash, position, key hash, whether first of its key there."""
+    """A row for each line of each packed document: text hash, position, key hash, whether first of its key there."""
     return _with_text_hash(docs).select("t1", "t2", "_text").mapInArrow(_hash_lines(min_chars), _KEYS)
 
 
@@ -108,20 +108,20 @@ def _drop_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def drop_frequent_lines(docs: DataFrame, keys: DataFrame, frequent: DataFrame) -> DataFrame:
-    """docs with kept_text, n_lines, n_dropped; keys are docs' line_keys, frequent the hashes to drop.
+    """Packed docs' columns with kept_text, n_lines, n_dropped; keys are their line_keys, frequent the hashes to drop.
 
     Lines are found by their text's hash, so copies of a text share one list of positions.
     """
     hits = keys.select("t1", "t2", "pos", "h1", "h2").join(frequent, ["h1", "h2"], "left_semi")
     drops = hits.groupBy("t1", "t2").agg(F.collect_set("pos").alias("_drops"))
     joined = _with_text_hash(docs).join(drops, ["t1", "t2"], "left").drop("t1", "t2")
-    fields = [f"`{x.name}` {x.dataType.simpleString()}" for x in joined.schema.fields if x.name not in ("_text", "_drops")]
-    return joined.mapInArrow(_drop_lines, ", ".join([*fields, "kept_text string, n_lines long, n_dropped long"]))
+    out = joined.mapInArrow(_drop_lines, ", ".join([*fields_of(joined, ("_text", "_drops")), "kept_text string, n_lines long, n_dropped long"]))
+    return out.select("_row.*", "kept_text", "n_lines", "n_dropped")
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 3) -> DataFrame:
-    """All columns of docs with kept_text, n_lines, n_dropped; documents come in as so many batches."""
-    runs = LineRuns(docs.sparkSession, fanout)
+    """docs' columns but text, with kept_text, n_lines, n_dropped; documents come in as so many batches."""
+    docs, runs = packed(docs, ("kept_text", "n_lines", "n_dropped")), LineRuns(docs.sparkSession, fanout)
     keys = materialise(line_keys(docs, min_chars).withColumn("batch", F.pmod("t1", F.lit(batches)).cast("int")), "lines")
     for k in range(batches):
         runs.add(keys.filter((F.col("batch") == k) & F.col("once")).select("h1", "h2"))

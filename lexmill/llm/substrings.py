@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import materialise
+from ._store import fields_of, materialise, packed
 from ._words import Words, join, windows
 
 #: Words of a run whose hash stands for the window.
@@ -248,8 +248,7 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
 
 def dedup_substrings(docs: DataFrame, length: int = 13) -> DataFrame:
     """docs' columns but text, with kept_text (words joined by a space), n_words, n_removed."""
-    docs = docs.drop("kept_text", "n_words", "n_removed").withColumn("_text", F.col("text").cast("string")).drop("text")
-    keyed = docs.withColumn("t", F.xxhash64("_text"))
+    keyed = packed(docs, ("kept_text", "n_words", "n_removed")).withColumns({"t": F.xxhash64("_text"), "doc_id": F.col("_row.doc_id").cast("long")})
     first = keyed.filter("doc_id IS NOT NULL").groupBy("t").agg(F.min("doc_id").alias("first_doc"))
     texts = keyed.filter("doc_id IS NOT NULL").select("t", "doc_id", "_text")
     firsts = texts.join(first, "t").filter("doc_id = first_doc").select("t", "doc_id", "_text")
@@ -258,6 +257,6 @@ def dedup_substrings(docs: DataFrame, length: int = 13) -> DataFrame:
     joined = keyed.join(first.join(spans, "t", "left"), "t", "left")
     copy = F.coalesce(F.col("doc_id") > F.col("first_doc"), F.lit(False)) & (F.size(F.filter(F.split(F.col("_text"), r"[ \t-\r]+", length + 2), lambda x: x != "")) >= length)
     every = F.array(F.struct(F.lit(0).cast("long").alias("first"), F.lit(1 << 40).cast("long").alias("end")))
-    marked = joined.withColumn("_spans", F.when(copy, every).when(F.col("doc_id").isNotNull() & (F.col("doc_id") == F.col("first_doc")), F.col("spans"))).drop("t", "first_doc", "spans")
-    fields = [f"`{x.name}` {x.dataType.simpleString()}" for x in marked.schema.fields if x.name not in ("_text", "_spans")]
-    return marked.mapInArrow(_remove, ", ".join([*fields, "kept_text string, n_words long, n_removed long"]))
+    marked = joined.withColumn("_spans", F.when(copy, every).when(F.col("doc_id").isNotNull() & (F.col("doc_id") == F.col("first_doc")), F.col("spans"))).select("_row", "_text", "_spans")
+    out = marked.mapInArrow(_remove, ", ".join([*fields_of(marked, ("_text", "_spans")), "kept_text string, n_words long, n_removed long"]))
+    return out.select("_row.*", "kept_text", "n_words", "n_removed")
