@@ -203,3 +203,24 @@ def test_streaming_equals_batch_and_whole_run(spark, tmp_path):
     assert streamed == {(r["fact_id"], r["concept"]) for r in batch.collect()} and streamed
     out = pipeline.run(docs, options)
     assert out["pages"].count() > 0 and out["evaluation"].first()["total_concepts"] == out["facts"].select("concept").distinct().count()
+
+
+def test_model_steps(spark, sample):
+    from lexmill.plans import model_steps as steps
+
+    names = facts.concepts_of(sample)
+    cache = spark.createDataFrame([("Net Margin", "Net Profit Margin")], "name string, canonical string")
+    found = steps.canonical_names(names, cache, models.Rule(lambda p: '{"Gross Margin": null, "Order Book": "Orders", "Foreign": "X"}'))
+    assert {tuple(r) for r in found.collect()} == {("Net Margin", "Net Profit Margin"), ("Gross Margin", None), ("Order Book", "Orders")}
+    assert {r["concept"] for r in merge.apply_canonical(sample, found).collect()} == {"Net Profit Margin", "Gross Margin", "Orders"}
+    proposals = steps.consolidation_proposals(names, models.Rule(lambda p: 'x {"Order Book": "Net Margin", "Gross Margin": "Net Margin"} y'))
+    assert {r["concept"] for r in merge.consolidate(sample, proposals, least=2).collect()} == {"Gross Margin", "Net Margin"}
+    richer = steps.enrich_thin(sample, models.Rule(lambda p: '["one more", "two more", "three more", "four more"]'), least=3)
+    assert richer.groupBy("concept").count().filter("concept = 'Net Margin'").first()["count"] == 4 and richer.count() == 11
+    assert steps.enrich_thin(sample, models.Rule(lambda p: "no json"), least=3).count() == 7
+    pages = render.wiki_pages(facts.clean_facts(sample))
+    written = {r["concept"]: r["markdown"] for r in steps.synthesized(pages, sample, models.Rule(lambda p: "<think>x</think>About it (fact 1, 2).\n## See Also\nz" if "Order" in p else "", "rule")).collect()}
+    assert "About it." in written["Order Book"] and "generated_by_backend: rule" in written["Order Book"] and "<think>" not in written["Order Book"]
+    assert written["Net Margin"].startswith("---\nfallback_reason: empty answer\n")
+    matched = steps.matched_pages(spark.createDataFrame([("Gross Margin Basics",), ("Other",)], "title string"), sample)
+    assert [tuple(r) for r in matched.collect()] == [("Gross Margin Basics", "Gross Margin")]
