@@ -70,15 +70,23 @@ def page_facts(vault: DataFrame, plain: int = 2) -> DataFrame:
 
 
 def write_vault(pages: DataFrame, path: str) -> int:
-    """Writes title.md files through Hadoop's file system from the executors; equal file names keep the
-    first title and the others get a number.  Returns the number of pages."""
+    """Writes <title>.md files with Hadoop's file system, so to any store; equal file names keep the first
+    title and the others get a number.  Pages stream through the driver one partition at a time, as a
+    vault is a folder for people; large results are better written as a table.  Returns the number of pages."""
     from pyspark.sql import Window
 
     place = F.row_number().over(Window.partitionBy("file").orderBy("title"))
     rows = pages.select("title", safe_filename(F.col("title")).alias("file"), "markdown").withColumn("n", place)
     named = rows.select(F.when(F.col("n") == 1, F.col("file")).otherwise(F.concat_ws(" ", "file", "n")).alias("file"), "markdown")
-    named.write.mode("overwrite").partitionBy("file").option("compression", "none").text(path)
-    return named.count()
+    spark, n = pages.sparkSession, 0
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    system = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for row in named.toLocalIterator():
+        out = system.create(hadoop(f"{path}/{row['file']}.md"), True)
+        out.write(bytearray(row["markdown"], "utf-8"))
+        out.close()
+        n += 1
+    return n
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:

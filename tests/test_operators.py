@@ -166,6 +166,7 @@ def test_sources_round_trip(spark, tmp_path, sample):
     readers.update_cache(readers.read_cache(spark, str(tmp_path / "cache")), answers, str(tmp_path / "cache"))
     assert [tuple(r) for r in readers.read_cache(spark, str(tmp_path / "cache")).collect()] == [("a", "A")]
     assert readers.write_vault(spark.createDataFrame([("A/B", "x"), ("AB", "y")], "title string, markdown string"), str(tmp_path / "out")) == 2
+    assert {f.name: f.read_text() for f in (tmp_path / "out").glob("*.md")} == {"AB.md": "x", "AB 2.md": "y"}
 
 
 def test_configuration():
