@@ -35,8 +35,8 @@ def contains_any(x: Column, terms: list[str]) -> Column:
 
 def fold_unicode(x: Column) -> Column:
     """Typographic signs as ASCII: dashes, quotes, ellipsis, no-break space, soft hyphen, bullet."""
-    one = F.translate(x, "–‒‘’“” •­", "--''\"\" *")
-    return F.replace(F.replace(F.replace(one, F.lit("—"), F.lit("--")), F.lit("―"), F.lit("--")), F.lit("…"), F.lit("..."))
+    one = F.translate(x, "\u2013\u2012\u2018\u2019\u201c\u201d\u00a0\u2022\u00ad", "--''\"\" *")
+    return F.replace(F.replace(F.replace(one, F.lit("\u2014"), F.lit("--")), F.lit("\u2015"), F.lit("--")), F.lit("\u2026"), F.lit("..."))
 
 
 def sentences(x: Column) -> Column:
