@@ -79,7 +79,7 @@ def chunk_pack(spark, sf_dir):
     return chunks.chunk_documents(load(spark, sf_dir, "documents")).select("doc_id", F.col("chunk_seq").cast("long").alias("chunk_seq"), F.col("n_words").cast("long").alias("n_words"))
 
 
-@query("""SELECT conv_id, turn, md5(replace(replace(replace(translate(replace(text, '­', ''), '–‒‘’“” •', '--''''"" *'), '\u2014', '--'), '\u2015', '--'), '\u2026', '...')) AS folded FROM conversations""")
+@query("""SELECT conv_id, turn, md5(replace(replace(replace(translate(replace(text, '\u00ad', ''), '\u2013\u2012\u2018\u2019\u201c\u201d\u00a0\u2022', '--''''"" *'), '\u2014', '--'), '\u2015', '--'), '\u2026', '...')) AS folded FROM conversations""")
 def unicode_fold(spark, sf_dir):
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(text.fold_unicode(F.col("text"))).alias("folded"))
 
