@@ -36,7 +36,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each component of near copies the row of the smallest doc_id; texts without words stay."""
+    """Keeps of each component of near copies the row of the smallest doc_id; texts without words stay, and
+    rows that repeat a kept id."""
     classed = jaccard.similarity_components(docs.select("doc_id", "text"), SHINGLE, NUM, DEN)
     kept = classed.filter((F.col("n_shingles") == 0) | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
     # Rows without an id can't be told apart and stay.

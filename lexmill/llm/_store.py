@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -34,13 +35,10 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(df: DataFrame) -> None:
-    """Delete the files behind a materialised table that no later plan reads."""
-    spark = df.sparkSession
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        if "/lexmill-" in f:
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(f)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+def drop_finished_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner see that plans of finished steps are gone, so that it deletes their shuffle files."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def packed(docs: DataFrame, new: tuple[str, ...]) -> DataFrame:

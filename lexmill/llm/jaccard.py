@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import materialise
+from ._store import drop_finished_shuffles, fields_of, materialise, packed
 from ._words import Words, join, mix, windows
 from .components import connected_components
 
@@ -105,19 +105,39 @@ def _highs(num: int, den: int, up_to: int) -> np.ndarray:
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    """For each of n to 2 n cells of the domain, its hashes' sum modulo 256: two sets differ in at
-    least as many shingles as their sketches in cells."""
-    cells = max(64, 1 << len(shingles).bit_length())
+    """For each of n/2 to n cells of the domain, 14 bits of its hashes' sum and 2 of their number."""
+    cells = max(64, 1 << (len(shingles) // 2).bit_length())
     cut = np.searchsorted(shingles, np.arange(1, cells, dtype="u8") * np.uint64(2**64 // cells))
     sums = np.zeros(len(shingles) + 1, "u8")
     np.cumsum(mix(shingles), out=sums[1:])
     edges = np.concatenate([[0], cut, [len(shingles)]])
-    return (sums[edges[1:]] - sums[edges[:-1]]).astype("u1")
+    return ((sums[edges[1:]] - sums[edges[:-1]]) << np.uint64(2) | (np.diff(edges) & 3).astype("u8")).astype("<u2")
 
 
 def fold(cells: np.ndarray, n: int) -> np.ndarray:
     """Sketches (in the last axis) of n cells, from such of a multiple."""
-    return cells.reshape(*cells.shape[:-1], n, -1).sum(axis=-1, dtype="u1")
+    wide = cells.reshape(*cells.shape[:-1], n, -1)
+    return ((wide >> 2).sum(axis=-1, dtype="u2") << 2 | (wide & 3).sum(axis=-1, dtype="u2") & 3).astype("u2")
+
+
+#: By the difference of two cells' numbers modulo 4, and whether the cells differ: shingles in only one at least.
+_LEAST = np.array([[0, 1, 2, 1], [2, 1, 2, 1]], "u1")
+
+
+def least_difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many shingles two sets differ at least, by their sketches of as many cells."""
+    return _LEAST[(a != b).astype("u1"), ((a & 3) - (b & 3)) & 3].sum(axis=-1, dtype="i8")
+
+
+def coarse(cells: np.ndarray) -> np.ndarray:
+    """A sketch of half as many cells of one byte: 6 bits of the sum and 2 of the number."""
+    x = fold(cells, len(cells) // 2)
+    return ((x >> 2 & 63) << 2 | x & 3).astype("u1")
+
+
+def fold_coarse(cells: np.ndarray, n: int) -> np.ndarray:
+    wide = cells.reshape(n, -1)
+    return (((wide >> 2).sum(axis=1, dtype="u1") & 63) << 2 | (wide & 3).sum(axis=1, dtype="u1") & 3).astype("u1")
 
 
 def shingle_sets(texts: list[str | None], size: int) -> Iterator[np.ndarray]:
@@ -172,7 +192,7 @@ def _sign(size: int, num: int, den: int):
 
 
 def _describe(size: int, whole: bool):
-    """(node, n, data) once for each node in a task; data is the set's bytes or its sketch's."""
+    """(node, n, data, coarse) once for each node in a task: the set's bytes, or its sketches'."""
 
     def run(batches):
         seen: set[int] = set()
@@ -182,8 +202,9 @@ def _describe(size: int, whole: bool):
                 for s in shingle_sets(part, size):
                     if len(s) and (node := _set_id(s)) not in seen:
                         seen.add(node)
-                        rows.append((node, len(s), s.tobytes() if whole else sketch(s).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["node", "n", "data"])
+                        cells = None if whole else sketch(s)
+                        rows.append((node, len(s), s.tobytes(), None) if whole else (node, len(s), cells.tobytes(), coarse(cells).tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["node", "n", "data", "coarse"])
 
     return run
 
@@ -200,7 +221,7 @@ def _sketch_filter(num: int, den: int):
             for na, a, nb, b in zip(batch.column("na").to_pylist(), batch.column("da"), batch.column("nb").to_pylist(), batch.column("db"), strict=True):
                 x, y = np.frombuffer(a.as_py(), "u1"), np.frombuffer(b.as_py(), "u1")
                 c = min(len(x), len(y))
-                keep.append(bool(_may_link(np.array(na), nb, (fold(x, c) != fold(y, c)).sum(), num, den)))
+                keep.append(bool(_may_link(np.array(na), nb, least_difference(fold_coarse(x, c), fold_coarse(y, c)), num, den)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -229,7 +250,7 @@ def _cross_pairs(num: int, den: int):
     def compare(group: pa.RecordBatch):
         side = group.column("side").to_numpy()
         node, root, n = (group.column(c).to_numpy() for c in ("node", "root", "n"))
-        raw = [np.frombuffer(x.as_py(), "u1") for x in group.column("data")]
+        raw = [np.frombuffer(x.as_py(), "<u2") for x in group.column("data")]
         c = min(map(len, raw))
         cells = np.stack([fold(x, c) for x in raw])
         right = np.flatnonzero(side == 1) if side.any() else np.arange(len(side))
@@ -237,7 +258,7 @@ def _cross_pairs(num: int, den: int):
             j = right[right > i] if not side.any() else right
             j = j[(root[j] != root[i]) & (den * np.minimum(n[j], n[i]) >= num * np.maximum(n[j], n[i]))]
             if len(j):
-                j = j[_may_link(n[j], int(n[i]), (cells[j] != cells[i]).sum(axis=1), num, den)]
+                j = j[_may_link(n[j], int(n[i]), least_difference(cells[j], cells[i]), num, den)]
                 yield from ((int(node[i]), int(node[k])) for k in j)
 
     def run(batches):
@@ -267,10 +288,13 @@ def _cross_pairs(num: int, den: int):
     return run
 
 
-def _with(pairs: DataFrame, described: DataFrame) -> DataFrame:
-    left = described.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("data").alias("da"))
-    right = described.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("data").alias("db"))
-    return pairs.join(left, "a").join(right, "b")
+def _with(pairs: DataFrame, described: DataFrame, data: str, num: int, den: int) -> DataFrame:
+    """pairs of sizes that allow a link, with both sides' data."""
+    left = described.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col(data).alias("da"))
+    sizes = described.select(F.col("node").alias("b"), F.col("n").alias("nb"))
+    fit = den * F.least("na", "nb") >= num * F.greatest("na", "nb")
+    own = pairs.join(sizes, "b").join(left.select("a", "na"), "a").filter(fit)
+    return own.join(left.select("a", "da"), "a").join(described.select(F.col("node").alias("b"), F.col(data).alias("db")), "b")
 
 
 def similarity_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, block: int = BLOCK) -> DataFrame:
@@ -280,10 +304,8 @@ def similarity_components(docs: DataFrame, size: int = 5, num: int = 80, den: in
     """
     spark = docs.sparkSession
     text = docs.select(F.col("text").cast("string").alias("_text"))
-    rest = docs.drop("n_shingles", "node", "component_id", "_text", "_key").withColumnRenamed("text", "_text").withColumn("_text", F.col("_text").cast("string"))
-    keyed = rest.withColumn("_key", F.xxhash64("_text"))
-    fields = [f"`{x.name}` {x.dataType.simpleString()}" for x in keyed.schema.fields if x.name != "_text"]
-    profile = materialise(keyed.mapInArrow(_profile(size), ", ".join([*fields, "n_shingles long, node long"])), "profile")
+    keyed = packed(docs, ("n_shingles", "component_id")).select("_row", F.col("_row.doc_id").cast("long").alias("doc_id"), "_text", F.xxhash64("_text").alias("_key"))
+    profile = materialise(keyed.mapInArrow(_profile(size), ", ".join([*fields_of(keyed, ("_text",)), "n_shingles long, node long"])), "profile")
     keys = profile.filter("node IS NOT NULL").groupBy("node").agg(F.min("_key").alias("_key"), F.count("*").alias("copies"))
 
     # One shuffle of all signatures; those of a single set end here.
@@ -291,26 +313,32 @@ def similarity_components(docs: DataFrame, size: int = 5, num: int = 80, den: in
     by_sig = Window.partitionBy("sig")
     shared = signed.withColumns({"pivot": F.min("node").over(by_sig), "last": F.max("node").over(by_sig)}).filter("pivot <> last").select("sig", "node", "pivot").distinct()
     shared = materialise(shared, "shared")
+    del signed
+    drop_finished_shuffles(spark)
 
     def described(nodes: DataFrame, whole: bool) -> DataFrame:
         """Sets or sketches of nodes, read again from the texts of one copy each."""
         wanted = nodes.join(keys, "node").select("_key").distinct()
         own = text.withColumn("_key", F.xxhash64("_text")).join(wanted, "_key", "left_semi").select("_text")
-        return own.mapInArrow(_describe(size, whole), "node long, n long, data binary").dropDuplicates(["node"])
+        return own.mapInArrow(_describe(size, whole), "node long, n long, data binary, coarse binary").dropDuplicates(["node"])
 
     def exact(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        return _with(pairs, described(nodes, True)).select("a", "b", "da", "db").mapInArrow(_exact_filter(num, den), "a long, b long")
+        return _with(pairs, materialise(described(nodes, True).select("node", "n", "data"), "sets"), "data", num, den).select("a", "b", "da", "db").mapInArrow(_exact_filter(num, den), "a long, b long")
 
     sketches = materialise(described(shared.select("node").distinct(), False), "sketches")
     stars = shared.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    stars = materialise(_with(stars, sketches).mapInArrow(_sketch_filter(num, den), "a long, b long"), "stars")
+    stars = materialise(_with(stars, sketches, "coarse", num, den).mapInArrow(_sketch_filter(num, den), "a long, b long"), "stars")
+    drop_finished_shuffles(spark)
     links = materialise(exact(stars), "links").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    drop_finished_shuffles(spark)
     roots = materialise(connected_components(links), "roots")
 
     # Signatures whose members are still in several components.
     member = shared.select("sig", "node").join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
-    open_ = member.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).filter("low <> high")
+    open_ = member.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum1"), F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(38,0)")).alias("sum2")).filter("low <> high")
+    # Of signatures with the same members one is enough; two sums of hashes tell sets of members apart.
+    open_ = materialise(open_.groupBy("low", "high", "members", "sum1", "sum2").agg(F.min("sig").alias("sig")).select("sig", "members"), "open")
     blocks = F.ceil(F.col("members") / block).cast("int")
     member = member.join(open_, "sig").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # A member of block b meets every other block once; groups of one block meet themselves.
@@ -319,10 +347,11 @@ def similarity_components(docs: DataFrame, size: int = 5, num: int = 80, den: in
     wide = dealt.join(sketches, "node").select("group", "side", "node", "root", "n", "data")
     crossed = wide.repartition("group").sortWithinPartitions("group").mapInArrow(_cross_pairs(num, den), "a long, b long").distinct()
     crossed = materialise(crossed, "crossed")
+    drop_finished_shuffles(spark)
     more = exact(crossed).select(F.col("a").alias("u"), F.col("b").alias("v"))
     all_links = materialise(roots.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).union(more), "links")
     roots = materialise(connected_components(all_links), "roots")
 
     classed = profile.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = classed.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("_first"))
-    return classed.join(first, "root", "left").withColumn("component_id", F.coalesce("_first", "doc_id")).select(*[c for c in profile.columns if c not in ("_key", "node")], "component_id")
+    return classed.join(first, "root", "left").withColumn("component_id", F.coalesce("_first", "doc_id")).select("_row.*", "n_shingles", "component_id")

@@ -1,0 +1,350 @@
+"""Each operator against brute force on small rows with nulls, empty and odd texts, ties and clashing columns."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lexmill.llm import automaton, components, decontamination, jaccard, language, licenses, lines, linear, packing, quality, secrets, substrings, toxicity
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, root long, t string, sig string, part int, `_key` string, group string"
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def ascii_lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+
+def docs_of(spark, rows):
+    """Documents with extra columns whose names operators use inside."""
+    return spark.createDataFrame([(d, t, "en", "s", len(t or ""), 7, "t", "s", 1, "k", "g") for d, t in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def rows():
+    r = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(120)] + ["Ünder", "naïve", "THE", "of"]
+    out, d = [], 0
+    for _ in range(14):
+        base = [r.choice(vocabulary) for _ in range(r.choice([2, 9, 16, 40, 150]))]
+        for v in range(r.choice([1, 2, 6])):
+            w = list(base)
+            for _ in range(v and r.randint(0, 1 + len(w) // 30)):
+                w[r.randrange(len(w))] = r.choice(vocabulary)
+            d += r.randint(1, 9)
+            out.append((d, ("\n" if v % 3 == 1 else " ").join(w).upper() if v == 4 else " ".join(w) + "\nFooter line " * (v % 2)))
+    return [*out, (None, out[0][1]), (out[1][0], out[1][1]), (d + 1, None), (d + 2, ""), (d + 3, " \t\n"), (d + 4, "x " * 5000)]
+
+
+def test_pieces_round_trip_and_bins(spark, rows):
+    out = packing.pack_documents(docs_of(spark, rows), seq_len=64, items_per_partition=5).toPandas()
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    total = 0
+    expected = Counter()
+    for d, t in rows:
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
+        total += len(ids)
+        for k, (start, length) in enumerate(packing.cut(len(ids), 64)):
+            expected[d, k, start, length, zlib.crc32(np.asarray(ids[start : start + length], "<u4").tobytes())] += 1
+    found = Counter((None if r.doc_id != r.doc_id else int(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in out.itertuples())
+    assert found == expected
+    by = out.sort_values(["sequence_id", "offset"]).groupby("sequence_id")
+    assert (by.length.sum() <= 64).all() and (out.sort_values(["sequence_id", "offset"]).offset == by.length.cumsum() - out.sort_values(["sequence_id", "offset"]).length).all()
+    assert out.sequence_id.nunique() <= -(-total // 64) * 1.1 + 1
+
+
+def test_bounds_never_exceed_the_optimum():
+    r = random.Random(1)
+
+    def optimum(sizes, capacity):
+        best = [len(sizes)]
+
+        def place(i, bins):
+            if len(bins) >= best[0]:
+                return
+            if i == len(sizes):
+                best[0] = len(bins)
+                return
+            for k in range(len(bins)):
+                if bins[k] + sizes[i] <= capacity:
+                    place(i + 1, bins[:k] + [bins[k] + sizes[i]] + bins[k + 1 :])
+            place(i + 1, [*bins, sizes[i]])
+
+        place(0, [])
+        return best[0]
+
+    for _ in range(400):
+        capacity = r.randint(5, 30)
+        sizes = sorted((r.randint(1, capacity) for _ in range(r.randint(1, 7))), reverse=True)
+        assert packing.lower_bound(np.array(sizes), capacity) <= optimum(sizes, capacity) <= packing.best_fit_decreasing(np.array(sizes), capacity)[2]
+
+
+def test_special_token_strings_and_odd_spaces():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, own, r = Tokenizer.from_file(path), packing.ByteTokenizer(path), random.Random(3)
+    signs = [*" \n\n  ab.1'sé\t\xa0 !²ª٣", "<|endoftext|>", "'re"]
+    for _ in range(2000):
+        x = "".join(r.choice(signs) for _ in range(r.randint(0, 30)))
+        assert own.ids(x) == np.asarray(tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+@pytest.mark.parametrize(("size", "num", "den", "block"), [(3, 90, 100, 1500), (5, 80, 100, 3)])
+def test_jaccard_components(spark, rows, size, num, den, block):
+    def shingles(t):
+        w = [ascii_lower(x) for x in words(t)]
+        return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} - {()}
+
+    sets, parent = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        both = len(sets[i] & sets[j])
+        if sets[i] and sets[j] and den * both >= num * (len(sets[i]) + len(sets[j]) - both):
+            parent[find(i)] = find(j)
+    low = {}
+    for i, (d, _) in enumerate(rows):
+        low[find(i)] = min(x for x in (low.get(find(i)), d) if x is not None) if d is not None or low.get(find(i)) is not None else None
+    expected = Counter((d, len(sets[i]), low[find(i)]) for i, (d, _) in enumerate(rows))
+    out = jaccard.similarity_components(docs_of(spark, rows), size, num, den, block)
+    assert {"root", "sig", "_key"} <= set(out.columns)
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out.collect()) == expected
+
+
+def test_similar_sets_share_a_signature():
+    r = np.random.default_rng(4)
+    for num, den in ((90, 100), (80, 100), (5, 10)):
+        for n in (3, 11, 24, 70, 400):
+            for _ in range(60):
+                a = np.unique(r.integers(0, 2**64, n, dtype="u8"))
+                k = int(len(a) * (1 - num / den) * 1.05)
+                b = np.unique(np.concatenate([r.permutation(a)[: len(a) - int(r.integers(0, k + 1))], r.integers(0, 2**64, int(r.integers(0, k + 1)), dtype="u8")]))
+                both = len(np.intersect1d(a, b))
+                x, y = jaccard.sketch(a), jaccard.sketch(b)
+                m = min(len(x), len(y))
+                assert jaccard.least_difference(jaccard.fold(x, m), jaccard.fold(y, m)) <= len(a) + len(b) - 2 * both
+                if den * both >= num * (len(a) + len(b) - both) and not np.array_equal(a, b):
+                    assert len(np.intersect1d(jaccard.signatures(a, num, den), jaccard.signatures(b, num, den)))
+
+
+def test_connected_components_of_a_long_path(spark):
+    links = spark.range(60).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v")).union(spark.createDataFrame([(100, 101), (101, 100)], "u long, v long"))
+    out = {r["node"]: r["root"] for r in components.connected_components(links).collect()}
+    assert out == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
+
+
+def test_line_dedup(spark, rows):
+    n = 3
+    split = [(d, (t or "").split("\n")) for d, t in rows]
+    key = lambda x: ascii_lower(x.strip(" \t\n\x0b\x0c\r"))
+    seen = Counter(k for _, x in split for k in {key(y) for y in x})
+    expected = Counter()
+    for d, x in split:
+        kept = [y for y in x if key(y) == "" or seen[key(y)] < n]
+        expected[d, len(x), len(x) - len(kept), "\n".join(kept)] += 1
+    out = lines.dedup_lines(docs_of(spark, rows), min_docs=n, batches=5, fanout=2)
+    assert Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in out.collect()) == expected
+
+
+@pytest.mark.parametrize("n", [13, 4])
+def test_substring_dedup(spark, rows, n):
+    split, first = [(d, words(t)) for d, t in rows], {}
+    for d, w in split:
+        for i in range(len(w) - n + 1) if d is not None else ():
+            first[tuple(w[i : i + n])] = min(first.get(tuple(w[i : i + n]), d), d)
+    expected = Counter()
+    for d, w in split:
+        gone = [False] * len(w)
+        for i in range(len(w) - n + 1) if d is not None else ():
+            if first[tuple(w[i : i + n])] < d:
+                gone[i : i + n] = [True] * n
+        expected[d, len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g)] += 1
+    out = substrings.dedup_substrings(docs_of(spark, rows), n)
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in out.collect()) == expected
+
+
+def test_suffix_automaton_prefers_the_smallest_document():
+    a = substrings.SuffixAutomaton()
+    a.add([1, 2, 3, 4], 5)
+    a.add([2, 3, 4, 9], 3)
+    a.finish()
+    assert a.spans([7, 2, 3, 4, 9, 1, 2, 3], 4, 3) == [(1, 5)]
+    assert a.spans([1, 2, 3, 4], 5, 3) == [(1, 4)] and a.spans([1, 2, 3, 4], 6, 3) == [(0, 4)]
+
+
+def brute_secrets(text):
+    found = [(m.start(), k, m.end()) for k, rule in enumerate(secrets.RULES) for m in re.finditer(rule.exact, text) if len(m.group(rule.group)) >= rule.least]
+    return sorted(found)
+
+
+def test_secrets(spark):
+    r = random.Random(5)
+    bits = ["token", "secret", "Password", "api_key", "=", ":", "'", '"', " ", "AKIA", "ABCDEF012345", "0123456789abcdef", "\n", ",", "é", "x", "-----BEGIN RSA PRIVATE KEY-----", "ghp_", "A" * 36, "xoxb-", "AIza", "eyJ", ".", "_"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 25))) for _ in range(400)] + ["", "a" * 40000 + " token: " + "b" * 30, "token=" * 5000]
+    out = secrets.scan_secrets(docs_of(spark, [*enumerate(texts), (None, None), (1, "AKIA" + "A" * 20)])).collect()
+    assert len(out) == len(texts) + 2
+    for row in out:
+        text = "" if row["doc_id"] is None else texts[row["doc_id"]] if row["n_access"] != 1 or row["doc_id"] != 1 else "AKIA" + "A" * 20
+        if row["doc_id"] == 1:
+            continue
+        spans = brute_secrets(text)
+        render = lambda s: ",".join(f"{secrets.RULES[k].kind}:{a}:{b}" for a, k, b in s)
+        assert row["spans"] == render(spans)
+        assert row["base_sha256"] == hashlib.sha256(render([s for s in spans if s[1] < 3]).encode()).hexdigest()
+    assert secrets.redact("key AKIA0000 end", [{"start": 4, "end": 12}]) == "key [SECRET] end"
+
+
+def test_automaton_is_minimal_and_resets():
+    a = automaton.compile_rules([("ab+c", False), ("ab*c", False)])
+    assert len(a.masks) == 5 and a.resets[ord("x")] and not a.resets[ord("a")]
+    assert automaton.scan(a, np.frombuffer(b"xx abbc\n ac", "u1"))[0][2] & 3
+
+
+def test_decontamination(spark):
+    r = random.Random(2)
+    vocabulary = [f"v{i}x" for i in range(900)]
+    items = [(i, " ".join(r.choice(vocabulary) for _ in range(r.choice([5, 15, 30, 60])))) for i in range(30)]
+    clean = [(1000 + i, " ".join(r.choice(vocabulary) for _ in range(200))) for i in range(30)]
+    planted = [(i, " ".join([*clean[i][1].split()[: r.randint(0, 99)], *t.upper().split(), "tail"])) for i, t in items]
+    edited = []
+    for i, t in items:
+        if len(w := t.split()) >= 30:
+            w[len(w) // 2] = "changed"
+            edited.append((500 + i, "head " + " ".join(w)))
+    benchmark = spark.createDataFrame([*items, (77, None), (78, "too short")], "item_id long, text string")
+    rows = [*clean, *planted, *edited, (9999, None), (9998, "")]
+    out = decontamination.find_contamination(docs_of(spark, rows), benchmark, block_words=400).collect()
+    found = {(r["doc_id"], r["item_id"]): r["edits"] for r in out}
+    assert {(i, i): 0 for i, _ in items}.items() <= found.items()
+    assert all(found[500 + i, i] == 1 for i in [d - 500 for d, _ in edited])
+    assert not [k for k in found if k[0] >= 1000]
+
+
+def test_edit_distance_against_all_stretches():
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            last, row[0] = row[0], i + 1
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], min(last + (x != y), row[j + 1] + 1, row[j] + 1)
+        return row[-1]
+
+    r = random.Random(2)
+    for _ in range(150):
+        a, t = ([r.randint(0, 3) for _ in range(n)] for n in (r.randint(1, 8), r.randint(0, 10)))
+        edits, first, end = decontamination.edit_distance(np.array(a, "u8"), np.array(t, "u8"))
+        assert edits == min(plain(a, t[i:j]) for i in range(len(t) + 1) for j in range(i, len(t) + 1)) == plain(a, t[first:end])
+
+
+def test_language_held_out_accuracy(spark):
+    r = random.Random(1)
+    stems = {"aa": ["thon", "ing", "ed", "the"], "bb": ["ción", "que", "llo", "de"], "cc": ["sch", "ung", "über", "der"]}
+    rows = [(i, " ".join("".join(r.choice(stems[lang]) for _ in range(3)) for _ in range(30)), lang) for i in range(300) for lang in [r.choice(list(stems))]]
+    odd = [(9000, None, "aa"), (9001, "123 ...", "bb"), (9002, "thoning theed", None), (None, "thoning the", "aa")]
+    df = spark.createDataFrame([*rows, *odd], "doc_id long, text string, lang string")
+    out = {r["doc_id"]: r for r in language.identify_languages(df).collect()}
+    truth = {i: lang for i, _, lang in rows}
+    held = [i for i in truth if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert all(out[i]["held_out"] for i in held) and np.mean([out[i]["lang_pred"] == truth[i] for i in held]) > 0.95
+    assert out[9000]["lang_pred"] == out[9001]["lang_pred"] == "und" and out[9002]["lang_pred"] == "aa"
+    assert all(0 <= x["score"] <= 1 for x in out.values())
+    none = language.identify_languages(df.withColumn("lang", F.lit(None).cast("string"))).filter("lang_pred <> 'und'")
+    assert none.isEmpty() and language.identify_languages(df.limit(0)).isEmpty()
+
+
+def test_temperature_cools_overconfidence():
+    r = np.random.default_rng(0)
+    target = np.eye(2)[r.integers(0, 2, 400)]
+    assert linear.temperature(20 * (target + 0.9 * r.normal(size=target.shape)), target) > 3
+
+
+def test_toxicity_held_out(spark):
+    r = random.Random(1)
+    vocabulary = [f"word{i}" for i in range(300)]
+    rows, labels = [], []
+    for i in range(600):
+        toxic = r.random() < 0.2
+        w = [r.choice(vocabulary) for _ in range(40)]
+        if toxic:
+            w[3:5] = [r.choice(["zorkish", "zorkly", "grumbat", "idiot"]) for _ in range(2)]
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    df, lab = docs_of(spark, [*rows, (None, "idiot"), (7000, None)]), spark.createDataFrame([*labels, (5, None), (None, 1), (888888, 1)], "doc_id long, toxic int")
+    out = {r["doc_id"]: r for r in toxicity.score_toxicity(df, lab).collect()}
+    held = [i for i, _ in labels if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([out[i]["predicted"] == labels[i][1] for i in held]) > 0.93 and all(out[i]["held_out"] for i in held)
+    assert len(out) == 602 and all(0 <= x["score"] <= 1 for x in out.values())
+    assert toxicity.score_toxicity(df, lab.limit(0)).count() == 602
+
+
+def test_label_model_finds_good_and_correlated_voters():
+    r = np.random.default_rng(0)
+    y = r.random(20000) < 0.2
+    votes = [np.where(y, r.random(len(y)) < good, r.random(len(y)) < bad) for good, bad in ((0.8, 0.05), (0.7, 0.02), (0.6, 0.1))]
+    votes.append(np.where(r.random(len(y)) < 0.95, votes[2], ~votes[2]))
+    pattern = sum(v.astype(int) << k for k, v in enumerate(votes))
+    u, n = np.unique(pattern, return_counts=True)
+    m = toxicity.LabelModel(4, 0.2).fit(u, n.astype(float), np.where(u > 0, 0.7, 0.05))
+    assert any({2, 3} <= set(g) for g in m.groups) and abs(m.prior - 0.2) < 0.1
+    assert ((m.posterior(pattern) > 0.5) == y).mean() > 0.85
+
+
+def test_quality_base_and_outliers(spark):
+    r = random.Random(4)
+    sentence = lambda n: " ".join("w" * r.randint(2, 8) + str(r.randint(0, 999)) for _ in range(n))
+    rows = [(i, "\n".join(sentence(12) for _ in range(r.randint(3, 9)))) for i in range(200)]
+    odd = [(900, sentence(60).replace(" ", " | ## ")), (901, None), (902, ""), (903, (sentence(10) + " ") * 30), (904, "same line here\n" * 4 + sentence(40))]
+    out = {r["doc_id"]: r for r in quality.quality(docs_of(spark, [*rows, *odd])).collect()}
+
+    def base(t):
+        w, t = words(t), t or ""
+        runs = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+        seen, covered = Counter(runs), [False] * len(w)
+        for i, x in enumerate(runs):
+            if seen[x] > 1:
+                covered[i : i + 8] = [True] * 8
+        own = [x for x in t.split("\n") if words(x)]
+        return len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(own) - len(set(own)), sum(covered)
+
+    for d, t in [*rows, *odd]:
+        x = out[d]
+        assert (x["n_words"], x["word_chars"], x["n_symbols"], x["n_dup_lines"], x["n_repeat_words"]) == base(t)
+        assert x["base_failed"] == (x["n_words"] < 20 or 100 * x["n_repeat_words"] > 30 * x["n_words"])
+    assert not out[900]["kept"] and not out[901]["kept"] and not out[903]["kept"]
+    assert np.mean([out[d]["kept"] for d, _ in rows]) > 0.97
+    assert quality.quality(docs_of(spark, rows).limit(0)).isEmpty()
+
+
+def test_quality_is_native(spark, rows):
+    plan = quality.quality(docs_of(spark, rows))._jdf.queryExecution().toString() + licenses.scan_licenses(docs_of(spark, rows))._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_licenses(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this. The above copyright notice and this permission notice shall be included in all copies. The software is provided \"as is\"."
+    rows = [(1, mit), (2, "Bla. Licensed under the Apache License, Version 2.0.\nAll rights reserved."), (3, None), (4, "permission to think"), (5, "Licensed under CC BY-NC 4.0."), (6, "This work is licensed under the GNU General Public License, version 3."), (7, ""), (None, "Released under the MIT License.")]
+    out = {r["doc_id"]: r["licences"] for r in licenses.scan_licenses(docs_of(spark, rows)).collect()}
+    assert out == {1: ["MIT"], 2: ["Apache-2.0", "Reserved"], 3: [], 4: [], 5: ["CC-BY-NC"], 6: ["GPL-3.0"], 7: [], None: ["MIT"]}
+
+
+@pytest.mark.parametrize("operator", [packing.pack_documents, jaccard.similarity_components, lines.dedup_lines, substrings.dedup_substrings, secrets.scan_secrets, licenses.scan_licenses])
+def test_empty_tables(spark, rows, operator):
+    assert operator(docs_of(spark, rows).limit(0)).isEmpty()
