@@ -1,10 +1,10 @@
 """Operator 10: licence scans by sentence rules, with DataFrame functions only.
 
 A text is split into sentences, each is normalised (ASCII lower case, everything but letters and
-digits as one space) and mapped to the identifier of a known licence sentence.  The sequence of a
-text's identifiers is then matched against ordered licence rules; each rule takes its sentences out of
-the sequence, so that a longer grant isn't told again by a shorter one.  What no rule takes is
-``unmatched``.
+digits as one space) and mapped to the identifier of a known licence sentence; an SPDX tag gives an
+identifier for each licence of its expression.  The sequence of a text's identifiers is then matched
+against ordered licence rules; each rule takes its sentences out of the sequence, so that a longer
+grant isn't told again by a shorter one.  What no rule takes is ``unmatched``.
 
 Edge cases: a null or empty text has no sentence; every row is scanned, also where ids repeat or are
 null; an empty table gives an empty result; extra columns are ignored.
@@ -17,7 +17,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A text without any of these words has no licence sentence.
+#: Every sentence of SENTENCES has one of these words.
+KEY = r"(?i)permission|redistribut|endorse|software|licen[cs]e|apache|gpl|applicable|(?<![a-z0-9])cc(?:0|[^a-z0-9])|attribution|creative|bsd|domain|reserved|spdx"
+#: The narrower filter of the SQL, which sees no sentence without one of these words.
 HINT = r"(?i)licen[cs]e|copyright|rights reserved|warrant|redistribut|permission|public domain|spdx|merchantab|creative commons"
 
 #: (identifier, expression over a normalised sentence): the first that matches counts.
@@ -85,6 +87,33 @@ RULES = (
     ("Unlicense", ("unlicense",)),
     ("Reserved", ("reserved",)),
 )
+#: (licence, name of the identifier after spdx_, expression over a lower-cased SPDX identifier).
+SPDX = (
+    ("MIT", "mit", "mit"),
+    ("ISC", "isc", "isc"),
+    ("BSD-3-Clause", "bsd3", "bsd-3-clause"),
+    ("BSD-2-Clause", "bsd2", "bsd-2-clause"),
+    ("Apache-2.0", "apache2", r"apache-2\.0"),
+    ("AGPL-3.0", "agpl3", r"agpl-3\.0(-only|-or-later)?"),
+    ("LGPL-3.0", "lgpl3", r"lgpl-3\.0(-only|-or-later)?"),
+    ("LGPL-2.1", "lgpl2", r"lgpl-2\.1(-only|-or-later)?"),
+    ("GPL-3.0", "gpl3", r"gpl-3\.0(-only|-or-later)?"),
+    ("GPL-2.0", "gpl2", r"gpl-2\.0(-only|-or-later)?"),
+    ("MPL-2.0", "mpl2", r"mpl-2\.0"),
+    ("CC-BY-NC-SA", "cc_by_nc_sa", r"cc-by-nc-sa-[0-9.]+"),
+    ("CC-BY-NC-ND", "cc_by_nc_nd", r"cc-by-nc-nd-[0-9.]+"),
+    ("CC-BY-NC", "cc_by_nc", r"cc-by-nc-[0-9.]+"),
+    ("CC-BY-SA", "cc_by_sa", r"cc-by-sa-[0-9.]+"),
+    ("CC-BY-ND", "cc_by_nd", r"cc-by-nd-[0-9.]+"),
+    ("CC-BY", "cc_by", r"cc-by-[0-9.]+"),
+    ("CC0", "cc0", r"cc0-1\.0"),
+    ("Unlicense", "unlicense", "unlicense"),
+)
+SPDX_RULES = tuple((licence, (f"spdx_{name}",)) for licence, name, _ in SPDX)
+SPDX_TAG = r"(?i)spdx[^a-z0-9]+license[^a-z0-9]+identifier(?![a-z0-9])"
+_SPDX_ID = r"\(*[a-z0-9](?:[a-z0-9.+-]*[a-z0-9+])?\)*"
+#: The licence expression after a tag.
+SPDX_EXPRESSION = rf"{SPDX_TAG}[^a-z0-9(]*({_SPDX_ID}(?:\s+(?:and|or|with)\s+{_SPDX_ID})*)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -101,16 +130,28 @@ def _identifier(sentence: Column) -> Column:
     return reduce(lambda c, s: c.when(sentence.rlike(s[1]), F.lit(s[0])), rest, F.when(sentence.rlike(first[1]), F.lit(first[0])))
 
 
+def _spdx_identifiers(sentence: Column) -> Column:
+    """An identifier for each licence of the expression, spdx for an unknown one; exceptions are no licences."""
+    bare = F.regexp_replace(F.regexp_extract(sentence, SPDX_EXPRESSION, 1), r"(?i)\s+with\s+[^\s()]+|[()]", "")
+    each = lambda x: reduce(lambda c, s: c.when(x.rlike(rf"^(?:{s[2]})\+?$"), F.lit(f"spdx_{s[1]}")), SPDX, F.when(x == "", F.lit("spdx"))).otherwise(F.lit("spdx"))
+    return F.transform(F.split(F.translate(bare, UPPER, LOWER), r"\s+(?:and|or)\s+"), each)
+
+
+def _identifiers(sentence: Column) -> Column:
+    """All identifiers of a sentence, as an array."""
+    return F.when(sentence.rlike(SPDX_TAG), _spdx_identifiers(sentence)).otherwise(F.transform(F.array(_normalised(sentence)), _identifier))
+
+
 def scan_licenses(docs: DataFrame) -> DataFrame:
-    """doc_id, n_sentences known, sentence_ids in order, licences found (array, in rule order), unmatched."""
+    """doc_id, n_sentences (identifiers), sentence_ids in order, licences found (array, in rule order), unmatched."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     split = F.split(F.regexp_replace(text, r"([.!?;])\s+", "$1\n"), "\n")
-    known = F.filter(F.transform(F.filter(split, lambda s: s.rlike(HINT)), lambda s: F.transform(F.array(_normalised(s)), _identifier)[0]), lambda s: s.isNotNull())
-    out = docs.select("doc_id", F.when(text.rlike(HINT), known).otherwise(F.array().cast("array<string>")).alias("sentence_ids"))
+    known = F.filter(F.flatten(F.transform(F.filter(split, lambda s: s.rlike(KEY)), _identifiers)), lambda s: s.isNotNull())
+    out = docs.select("doc_id", F.when(text.rlike(KEY), known).otherwise(F.array().cast("array<string>")).alias("sentence_ids"))
     out = out.withColumn("sequence", F.array_join(F.transform("sentence_ids", lambda s: F.concat(F.lit("<"), s, F.lit(">"))), ""))
     # All rules in one expression: the sequence goes through them, each adding its licence if it matches.
     state = F.struct(F.col("sequence").alias("rest"), F.array().cast("array<string>").alias("found"))
-    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(_rule_expression(s)).alias("rule")) for name, s in RULES])
+    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(_rule_expression(s)).alias("rule")) for name, s in (*RULES, *SPDX_RULES)])
     step = lambda a, r: F.struct(F.regexp_replace(a["rest"], r["rule"], "").alias("rest"), F.when(F.regexp_like(a["rest"], r["rule"]), F.array_append(a["found"], r["name"])).otherwise(a["found"]).alias("found"))
     matched = F.when(F.col("sequence") == "", state).otherwise(F.aggregate(rules, state, step))
     out = out.withColumn("matched", matched)
@@ -122,7 +163,11 @@ def _sql_text(s: str) -> str:
 
 
 def oracle() -> str:
-    """The query's DuckDB SQL, from the same sentences and rules."""
+    """The query's DuckDB SQL, from the same sentences and rules.
+
+    It filters by HINT and has no rules for SPDX tags, so it gives the operator's rows only where no
+    text has a tag or a licence sentence outside HINT.
+    """
     case = " ".join(f"WHEN regexp_matches(s, {_sql_text(e)}) THEN {_sql_text(i)}" for i, e in SENTENCES)
     steps, last = [], "ids"
     for k, (name, sequence) in enumerate(RULES):

@@ -345,6 +345,56 @@ def test_licenses(spark):
     assert out == {1: ["MIT"], 2: ["Apache-2.0", "Reserved"], 3: [], 4: [], 5: ["CC-BY-NC"], 6: ["GPL-3.0"], 7: [], None: ["MIT"]}
 
 
+LICENCE_SENTENCES = {
+    "mit_grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of it.",
+    "isc_grant": "Permission to use, copy, modify, and/or distribute this software for any purpose is granted.",
+    "mit_notice": "The above copyright notice and this permission notice shall be included in copies.",
+    "bsd_redistribution": "Redistribution and use in source and binary forms are permitted.",
+    "bsd_source": "Redistributions of source code must retain the above copyright notice.",
+    "bsd_binary": "Redistributions in binary form must reproduce the above copyright notice.",
+    "bsd_endorse": "Neither the name of X nor others may be used to endorse or promote products.",
+    "as_is": "This software is provided 'as is'.",
+    "apache2_conditions": "You may not use this file except in compliance with the License.",
+    "apache2_obtain": "You may obtain a copy of the License at",
+    "apache2_limits": "Unless required by applicable law or agreed to in writing it is so.",
+    "apache2": "Distributed under Apache 2.0.",
+    "agpl3": "This is AGPLv3.",
+    "lgpl3": "This is LGPLv3.",
+    "lgpl2": "This is LGPL.",
+    "gpl3": "This code is GPLv3.",
+    "gpl2": "This code is GPLv2.",
+    "gpl": "See the GNU General Public License.",
+    "mpl2": "Under the Mozilla Public License.",
+    "cc_by_nc_sa": "Texts are CC BY-NC-SA.",
+    "cc_by_nc_nd": "Texts are CC BY-NC-ND.",
+    "cc_by_nc": "Texts are Attribution-NonCommercial.",
+    "cc_by_sa": "Available under CC BY-SA 4.0.",
+    "cc_by_nd": "Texts are CC BY-ND.",
+    "cc_by": "Texts are CC BY.",
+    "cc0": "Texts are CC0.",
+    "bsd3": "Code is BSD 3-Clause.",
+    "bsd2": "Code is 2-clause BSD.",
+    "mit": "Licensed under MIT.",
+    "isc": "Under the ISC License.",
+    "unlicense": "It was released into the public domain.",
+    "reserved": "All rights reserved.",
+}
+
+
+def test_licenses_each_sentence(spark):
+    """One sentence for each known one, some of them without a word of the SQL's filter."""
+    assert set(LICENCE_SENTENCES) == {i for i, _ in licenses.SENTENCES} - {"spdx"}
+    out = {r["doc_id"]: r["sentence_ids"] for r in licenses.scan_licenses(spark.createDataFrame(list(LICENCE_SENTENCES.items()), "doc_id string, text string")).collect()}
+    assert out == {i: [i] for i in LICENCE_SENTENCES}
+
+
+def test_licenses_spdx(spark):
+    tag = "// SPDX-License-Identifier: "
+    rows = {"Apache-2.0": (["Apache-2.0"], ""), "MIT */": (["MIT"], ""), "(MIT OR Apache-2.0) AND BSD-3-Clause": (["MIT", "BSD-3-Clause", "Apache-2.0"], ""), "GPL-2.0-or-later WITH Classpath-exception-2.0": (["GPL-2.0"], ""), "LGPL-2.1+": (["LGPL-2.1"], ""), "CC-BY-SA-4.0 for texts": (["CC-BY-SA"], ""), "MIT-0": ([], "<spdx>"), "": ([], "<spdx>")}
+    out = {r["doc_id"]: (r["licences"], r["unmatched"]) for r in licenses.scan_licenses(spark.createDataFrame([(x, tag + x) for x in rows], "doc_id string, text string")).collect()}
+    assert out == rows
+
+
 @pytest.mark.parametrize("operator", [packing.pack_documents, jaccard.similarity_components, lines.dedup_lines, substrings.dedup_substrings, secrets.scan_secrets, licenses.scan_licenses])
 def test_empty_tables(spark, rows, operator):
     assert operator(docs_of(spark, rows).limit(0)).isEmpty()
