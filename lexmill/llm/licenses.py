@@ -1,8 +1,10 @@
 """Operator 10: licence scans by sentence rules, with DataFrame functions only.
 
-A text is split into sentences, each is normalised (ASCII lower case, everything but letters and
-digits as one space) and mapped to the identifier of a known licence sentence; an SPDX tag gives an
-identifier for each licence of its expression.  The sequence of a text's identifiers is then matched
+A text is split into passages at sentence ends, blank lines and list numbers, so a passage may run over
+several lines.  Each is normalised (ASCII lower case, everything but letters and digits as one space),
+and known licence sentences are looked for across its line breaks; of those that begin in one line, the
+first of the table counts, and each text stretch counts once.  An SPDX tag gives an identifier for each
+licence of its expression.  The sequence of a text's identifiers is then matched
 against ordered licence rules; each rule takes its sentences out of the sequence, so that a longer
 grant isn't told again by a shorter one.  What no rule takes is ``unmatched``.
 
@@ -12,6 +14,7 @@ null; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -121,13 +124,33 @@ def _rule_expression(sequence: tuple[str, ...]) -> str:
     return "".join(f"(?:<{s[:-1]}>)?" if s.endswith("?") else f"<{s}>" for s in sequence)
 
 
-def _normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(sentence, UPPER, LOWER), "[^a-z0-9]+", " "))
+def _passages(text: Column) -> Column:
+    """Sentences over all their lines; a line with no ASCII letter or digit is blank, an SPDX tag ends with its line."""
+    listed = F.regexp_replace(text, r"\n(?=[^A-Za-z0-9\n]*[0-9]{1,3}[.)][ \t]+\S)", "\x1e")
+    ended = F.regexp_replace(F.regexp_replace(listed, r"\n(?:[^A-Za-z0-9\n]*\n)+", "\x1e"), r"([.!?;])\s+", "$1\x1e")
+    return F.split(F.regexp_replace(ended, rf"({SPDX_TAG}[^\n\x1e]*)", "\x1e$1\x1e"), "\x1e")
 
 
-def _identifier(sentence: Column) -> Column:
-    first, *rest = SENTENCES
-    return reduce(lambda c, s: c.when(sentence.rlike(s[1]), F.lit(s[0])), rest, F.when(sentence.rlike(first[1]), F.lit(first[0])))
+def _normalised(passage: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(F.translate(passage, UPPER, LOWER), "[^a-z0-9\n]+", " "), r" ?\n ?", "\n"))
+
+
+#: A known sentence is replaced by its mark, which no later expression takes or reads across.
+MARK, MARKS = 0xE000, "[\ue000-\ue0ff]"
+
+
+def _across_lines(expression: str) -> str:
+    """The expression with line breaks for spaces, ^ at each line, and a version told afterwards not taken."""
+    expression = re.sub(r"\.\*(\\b\d\\b)", r"(?=.*\1)", expression)
+    return "(?m)" + expression.replace(".*", MARKS.replace("[", "[^") + "*").replace(" ", r"[ \n]")
+
+
+def _known(passage: Column) -> Column:
+    """The identifiers of a passage's known sentences, by the lines that they begin in."""
+    marked = reduce(lambda t, s: F.regexp_replace(t, _across_lines(s[1][1]), chr(MARK + s[0])), enumerate(SENTENCES), _normalised(passage))
+    first = F.filter(F.transform(F.split(marked, "\n"), lambda x: F.array_min(F.regexp_extract_all(x, F.lit(MARKS), F.lit(0)))), lambda x: x.isNotNull())
+    names = F.array(*[F.lit(i) for i, _ in SENTENCES])
+    return F.transform(first, lambda x: F.element_at(names, F.ascii(x) - (MARK - 1)))
 
 
 def _spdx_identifiers(sentence: Column) -> Column:
@@ -137,16 +160,15 @@ def _spdx_identifiers(sentence: Column) -> Column:
     return F.transform(F.split(F.translate(bare, UPPER, LOWER), r"\s+(?:and|or)\s+"), each)
 
 
-def _identifiers(sentence: Column) -> Column:
-    """All identifiers of a sentence, as an array."""
-    return F.when(sentence.rlike(SPDX_TAG), _spdx_identifiers(sentence)).otherwise(F.transform(F.array(_normalised(sentence)), _identifier))
+def _identifiers(passage: Column) -> Column:
+    """All identifiers of a passage, as an array."""
+    return F.when(passage.rlike(SPDX_TAG), _spdx_identifiers(passage)).otherwise(_known(passage))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences (identifiers), sentence_ids in order, licences found (array, in rule order), unmatched."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    split = F.split(F.regexp_replace(text, r"([.!?;])\s+", "$1\n"), "\n")
-    known = F.filter(F.flatten(F.transform(F.filter(split, lambda s: s.rlike(KEY)), _identifiers)), lambda s: s.isNotNull())
+    known = F.flatten(F.transform(F.filter(_passages(text), lambda s: s.rlike(KEY)), _identifiers))
     out = docs.select("doc_id", F.when(text.rlike(KEY), known).otherwise(F.array().cast("array<string>")).alias("sentence_ids"))
     out = out.withColumn("sequence", F.array_join(F.transform("sentence_ids", lambda s: F.concat(F.lit("<"), s, F.lit(">"))), ""))
     # All rules in one expression: the sequence goes through them, each adding its licence if it matches.
@@ -165,8 +187,8 @@ def _sql_text(s: str) -> str:
 def oracle() -> str:
     """The query's DuckDB SQL, from the same sentences and rules.
 
-    It filters by HINT and has no rules for SPDX tags, so it gives the operator's rows only where no
-    text has a tag or a licence sentence outside HINT.
+    It filters by HINT, has no rules for SPDX tags and cuts sentences at every line feed, so it gives the
+    operator's rows only where no text has a tag, a licence sentence outside HINT or a wrapped one.
     """
     case = " ".join(f"WHEN regexp_matches(s, {_sql_text(e)}) THEN {_sql_text(i)}" for i, e in SENTENCES)
     steps, last = [], "ids"

@@ -395,6 +395,58 @@ def test_licenses_spdx(spark):
     assert out == rows
 
 
+WRAPPED = {
+    "MIT": """MIT License
+
+Copyright (c) 2020 X
+
+Permission is hereby granted, free of charge, to any person obtaining a
+copy of this software and associated documentation files, to deal in it,
+subject to the following conditions:
+
+The above copyright notice and this permission
+notice shall be included in all copies or substantial portions.
+
+THE SOFTWARE IS PROVIDED "AS
+IS", WITHOUT WARRANTY OF ANY KIND.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND
+THE AUTHOR DISCLAIMS ALL WARRANTIES""",
+    "BSD-3-Clause": """Copyright (c) 2020, X
+Redistribution and use in source and
+binary forms, with or without modification, are permitted provided that the
+following conditions are met:
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above
+   copyright notice.
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS
+AND CONTRIBUTORS "AS IS" AND ANY WARRANTIES ARE DISCLAIMED.""",
+    "GPL-3.0": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+}
+
+
+def test_licenses_wrapped(spark):
+    """Whole notices over several lines, plain and in comments, and lines without sentence ends that stay apart."""
+    comment = lambda t, mark: "\n".join(f"{mark} {x}".rstrip() for x in t.split("\n"))
+    rows = [(f"{k}{m}", comment(t, m) if m else t) for k, t in WRAPPED.items() for m in ("", "#", " *", "//")]
+    apart = {"Licensed under CC BY 4.0\nAll rights reserved\nMIT License": ["cc_by", "reserved", "mit"], "GNU General Public License\n\n3 files": ["gpl"], "GNU General Public License\n3. Terms": ["gpl"]}
+    out = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame([*rows, *((t, t) for t in apart)], "doc_id string, text string")).collect()}
+    for k in WRAPPED:
+        for m in ("", "#", " *", "//"):
+            assert out[k + m]["licences"] == [k] and out[k + m]["unmatched"] == "", (k, m, out[k + m])
+    assert {t: out[t]["sentence_ids"] for t in apart} == apart
+
+
 @pytest.mark.parametrize("operator", [packing.pack_documents, jaccard.similarity_components, lines.dedup_lines, substrings.dedup_substrings, secrets.scan_secrets, licenses.scan_licenses])
 def test_empty_tables(spark, rows, operator):
     assert operator(docs_of(spark, rows).limit(0)).isEmpty()
