@@ -238,6 +238,38 @@ def test_decontamination(spark):
     assert not [k for k in found if k[0] >= 1000]
 
 
+def test_decontamination_recall_by_length():
+    """Against the exact distance of each item to each text, by item length and number of edits."""
+    r = random.Random(5)
+    vocabulary = [f"v{i}x" for i in range(400)]
+    some = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items = [(k, some(n)) for k, n in enumerate(n for n in (4, 5, 6, 7, 8, 10, 12, 15, 16, 20, 25, 30, 40, 60) for _ in range(8))]
+    texts, own = [], []
+    for k, item in items:
+        for edits in {int(0.2 * len(item)) // 2, int(0.2 * len(item))}:
+            for _ in range(4):
+                w = list(item)
+                for at in sorted(r.sample(range(len(w)), edits), reverse=True):
+                    w[at : at + r.choice((0, 1, 1))] = some(1) if r.random() < 0.6 else []
+                texts.append(" ".join([*some(r.randint(0, 30)), *w, *some(r.randint(0, 30))]))
+                own.append((k, edits))
+    got = decontamination.ItemIndex([(k, " ".join(w)) for k, w in items], 0.2, 0.95).matches(texts)
+    code = {w: i for i, w in enumerate(vocabulary)}
+    as_codes = lambda w: np.array([code[x] for x in w], "u8")
+    seen = Counter()
+    for text, (k, edits), found in zip(texts, own, got, strict=True):
+        item = items[k][1]
+        best = decontamination.edit_distance(as_codes(item), as_codes(text.split()))[0]
+        here = [m for m in found if m[0] == k]
+        if best <= int(0.2 * len(item)):
+            seen[len(item), edits, "all"] += 1
+            seen[len(item), edits, "found"] += bool(here)
+            assert all(m[1] == best for m in here) or len(item) >= 30
+    for n, edits, what in list(seen):
+        if what == "all":
+            assert seen[n, edits, "found"] >= (1 if n < 25 else 0.95) * seen[n, edits, "all"], (n, edits)
+
+
 def test_edit_distance_against_all_stretches():
     def plain(a, b):
         row = list(range(len(b) + 1))
