@@ -3,7 +3,9 @@
 Each text's statistics become a vector of transformed shares.  Within every language and source a
 minimum-covariance-determinant estimate (MCD) of centre and scatter is made: from a robustly scaled
 start, concentration steps take mean and covariance of the 75 % of rows that lie nearest so far.  Rows
-far from the centre by Mahalanobis distance are rejected, besides those that fail the base rules.
+whose squared Mahalanobis distance from the centre is over the chi-square quantile of 0.999, with the
+core's consistency factor, are rejected, besides those that fail the base rules.  The floors of the
+scales let a text that is odd in one statistic alone pass that cutoff.
 Only sums and quantile sketches of groups are shuffled, so a group of any size is spread.
 
 Edge cases: a null or empty text has no words and fails the base rules; null languages and sources are
@@ -22,14 +24,18 @@ from ._store import materialise
 WINDOW = 8
 SPACES = " \t\n\x0b\x0c\r"
 #: Least scale of each transformed statistic, for groups where most rows have the same value.
-FLOORS = {"x_words": 0.5, "x_length": 0.3, "x_symbols": 0.5, "x_lines": 2.0, "x_repeat": 2.0}
+FLOORS = {"x_words": 0.5, "x_length": 0.3, "x_symbols": 0.5, "x_lines": 1.5, "x_repeat": 1.5}
 NAMES = list(FLOORS)
 P = len(NAMES)
 #: Share of rows in a concentration step, weight of the unit matrix in each covariance.
 CORE, RIDGE = 0.75, 0.1
 #: Median of a chi-square variable of P = 5 degrees of freedom.
 CHI_MEDIAN = 4.3515
-CUTOFF = 100.0
+#: The covariance of the CORE nearest rows of a normal sample is smaller than that of all rows by this:
+#: CORE over the share of a chi-square variable of P + 2 degrees under the CORE quantile of one of P.
+CONSISTENCY = 1.4121
+#: 0.999 quantile of a chi-square variable of P degrees of freedom.
+CUTOFF = 20.515
 
 
 def _let(value: Column, body) -> Column:
@@ -158,10 +164,10 @@ def quality(docs: DataFrame, min_group: int = 50, steps: int = 3, cutoff: float
         estimate = materialise(_estimate(core), "estimate")
         near = _with_distance(z, estimate)
         edges = materialise(_quantiles(near), "edges")
-    # A median distance of that of a normal sample, so that the cutoff means the same in each group.
+    # A median distance of that of a normal sample at most, so that the cutoff means the same in each group.
     judged = keyed.join(scale, "group", "left").withColumns({f"z{i}": (F.col(x) - F.col(f"half{i}")) / F.col(f"scale{i}") for i, x in enumerate(NAMES)})
     judged = _with_distance_left(judged, estimate.join(edges.select("group", "middle"), "group"))
-    distance = F.when(~F.col("base_failed"), F.col("d2") * CHI_MEDIAN / F.greatest(F.col("middle"), F.lit(CHI_MEDIAN)))
+    distance = F.when(~F.col("base_failed"), F.col("d2") / CONSISTENCY * CHI_MEDIAN / F.greatest(F.col("middle") / CONSISTENCY, F.lit(CHI_MEDIAN)))
     judged = judged.withColumn("distance", distance)
     return judged.select(*stats.columns, "distance", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).alias("kept"))
 

@@ -365,6 +365,27 @@ def test_quality_base_and_outliers(spark):
     assert quality.quality(docs_of(spark, rows).limit(0)).isEmpty()
 
 
+def test_quality_outlier_of_each_statistic(spark):
+    """A text otherwise at the centre goes for each of the five statistics alone."""
+    r = random.Random(6)
+    word = lambda n=None: "".join(r.choice("abcdefghij") for _ in range(n or r.randint(3, 8)))
+    line = lambda: " ".join(word() for _ in range(12))
+    rows = [(i, "\n".join(line() for _ in range(r.choice((7, 8, 9, 10, 11))))) for i in range(300)]
+    short = "\n".join(" ".join(word() for _ in range(6)) for _ in range(2)) + "\n" + " ".join(word() for _ in range(8))
+    passage, twice = line(), f"{word()} {word()}"
+    odd = {
+        "x_words": [short, "\n".join(line() for _ in range(200))],
+        "x_length": ["\n".join(" ".join(word(30) for _ in range(12)) for _ in range(9))],
+        "x_symbols": ["\n".join(line() + " ####" for _ in range(9))],
+        "x_lines": ["\n".join(f"{' '.join(word() for _ in range(7))}\n{twice}" for _ in range(12))],
+        "x_repeat": ["\n".join([line(), f"{word()} {passage}", line(), line(), f"{passage} {word()}", line(), line(), line()])],
+    }
+    flat = [(f"{k} {i}", t) for k, ts in odd.items() for i, t in enumerate(ts)]
+    out = {r["doc_id"]: r for r in quality.quality(docs_of(spark, [*rows, *((1000 + n, t) for n, (_, t) in enumerate(flat))])).collect()}
+    assert np.mean([out[d]["kept"] for d, _ in rows]) > 0.97
+    assert {k: (out[1000 + n]["base_failed"], out[1000 + n]["kept"]) for n, (k, _) in enumerate(flat)} == {k: (False, False) for k, _ in flat}
+
+
 def test_quality_is_native(spark, rows):
     plan = quality.quality(docs_of(spark, rows))._jdf.queryExecution().toString() + licenses.scan_licenses(docs_of(spark, rows))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
