@@ -10,6 +10,7 @@ from ..functions.text import concept_tokens, page_title, words
 from ..operators import render
 from ..operators.facts import concepts_of
 from ..operators.merge import stored
+from ..operators.related import related_by_chunks
 from . import models
 
 
@@ -54,7 +55,8 @@ def enrich_thin(facts: DataFrame, model: models.Model, least: int = 6) -> DataFr
 def synthesized(pages: DataFrame, facts: DataFrame, model: models.Model, model_name: str = "", most: int = 25) -> DataFrame:
     """pages (title, concept, markdown) written by the model from up to `most` facts each; a failed one stays
     as it was, stamped with the reason."""
-    related = facts.sparkSession.createDataFrame([], "concept string, titles array<string>")
+    ranked = related_by_chunks(facts, 5).select("concept", F.struct("rank", page_title(F.col("other")).alias("title")).alias("r"))
+    related = ranked.groupBy("concept").agg(F.array_sort(F.collect_list("r"))["title"].alias("titles"))
     prompts = render.synthesis_prompts(facts, related, most).withColumn("batch_id", F.abs(F.xxhash64("concept")))
     asked = stored(models.answers(prompts, model), "synthesis").select("concept", "answer", "error")
     rows = pages.join(asked, "concept", "left")

@@ -225,3 +225,19 @@ def test_model_steps(spark, sample):
     assert written["Net Margin"].startswith("---\nfallback_reason: empty answer\n")
     matched = steps.matched_pages(spark.createDataFrame([("Gross Margin Basics",), ("Other",)], "title string"), sample)
     assert [tuple(r) for r in matched.collect()] == [("Gross Margin Basics", "Gross Margin")]
+
+
+def test_prompts_have_related_titles_and_all_seeds(spark, monkeypatch):
+    from lexmill.plans import model_steps as steps
+
+    rows = [(f"{c}{k}", 10 * n + k, c, f"{c} is statement {k}.", "doc::c1") for n, c in enumerate(("Order Book", "Trade Log")) for k in range(3)]
+    own = spark.createDataFrame(rows, "fact_id string, fact_seq long, concept string, content string, source_chunk_id string")
+    pages = spark.createDataFrame([(c, c, "text") for c in ("Order Book", "Trade Log")], "title string, concept string, markdown string")
+    written = {r["concept"]: r["markdown"] for r in steps.synthesized(pages, own, models.Rule(lambda p: p, "rule")).collect()}
+    assert "Pages to link: Trade Log" in written["Order Book"] and "Pages to link: Order Book" in written["Trade Log"]
+    docs = spark.createDataFrame([(1, "a", "The order book lists all open orders of the market.")], "doc_id long, source string, text string")
+    seeds = spark.createDataFrame([(f"seed number {i}x", i) for i in range(600)], "seed string, seed_idx int")
+    options, given, prompts = pipeline.Options(models.rule_extractor(), models.rule_namer()), [], models.prompt_of_statements
+    monkeypatch.setattr(models, "prompt_of_statements", lambda rows, names: given.extend(names) or prompts(rows, names))
+    pipeline.name_concepts(pipeline.extract_statements(docs, options), options, seeds)
+    assert given == [f"seed number {i}x" for i in range(600)]
