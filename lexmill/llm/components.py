@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import materialise
+from ._store import discard, materialise
 
 
 def connected_components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(node, root) for every node of links (u, v); root is the component's smallest node.
+    """(node, root) for every node of links (u, v), as a scratch table; root is the component's smallest node.
 
     Each step keeps about as many rows as there are links and holds no group in one task: minima are
     aggregated map-side and joined back.  Rounds grow with the logarithm of the longest path.
@@ -22,7 +22,8 @@ def connected_components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
-        edges = materialise(small, "edges")
+        last, edges = edges, materialise(small, "edges")
+        discard(last)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -30,4 +31,6 @@ def connected_components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+    out = materialise(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots), "roots")
+    discard(edges)
+    return out

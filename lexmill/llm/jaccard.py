@@ -8,7 +8,8 @@ one.  Some first-level parts are added, so that enough signatures agree even wit
 shingle at all, which are dropped; a set with too many of them keeps them.
 
 Links are then found without listing all pairs of a group: sets that share a signature are first
-compared with its smallest one only.  Where members of a signature still lie in different components,
+compared with its smallest one only, within each lot of rows that a task signs and then between lots,
+so that no signature gathers all its sets in one place.  Where members of a signature still lie in different components,
 these are compared, in blocks, by a sketch that can only underestimate their difference, and what is
 left exactly.  So every link between different components is seen, and components are exact.
 
@@ -29,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import drop_finished_shuffles, fields_of, materialise, packed
+from ._store import discard, drop_finished_shuffles, fields_of, materialise, packed
 from ._words import Words, join, mix, windows
 from .components import connected_components
 
 #: Members of one signature that are compared in one task; larger groups are dealt over pairs of blocks.
-BLOCK = 1500
+BLOCK = 700
 
 
 @functools.lru_cache(64)
@@ -105,19 +106,19 @@ def _highs(num: int, den: int, up_to: int) -> np.ndarray:
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    """For each of n/2 to n cells of the domain, 14 bits of its hashes' sum and 2 of their number."""
+    """For each of n/2 to n cells of the domain, one byte: 6 bits of its hashes' sum and 2 of their number."""
     cells = max(64, 1 << (len(shingles) // 2).bit_length())
     cut = np.searchsorted(shingles, np.arange(1, cells, dtype="u8") * np.uint64(2**64 // cells))
     sums = np.zeros(len(shingles) + 1, "u8")
     np.cumsum(mix(shingles), out=sums[1:])
     edges = np.concatenate([[0], cut, [len(shingles)]])
-    return ((sums[edges[1:]] - sums[edges[:-1]]) << np.uint64(2) | (np.diff(edges) & 3).astype("u8")).astype("<u2")
+    return (((sums[edges[1:]] - sums[edges[:-1]]) & np.uint64(63)) << np.uint64(2) | (np.diff(edges) & 3).astype("u8")).astype("u1")
 
 
 def fold(cells: np.ndarray, n: int) -> np.ndarray:
-    """Sketches (in the last axis) of n cells, from such of a multiple."""
-    wide = cells.reshape(*cells.shape[:-1], n, -1)
-    return ((wide >> 2).sum(axis=-1, dtype="u2") << 2 | (wide & 3).sum(axis=-1, dtype="u2") & 3).astype("u2")
+    """A sketch of n cells, from one of a multiple."""
+    wide = cells.reshape(n, -1)
+    return (((wide >> 2).sum(axis=1, dtype="u1") & 63) << 2 | (wide & 3).sum(axis=1, dtype="u1") & 3).astype("u1")
 
 
 #: By the difference of two cells' numbers modulo 4, and whether the cells differ: shingles in only one at least.
@@ -129,17 +130,6 @@ def least_difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _LEAST[(a != b).astype("u1"), ((a & 3) - (b & 3)) & 3].sum(axis=-1, dtype="i8")
 
 
-def coarse(cells: np.ndarray) -> np.ndarray:
-    """A sketch of half as many cells of one byte: 6 bits of the sum and 2 of the number."""
-    x = fold(cells, len(cells) // 2)
-    return ((x >> 2 & 63) << 2 | x & 3).astype("u1")
-
-
-def fold_coarse(cells: np.ndarray, n: int) -> np.ndarray:
-    wide = cells.reshape(n, -1)
-    return (((wide >> 2).sum(axis=1, dtype="u1") & 63) << 2 | (wide & 3).sum(axis=1, dtype="u1") & 3).astype("u1")
-
-
 def shingle_sets(texts: list[str | None], size: int) -> Iterator[np.ndarray]:
     """The sorted shingle hashes of each text; words are lower-cased in A-Z."""
     data, begins = join(texts)
@@ -154,57 +144,87 @@ def _slices(texts: list, rows: int = 500) -> Iterator[list]:
         yield texts[k : k + rows]
 
 
-def _sets(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    for batch in batches:
-        texts = batch.column(column).to_pylist()
-        yield batch, [s for part in _slices(texts) for s in shingle_sets(part, size)]
-
-
 def _set_id(shingles: np.ndarray) -> int:
     return int(mix(np.array([shingles.sum(dtype="u8") + np.uint64(len(shingles))], "u8")).view("i8")[0])
 
 
 def _profile(size: int):
+    """Row columns with n_shingles and node, and for the first of equal sets in a task its sketch, whole and folded by half."""
+
     def run(batches):
-        for batch, sets in _sets(batches, "_text", size):
-            kept = [k for k, name in enumerate(batch.schema.names) if name != "_text"]
-            ids = pa.array([_set_id(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array([len(s) for s in sets], pa.int64()), ids], names=[*(batch.schema.names[k] for k in kept), "n_shingles", "node"])
+        seen: set[int] = set()
+        for batch in batches:
+            for low in range(0, batch.num_rows, 500):
+                part = batch.slice(low, 500)
+                n, ids, fine, half = [], [], [], []
+                for s in shingle_sets(part.column("_text").to_pylist(), size):
+                    node, cells = (_set_id(s), None) if len(s) else (None, None)
+                    if node is not None and node not in seen:
+                        seen.add(node)
+                        cells = sketch(s)
+                    n.append(len(s))
+                    ids.append(node)
+                    fine.append(None if cells is None else cells.tobytes())
+                    half.append(None if cells is None else fold(cells, len(cells) // 2).tobytes())
+                kept = [k for k, name in enumerate(part.schema.names) if name != "_text"]
+                new = [pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(fine, pa.binary()), pa.array(half, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), *new], names=[*(part.schema.names[k] for k in kept), "n_shingles", "node", "fine", "half"])
 
     return run
 
 
-def _sign(size: int, num: int, den: int):
+def _combined(sigs: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
+    """One row (sig, smallest node, null) for each signature, and for those that several sets share here
+    a row (sig, node, smallest node) for each of them."""
+    sig = np.concatenate([*sigs, np.zeros(0, "u8")]).view("i8")
+    node = np.repeat(np.array(nodes, "i8"), [len(x) for x in sigs])
+    order = np.lexsort((node, sig))
+    sig, node = sig[order], node[order]
+    first = np.append(True, sig[1:] != sig[:-1]) if len(sig) else np.zeros(0, bool)
+    begin = np.flatnonzero(first)
+    count = np.diff(np.append(begin, len(sig)))
+    low = np.repeat(node[begin], count)
+    several = np.repeat(count > 1, count)
+    none = pa.nulls(len(begin), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([sig[begin], sig[several]])), pa.array(np.concatenate([node[begin], node[several]])), pa.concat_arrays([none, pa.array(low[several])])], names=["sig", "node", "low"])
+
+
+def _sign(size: int, num: int, den: int, rows: int = 500_000):
+    """Signatures of each distinct set in a task, combined by about so many rows: a signature that a third of
+    all sets have makes only one row of each such lot meet in one place."""
+
     def run(batches):
         seen: set[int] = set()  # copies within a task are signed once
+        sigs, nodes, held = [], [], 0
         for batch in batches:
             for part in _slices(batch.column("_text").to_pylist()):
-                sigs, nodes = [], []
                 for s in shingle_sets(part, size):
                     if len(s) and (node := _set_id(s)) not in seen:
                         seen.add(node)
                         sigs.append(signatures(s, num, den))
                         nodes.append(node)
-                counts = [len(x) for x in sigs]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sigs, np.zeros(0, "u8")]).view("i8")), pa.array(np.repeat(np.array(nodes, "i8"), counts))], names=["sig", "node"])
+                        held += len(sigs[-1])
+                if held >= rows:
+                    yield _combined(sigs, nodes)
+                    sigs, nodes, held = [], [], 0
+        yield _combined(sigs, nodes)
 
     return run
 
 
-def _describe(size: int, whole: bool):
-    """(node, n, data, coarse) once for each node in a task: the set's bytes, or its sketches'."""
+def _whole(size: int):
+    """(node, data) once for each node in a task: the bytes of the set."""
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            for part in _slices(batch.column("_text").to_pylist()):
+            for part in _slices(batch.column("_text").to_pylist(), 100):
                 rows = []
                 for s in shingle_sets(part, size):
                     if len(s) and (node := _set_id(s)) not in seen:
                         seen.add(node)
-                        cells = None if whole else sketch(s)
-                        rows.append((node, len(s), s.tobytes(), None) if whole else (node, len(s), cells.tobytes(), coarse(cells).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["node", "n", "data", "coarse"])
+                        rows.append((node, s.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["node", "data"])
 
     return run
 
@@ -214,19 +234,6 @@ def _may_link(n: np.ndarray, m: int, differ: np.ndarray, num: int, den: int) ->
     return ((den + num) * differ <= (den - num) * (n + m)) & (den * np.minimum(n, m) >= num * np.maximum(n, m))
 
 
-def _sketch_filter(num: int, den: int):
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for na, a, nb, b in zip(batch.column("na").to_pylist(), batch.column("da"), batch.column("nb").to_pylist(), batch.column("db"), strict=True):
-                x, y = np.frombuffer(a.as_py(), "u1"), np.frombuffer(b.as_py(), "u1")
-                c = min(len(x), len(y))
-                keep.append(bool(_may_link(np.array(na), nb, least_difference(fold_coarse(x, c), fold_coarse(y, c)), num, den)))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
 def _exact_filter(num: int, den: int):
     def run(batches):
         for batch in batches:
@@ -240,8 +247,8 @@ def _exact_filter(num: int, den: int):
     return run
 
 
-def _cross_pairs(num: int, den: int):
-    """Pairs of members of a signature, of different roots, whose sketches allow a link.
+def _near_pairs(num: int, den: int):
+    """Pairs of members of a group, of different roots, whose sketches allow a link.
 
     Rows come sorted by group: (group, side, node, root, n, data); side 0 is compared with side 1, or
     with itself where all are 0.
@@ -250,22 +257,28 @@ def _cross_pairs(num: int, den: int):
     def compare(group: pa.RecordBatch):
         side = group.column("side").to_numpy()
         node, root, n = (group.column(c).to_numpy() for c in ("node", "root", "n"))
-        raw = [np.frombuffer(x.as_py(), "<u2") for x in group.column("data")]
-        c = min(map(len, raw))
-        cells = np.stack([fold(x, c) for x in raw])
-        right = np.flatnonzero(side == 1) if side.any() else np.arange(len(side))
+        raw = [np.frombuffer(x.as_py(), "u1") for x in group.column("data")]
+        size = np.array([len(x) for x in raw])
+        one = not side.any()
+        # Sketches of one size are compared at once, with those of each other size at the smaller one.
+        stacks = {c: (np.flatnonzero(size == c), np.stack([raw[k] for k in np.flatnonzero(size == c)])) for c in np.unique(size).tolist()}
         for i in np.flatnonzero(side == 0).tolist():
-            j = right[right > i] if not side.any() else right
-            j = j[(root[j] != root[i]) & (den * np.minimum(n[j], n[i]) >= num * np.maximum(n[j], n[i]))]
-            if len(j):
-                j = j[_may_link(n[j], int(n[i]), least_difference(cells[j], cells[i]), num, den)]
-                yield from ((int(node[i]), int(node[k])) for k in j)
+            for c, (at, cells) in stacks.items():
+                good = (side[at] == 1) if not one else (at > i)
+                good &= (root[at] != root[i]) & (den * np.minimum(n[at], n[i]) >= num * np.maximum(n[at], n[i]))
+                if good.any():
+                    j, own = at[good], cells[good]
+                    m = min(c, int(size[i]))
+                    if c > m:
+                        own = np.stack([fold(x, m) for x in own])
+                    j = j[_may_link(n[j], int(n[i]), least_difference(own, fold(raw[i], m)), num, den)]
+                    yield from ((int(node[i]), int(node[k])) for k in j)
 
     def run(batches):
         rest, seen = None, set()
 
         def out(group):
-            if len(seen) > 1 << 20:
+            if len(seen) > 1 << 16:
                 seen.clear()
             # A pair that shares several signatures of a task is told once.
             pairs = [p for p in compare(group) if p not in seen] if group.num_rows > 1 else []
@@ -288,15 +301,6 @@ def _cross_pairs(num: int, den: int):
     return run
 
 
-def _with(pairs: DataFrame, described: DataFrame, data: str, num: int, den: int) -> DataFrame:
-    """pairs of sizes that allow a link, with both sides' data."""
-    left = described.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col(data).alias("da"))
-    sizes = described.select(F.col("node").alias("b"), F.col("n").alias("nb"))
-    fit = den * F.least("na", "nb") >= num * F.greatest("na", "nb")
-    own = pairs.join(sizes, "b").join(left.select("a", "na"), "a").filter(fit)
-    return own.join(left.select("a", "da"), "a").join(described.select(F.col("node").alias("b"), F.col(data).alias("db")), "b")
-
-
 def similarity_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, block: int = BLOCK) -> DataFrame:
     """docs' columns but text, with n_shingles and component_id, the smallest doc_id reachable by links.
 
@@ -305,34 +309,46 @@ def similarity_components(docs: DataFrame, size: int = 5, num: int = 80, den: in
     spark = docs.sparkSession
     text = docs.select(F.col("text").cast("string").alias("_text"))
     keyed = packed(docs, ("n_shingles", "component_id")).select("_row", F.col("_row.doc_id").cast("long").alias("doc_id"), "_text", F.xxhash64("_text").alias("_key"))
-    profile = materialise(keyed.mapInArrow(_profile(size), ", ".join([*fields_of(keyed, ("_text",)), "n_shingles long, node long"])), "profile")
-    keys = profile.filter("node IS NOT NULL").groupBy("node").agg(F.min("_key").alias("_key"), F.count("*").alias("copies"))
-
-    # One shuffle of all signatures; those of a single set end here.
-    signed = text.mapInArrow(_sign(size, num, den), "sig long, node long")
-    by_sig = Window.partitionBy("sig")
-    shared = signed.withColumns({"pivot": F.min("node").over(by_sig), "last": F.max("node").over(by_sig)}).filter("pivot <> last").select("sig", "node", "pivot").distinct()
-    shared = materialise(shared, "shared")
+    profile = materialise(keyed.mapInArrow(_profile(size), ", ".join([*fields_of(keyed, ("_text",)), "n_shingles long, node long, fine binary, half binary"])), "profile")
+
+    # One shuffle of all signatures; those of a single set end here.  Rows combined before are spread.
+    signed = text.mapInArrow(_sign(size, num, den), "sig long, node long, low long")
+    here = F.col("low").isNotNull()
+    by_sig = Window.partitionBy(F.when(here, F.xxhash64("sig", "node")).otherwise(F.col("sig")), here)
+    shared = signed.withColumns({"first": F.min("node").over(by_sig), "last": F.max("node").over(by_sig)}).filter(here | (F.col("first") != F.col("last")))
+    shared = materialise(shared.select("sig", "node", F.coalesce("low", "first").alias("pivot")).distinct(), "shared")
     del signed
     drop_finished_shuffles(spark)
 
-    def described(nodes: DataFrame, whole: bool) -> DataFrame:
-        """Sets or sketches of nodes, read again from the texts of one copy each."""
-        wanted = nodes.join(keys, "node").select("_key").distinct()
-        own = text.withColumn("_key", F.xxhash64("_text")).join(wanted, "_key", "left_semi").select("_text")
-        return own.mapInArrow(_describe(size, whole), "node long, n long, data binary, coarse binary").dropDuplicates(["node"])
+    def near(dealt: DataFrame, data: str) -> DataFrame:
+        """Pairs of dealt (group, side, node, root) that sketches don't rule out."""
+        cells = profile.filter(F.col(data).isNotNull()).select("node", F.col("n_shingles").alias("n"), F.col(data).alias("data")).dropDuplicates(["node"])
+        wide = dealt.join(cells, "node").select("group", "side", "node", "root", "n", "data")
+        return materialise(wide.repartition("group").sortWithinPartitions("group").mapInArrow(_near_pairs(num, den), "a long, b long").distinct(), "near")
 
     def exact(pairs: DataFrame) -> DataFrame:
+        """The pairs that link, by whole sets read again from the texts of one copy each."""
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        return _with(pairs, materialise(described(nodes, True).select("node", "n", "data"), "sets"), "data", num, den).select("a", "b", "da", "db").mapInArrow(_exact_filter(num, den), "a long, b long")
-
-    sketches = materialise(described(shared.select("node").distinct(), False), "sketches")
-    stars = shared.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    stars = materialise(_with(stars, sketches, "coarse", num, den).mapInArrow(_sketch_filter(num, den), "a long, b long"), "stars")
-    drop_finished_shuffles(spark)
-    links = materialise(exact(stars), "links").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        wanted = materialise(profile.filter("fine IS NOT NULL").select("node", "_key").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("_key").alias("_key")).select("_key").distinct(), "wanted")
+        own = text.withColumn("_key", F.xxhash64("_text")).join(wanted, "_key", "left_semi").select("_text")
+        sets = materialise(own.mapInArrow(_whole(size), "node long, data binary").dropDuplicates(["node"]), "sets")
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("data").alias("da")), "a").join(sets.select(F.col("node").alias("b"), F.col("data").alias("db")), "b")
+        links = materialise(both.mapInArrow(_exact_filter(num, den), "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+        discard(pairs, wanted, sets)
+        drop_finished_shuffles(spark)
+        return links
+
+    # Stars: a pivot goes to every task that some of its members are dealt to, by its number of them.
+    stars = materialise(shared.filter("node <> pivot").select("node", "pivot").distinct(), "stars")
+    tasks = stars.groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("tasks"))
+    members = stars.join(tasks, "pivot").select(F.xxhash64("pivot", F.pmod(F.xxhash64("node"), "tasks")).alias("group"), F.lit(1).alias("side"), "node", F.col("node").alias("root"))
+    pivots = tasks.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks").cast("long") - 1)).alias("k")).select(F.xxhash64("pivot", "k").alias("group"), F.lit(0).alias("side"), F.col("pivot").alias("node"), F.col("pivot").alias("root"))
+    found = near(members.union(pivots), "half")
+    discard(stars)
     drop_finished_shuffles(spark)
-    roots = materialise(connected_components(links), "roots")
+    links = exact(found)
+    roots = connected_components(links)
+    discard(links)
 
     # Signatures whose members are still in several components.
     member = shared.select("sig", "node").join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
@@ -340,18 +356,17 @@ def similarity_components(docs: DataFrame, size: int = 5, num: int = 80, den: in
     # Of signatures with the same members one is enough; two sums of hashes tell sets of members apart.
     open_ = materialise(open_.groupBy("low", "high", "members", "sum1", "sum2").agg(F.min("sig").alias("sig")).select("sig", "members"), "open")
     blocks = F.ceil(F.col("members") / block).cast("int")
-    member = member.join(open_, "sig").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    member = member.distinct().join(open_, "sig").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # A member of block b meets every other block once; groups of one block meet themselves.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = member.withColumn("other", other).select(F.xxhash64("sig", F.least("own", "other"), F.greatest("own", "other")).alias("group"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "root")
-    wide = dealt.join(sketches, "node").select("group", "side", "node", "root", "n", "data")
-    crossed = wide.repartition("group").sortWithinPartitions("group").mapInArrow(_cross_pairs(num, den), "a long, b long").distinct()
-    crossed = materialise(crossed, "crossed")
+    crossed = near(dealt, "fine")
+    discard(shared, open_)
     drop_finished_shuffles(spark)
-    more = exact(crossed).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    all_links = materialise(roots.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).union(more), "links")
-    roots = materialise(connected_components(all_links), "roots")
+    more = exact(crossed)
+    joined = connected_components(roots.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
+    discard(roots, more)
 
-    classed = profile.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classed = profile.drop("fine", "half").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = classed.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("_first"))
     return classed.join(first, "root", "left").withColumn("component_id", F.coalesce("_first", "doc_id")).select("_row.*", "n_shingles", "component_id")

@@ -103,7 +103,7 @@ def test_special_token_strings_and_odd_spaces():
         assert own.ids(x) == np.asarray(tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-@pytest.mark.parametrize(("size", "num", "den", "block"), [(3, 90, 100, 1500), (5, 80, 100, 3)])
+@pytest.mark.parametrize(("size", "num", "den", "block"), [(3, 90, 100, 700), (5, 80, 100, 3)])
 def test_jaccard_components(spark, rows, size, num, den, block):
     def shingles(t):
         w = [ascii_lower(x) for x in words(t)]
@@ -140,7 +140,8 @@ def test_similar_sets_share_a_signature():
                 both = len(np.intersect1d(a, b))
                 x, y = jaccard.sketch(a), jaccard.sketch(b)
                 m = min(len(x), len(y))
-                assert jaccard.least_difference(jaccard.fold(x, m), jaccard.fold(y, m)) <= len(a) + len(b) - 2 * both
+                for c in (m, m // 2):
+                    assert jaccard.least_difference(jaccard.fold(x, c), jaccard.fold(y, c)) <= len(a) + len(b) - 2 * both
                 if den * both >= num * (len(a) + len(b) - both) and not np.array_equal(a, b):
                     assert len(np.intersect1d(jaccard.signatures(a, num, den), jaccard.signatures(b, num, den)))
 
