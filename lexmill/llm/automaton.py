@@ -6,6 +6,7 @@ classes, groups, ``|``, ``? * +`` and ``{m}``, ``{m,}``, ``{m,n}``.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -147,12 +148,32 @@ class _Nfa:
 
 @dataclass
 class Automaton:
-    """table[state * n_classes + classes[byte]] is the next state, from state 0; masks has the rules that end in a state."""
+    """table[state * n_classes + classes[byte]] is the next state, from state 0; masks has the rules that end in a state.
+
+    dead is the state that nothing leaves and nothing ends in, -1 if there is none.
+    """
 
     table: np.ndarray
     classes: np.ndarray
     masks: np.ndarray
     n_classes: int
+    dead: int = -1
+
+    def longest(self, data: bytes, start: int, end: int) -> int | None:
+        """Where the longest match of data from start towards end stops; backwards if end is less.  None without a match."""
+        table, classes, masks, k = self._lists
+        state, best, step = 0, None, 1 if end >= start else -1
+        for i in range(start, end, step):
+            state = table[state * k + classes[data[i] if step > 0 else data[i - 1]]]
+            if state == self.dead:
+                break
+            if masks[state]:
+                best = i + step
+        return best
+
+    @functools.cached_property
+    def _lists(self):
+        return self.table.tolist(), self.classes.tolist(), self.masks.tolist(), self.n_classes
 
     @property
     def resets(self) -> np.ndarray:
@@ -161,14 +182,24 @@ class Automaton:
         return (t == 0).all(axis=0)[self.classes]
 
 
-def compile_rules(rules: list[tuple[str, bool]], max_states: int = 100_000) -> Automaton:
-    """One automaton that finds where any of the (pattern, any_case) rules ends, wherever it begins."""
+def _reversed(node):
+    if node[0] == "cat":
+        return ("cat", [_reversed(x) for x in reversed(node[1])])
+    if node[0] == "or":
+        return ("or", [_reversed(x) for x in node[1]])
+    return ("rep", _reversed(node[1]), *node[2:]) if node[0] == "rep" else node
+
+
+def compile_rules(rules: list[tuple[str, bool]], max_states: int = 100_000, anchored: bool = False, backwards: bool = False) -> Automaton:
+    """One automaton that finds where any of the (pattern, any_case) rules ends, wherever it begins; anchored:
+    only from the first byte; backwards: of the reversed patterns."""
     nfa = _Nfa()
     first = nfa.state()
     for k, (pattern, any_case) in enumerate(rules):
         begin = nfa.state()
         nfa.empty[first].append(begin)
-        end = nfa.build(_Parser(pattern, any_case).parse(), begin)
+        tree = _Parser(pattern, any_case).parse()
+        end = nfa.build(_reversed(tree) if backwards else tree, begin)
         nfa.accept[end] = nfa.accept.get(end, 0) | 1 << k
     # Bytes that no edge tells apart are one class.
     sets = sorted({bits for edges in nfa.edges for bits, _ in edges})
@@ -206,7 +237,7 @@ def compile_rules(rules: list[tuple[str, bool]], max_states: int = 100_000) -> A
     start = closure(first)
     numbers, order, rows = {start: 0}, [start], []
     for current in order:
-        targets = [set(start) for _ in kinds]
+        targets = [set() if anchored else set(start) for _ in kinds]
         for state in current:
             for c, to in moves_of(state).items():
                 targets[c] |= to
@@ -238,21 +269,22 @@ def compile_rules(rules: list[tuple[str, bool]], max_states: int = 100_000) -> A
     swap[[0, part[0]]] = swap[[part[0], 0]]
     part, small, ends = swap[part], np.empty((n, len(kinds)), "i4"), np.empty(n, "i4")
     small[part], ends[part] = part[table], masks
-    return Automaton(small.reshape(-1), classes, ends, len(kinds))
+    dead = np.flatnonzero((small == np.arange(n)[:, None]).all(axis=1) & (ends == 0))
+    return Automaton(small.reshape(-1), classes, ends, len(kinds), int(dead[0]) if anchored and len(dead) else -1)
 
 
 #: Bytes a lane has at most before it goes on alone; aim of a lane.
 LANE, LONG = 512, 16384
 
 
-def scan(automaton: Automaton, data: np.ndarray) -> list[tuple[int, int, int]]:
-    """(start, end, mask) of the stretches of data in which rules end; one pass over all bytes.
+def scan(automaton: Automaton, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, masks): every byte of data after which rules end, in order, and which; one pass over all bytes.
 
     data is cut after bytes that reset the automaton, into lanes that advance in step.
     """
     n = len(data)
     if not n:
-        return []
+        return np.zeros(0, "i8"), np.zeros(0, "i4")
     cuts = np.flatnonzero(automaton.resets[data] & (data < 128)) + 1
     aims = np.searchsorted(cuts, np.arange(LANE, n, LANE))
     starts = np.unique(np.concatenate([[0], cuts[aims[aims < len(cuts)]]]))
@@ -263,22 +295,30 @@ def scan(automaton: Automaton, data: np.ndarray) -> list[tuple[int, int, int]]:
     symbols, table, masks, k = automaton.classes[data], automaton.table * automaton.n_classes, automaton.masks, automaton.n_classes
     mask_of = np.zeros(len(table), "i4")
     mask_of[::k] = masks
-    found, state = np.zeros(len(starts), "i4"), np.zeros(len(starts), "i4")
+    places, found, state = [np.zeros(0, "i8")], [np.zeros(0, "i4")], np.zeros(len(starts), "i4")
     alone = int((lengths > LONG).sum())
     # Lanes by falling length: the first `active` ones still have a byte at j.
     active_at = np.searchsorted(-lengths, -np.arange(min(int(lengths[0]), LONG)) - 1, side="right")
     for j, active in enumerate(active_at.tolist()):
-        own = symbols[starts[alone:active] + j]
-        s = table[state[alone:active] + own]
+        at = starts[alone:active] + j
+        s = table[state[alone:active] + symbols[at]]
         state[alone:active] = s
-        found[alone:active] |= mask_of[s]
+        own = mask_of[s]
+        hit = np.flatnonzero(own)
+        if len(hit):
+            places.append(at[hit])
+            found.append(own[hit])
     if alone:
         steps, ends = table.tolist(), mask_of.tolist()
         for lane in range(alone):
-            s = mask = 0
-            for c in symbols[starts[lane] : starts[lane] + lengths[lane]].tolist():
+            s, at, own = 0, [], []
+            for i, c in enumerate(symbols[starts[lane] : starts[lane] + lengths[lane]].tolist(), int(starts[lane])):
                 s = steps[s + c]
-                mask |= ends[s]
-            found[lane] = mask
-    hit = np.flatnonzero(found)
-    return sorted(zip(starts[hit].tolist(), (starts[hit] + lengths[hit]).tolist(), found[hit].tolist(), strict=True))
+                if ends[s]:
+                    at.append(i)
+                    own.append(ends[s])
+            places.append(np.array(at, "i8"))
+            found.append(np.array(own, "i4"))
+    at, own = np.concatenate(places), np.concatenate(found)
+    order = np.argsort(at)
+    return at[order], own[order]

@@ -1,19 +1,21 @@
 """Operator 8: secret scans by one combined deterministic automaton.
 
 All rules' byte expressions are compiled by subset construction and minimisation into one transition
-array; every byte of every text passes it once, for all rules together.  Only in the stretches where
-the automaton says that a rule ends are that rule's exact spans then taken (leftmost, not
-overlapping, in code points).
+array; every byte of every text passes it once, for all rules together, and the places where a rule's
+match may end come out.  Places in a row are one match; the reversed automaton of that rule, run back
+from its end, gives the leftmost start after the match before (leftmost, not overlapping, in code
+points).  No other engine for expressions is used.
 
 Edge cases: a null text is an empty one; an empty text has no spans; rows with equal or null ids
-stay rows of their own; an empty table gives an empty result; other columns pass through.
+stay rows of their own, also where texts are equal; texts may be of any length; an empty table gives
+an empty result; other columns pass through, but for those named as a column of the result, which
+that column replaces.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,71 +29,80 @@ from .automaton import Automaton, compile_rules, scan
 
 @dataclass(frozen=True)
 class Rule:
-    """exact is matched, then a match fails whose group is shorter than least; scan finds where one may be.
+    """A match is head and body; it fails if the body has less than least code points.
 
-    scan doesn't count repeats up to least, as the counters of several rules multiply in the automaton.
+    Expressions are over bytes, with the classes written out, so that no letter outside ASCII matches.
+    A match must end where its places of end in a row do: the body ends with a repeated class, or in
+    one way only.  many stands for body in the combined automaton: it needn't count up to least, as the
+    counters of several rules multiply, but where it finds no end no body reaches least.
     """
 
     kind: str
-    exact: str
-    scan: str
-    group: int = 0
+    body: str
+    head: str = ""
     least: int = 0
     any_case: bool = False
+    many: str = ""
 
 
-_BODY = r"[A-Za-z0-9+/_.=-]"
-_HEAD = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
 #: The three base kinds, whose spans are fixed.
 BASE = (
-    Rule("assign", _HEAD.replace("(password|passwd|secret|token|api_?key)", "((?i:password|passwd|secret|token|api_?key))") + f"({_BODY}+)", _HEAD + _BODY + "+", 2, 12, True),
-    Rule("access", "AKIA[A-Z0-9]+", "AKIA[A-Z0-9]+", 0, 18),
-    Rule("hex", "[0-9a-f]+", "[0-9a-f]{8,}", 0, 16),
+    Rule("assign", r"[A-Za-z0-9+/_.=-]+", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?""", 12, True),
+    Rule("access", "AKIA[A-Z0-9]+", "", 18),
+    Rule("hex", "[0-9a-f]+", "", 16, many="[0-9a-f]{8,}"),
 )
 #: What the method adds: widely documented formats of keys.
 ADDED = (
-    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("github", "gh[pousr]_[A-Za-z0-9]+", "gh[pousr]_[A-Za-z0-9]+", 0, 40),
-    Rule("slack", "xox[baprs]-[A-Za-z0-9-]+", "xox[baprs]-[A-Za-z0-9-]+", 0, 15),
-    Rule("stripe", "sk_live_[A-Za-z0-9]+", "sk_live_[A-Za-z0-9]+", 0, 24),
-    Rule("google", "AIza[A-Za-z0-9_-]+", "AIza[A-Za-z0-9_-]+", 0, 39),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("github", "gh[pousr]_[A-Za-z0-9]+", "", 40),
+    Rule("slack", "xox[baprs]-[A-Za-z0-9-]+", "", 15),
+    Rule("stripe", "sk_live_[A-Za-z0-9]+", "", 24),
+    Rule("google", "AIza[A-Za-z0-9_-]+", "", 39),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
 )
 RULES = BASE + ADDED
 
 
 @functools.lru_cache(4)
 def automaton_of(rules: tuple[Rule, ...]) -> Automaton:
-    return compile_rules([(r.scan, r.any_case) for r in rules])
+    return compile_rules([(r.head + (r.many or r.body), r.any_case) for r in rules])
 
 
 @functools.lru_cache(4)
-def _patterns(rules: tuple[Rule, ...]):
-    return [re.compile(r.exact) for r in rules]
+def _single(rules: tuple[Rule, ...]) -> list[tuple[Automaton, Automaton | None]]:
+    """For each rule the reversed automaton of its match, and the one of its head."""
+    back = [compile_rules([(r.head + r.body, r.any_case)], anchored=True, backwards=True) for r in rules]
+    return [(b, compile_rules([(r.head, r.any_case)], anchored=True) if r.head else None) for b, r in zip(back, rules, strict=True)]
 
 
 def spans_of(rules: tuple[Rule, ...], automaton: Automaton, texts: list[str]) -> list[list[tuple[int, int, int]]]:
     """(start, rule, end) in code points of every match in each text, sorted."""
-    raw = [t.encode() for t in texts]
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     # A line feed resets the automaton, as no rule's match holds one: texts can't run together.
-    data = np.frombuffer(b"\n".join(raw), "u1")
-    begins = np.cumsum([0, *(len(r) + 1 for r in raw)])
-    patterns = _patterns(rules)
-    for start, end, mask in scan(automaton, data):
-        for k in range(int(np.searchsorted(begins, start, side="right")) - 1, len(texts)):
-            if begins[k] >= end:
-                break
-            low, high = max(start - int(begins[k]), 0), min(end - int(begins[k]), len(raw[k]))
-            if low >= high:
+    raw = "\n".join(texts).encode()
+    data = np.frombuffer(raw, "u1")
+    places, masks = scan(automaton, data)
+    if not len(places):
+        return out
+    point = np.cumsum((data & 0xC0) != 0x80) - 1  # the code point that each byte belongs to
+    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    for r, (back, head) in enumerate(_single(rules)):
+        own = places[masks >> r & 1 == 1]
+        if not len(own):
+            continue
+        ends = own[np.append(np.diff(own) > 1, True)] + 1
+        done = 0
+        for end in ends.tolist():
+            start = back.longest(raw, end, done)
+            if start is None:
                 continue
-            base, piece = None, raw[k][low:high].decode()
-            for r, rule in enumerate(rules):
-                if mask >> r & 1:
-                    for m in patterns[r].finditer(piece):
-                        if len(m.group(rule.group)) >= rule.least:
-                            base = len(raw[k][:low].decode()) if base is None else base
-                            out[k].append((base + m.start(), r, base + m.end()))
+            done = end
+            body = start if head is None else head.longest(raw, start, end)
+            if end - body >= rules[r].least:
+                first = int(point[start])
+                k = int(np.searchsorted(begins, first, side="right")) - 1
+                first -= int(begins[k])
+                out[k].append((first, r, first + end - start))
     return [sorted(x) for x in out]
 
 
@@ -109,7 +120,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: int = l
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            hits = spans_of(rules, automaton, texts)
+            hits = [x for low in range(0, len(texts), 1000) for x in spans_of(rules, automaton, texts[low : low + 1000])]
             own = [[h for h in x if h[1] < base] for x in hits]
             columns = {name: batch.column(name) for name in batch.schema.names if name != "text"}
             for r in range(base):
