@@ -176,17 +176,17 @@ def _profile(size: int):
 def _combined(sigs: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
     """One row (sig, smallest node, null) for each signature, and for those that several sets share here
     a row (sig, node, smallest node) for each of them."""
-    sig = np.concatenate([*sigs, np.zeros(0, "u8")]).view("i8")
-    node = np.repeat(np.array(nodes, "i8"), [len(x) for x in sigs])
-    order = np.lexsort((node, sig))
-    sig, node = sig[order], node[order]
-    first = np.append(True, sig[1:] != sig[:-1]) if len(sig) else np.zeros(0, bool)
-    begin = np.flatnonzero(first)
+    all_sig = np.concatenate([*sigs, np.zeros(0, "u8")]).view("i8")
+    all_node = np.repeat(np.array(nodes, "i8"), [len(x) for x in sigs])
+    order = np.lexsort((all_node, all_sig))
+    sig, node = all_sig[order], all_node[order]
+    begin = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, "i8")
     count = np.diff(np.append(begin, len(sig)))
-    low = np.repeat(node[begin], count)
     several = np.repeat(count > 1, count)
-    none = pa.nulls(len(begin), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([sig[begin], sig[several]])), pa.array(np.concatenate([node[begin], node[several]])), pa.concat_arrays([none, pa.array(low[several])])], names=["sig", "node", "low"])
+    # Rows of one set stay together, so that shuffle files compress well.
+    one = np.sort(order[begin])
+    low = pa.concat_arrays([pa.nulls(len(one), pa.int64()), pa.array(np.repeat(node[begin], count)[several])])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([all_sig[one], sig[several]])), pa.array(np.concatenate([all_node[one], node[several]])), low], names=["sig", "node", "low"])
 
 
 def _sign(size: int, num: int, den: int, rows: int = 500_000):
