@@ -3,12 +3,14 @@
 Documents become pieces of at most ``seq_len`` tokens; whole sequences need no packing, the rest is
 dealt over partitions of bounded size, each packed by best-fit decreasing (BFD).  Dual feasible
 functions (DFF) give a lower bound on each partition's bins.  A partition whose bins exceed its bound
-has a gap: the documents of its bins that aren't full are exchanged with those of other partitions
-with gaps and packed anew, until no gap is left or a round no longer helps.
+has a gap.  It is first repacked by itself: bins exchange documents so that some are filled to the last
+token, BFD runs again on the rest, and what needs fewer bins, or leaves their free space in fewer places,
+stays.  Then the documents of its bins that aren't full are exchanged with those of other partitions with gaps and packed anew, until no gap is
+left or a round no longer saves a bin.  Each partition's bins and bound are in the written tables.
 
 Edge cases: a null text counts as an empty one and yields its end token alone; equal and repeated rows
-are packed as often as they occur; null ids are carried; an empty table gives an empty result; extra
-columns are ignored.
+are packed as often as they occur; null ids are carried; a text of any length is cut whole into pieces;
+an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +32,6 @@ from ._store import materialise
 ITEMS_PER_PARTITION = 50_000
 #: The pre-tokenizer of byte-level BPE, as its library has it (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-ROUNDS = 4
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACED = PIECES + ", bin long, offset long, fill long, part int, part_bins long, part_bound long"
@@ -157,6 +158,64 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
+def _filled(lengths: np.ndarray, capacity: int, rng: np.random.Generator, pool: int = 48) -> tuple[np.ndarray, np.ndarray, int]:
+    """Like best_fit_decreasing, but bins that subset sums fill to the last token come first: the longest item
+    left with some of a random pool; BFD packs what they don't take."""
+    bins, offsets = np.full(len(lengths), -1, "i8"), np.zeros(len(lengths), "i8")
+    sizes, n = lengths.tolist(), 0
+    for head in range(len(sizes)):
+        if bins[head] >= 0:
+            continue
+        room = capacity - sizes[head]
+        left = head + 1 + np.flatnonzero(bins[head + 1 :] < 0)
+        if len(left) > pool:
+            left = np.sort(rng.choice(left, pool, replace=False))
+        reach, mask = [1], (1 << (room + 1)) - 1
+        for i in left.tolist():
+            reach.append((reach[-1] | reach[-1] << sizes[i]) & mask)
+            if reach[-1] >> room & 1:
+                break
+        if not reach[-1] >> room & 1:
+            continue
+        bins[head], at = n, sizes[head]
+        for j in range(len(reach) - 1, 0, -1):
+            if not reach[j - 1] >> room & 1:
+                i = int(left[j - 1])
+                bins[i], offsets[i] = n, at
+                at, room = at + sizes[i], room - sizes[i]
+        n += 1
+    rest = np.flatnonzero(bins < 0)
+    own, at, m = best_fit_decreasing(lengths[rest], capacity)
+    bins[rest], offsets[rest] = own + n, at
+    return bins, offsets, n + m
+
+
+def repacked(lengths: np.ndarray, bins: np.ndarray, offsets: np.ndarray, n: int, capacity: int, bound: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """A packing of at most n bins, made from random shares of the bins while there are more than bound.
+
+    lengths are in descending order.  BFD runs again on the items of a share, after some of them were put
+    into bins that they fill exactly; the share's new packing stays if it has fewer bins, or as many with a
+    larger sum of squared fills, which gathers free space.  The number of tries goes down with the size of the
+    partition, as a bin of a small one counts for more.
+    """
+    rng, fill = np.random.default_rng(len(lengths)), np.bincount(bins, weights=lengths, minlength=n)
+    for _ in range(int(np.clip(20_000 // max(1, len(lengths)), 2, 60))):
+        if n <= bound:
+            break
+        # Open bins first: of 400 bins at most at once, as subset sums take their time.
+        weight = rng.random(n) * (1 + (fill < capacity))
+        old = np.sort(np.argsort(-weight)[: int(min(400, np.ceil(n * rng.uniform(0.3, 1.0))))])
+        own = np.flatnonzero(np.isin(bins, old))
+        new, at, m = _filled(lengths[own], capacity, rng)
+        filled = np.bincount(new, weights=lengths[own], minlength=m)
+        if m < len(old) or (m == len(old) and (filled**2).sum() > (fill[old] ** 2).sum()):
+            bins, offsets = bins.copy(), offsets.copy()
+            bins[own], offsets[own] = old[new], at
+            used, bins = np.unique(bins, return_inverse=True)
+            n, fill = len(used), np.bincount(bins, weights=lengths, minlength=len(used))
+    return bins, offsets, n
+
+
 def _pack_partition(capacity: int):
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         all_ = [f for f in frames if len(f)]
@@ -164,10 +223,11 @@ def _pack_partition(capacity: int):
             return
         items = pd.concat(all_, ignore_index=True).sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True], kind="stable", ignore_index=True)
         lengths = items["length"].to_numpy("i8")
-        bins, offsets, n = best_fit_decreasing(lengths, capacity)
+        bound = lower_bound(lengths, capacity)
+        bins, offsets, n = repacked(lengths, *best_fit_decreasing(lengths, capacity), capacity, bound)
         fill = np.bincount(bins, weights=lengths, minlength=n).astype("i8")
         items["bin"], items["offset"], items["fill"] = items["part"].astype("i8") * (1 << 24) + bins, offsets, fill[bins]
-        items["part_bins"], items["part_bound"] = n, lower_bound(lengths, capacity)
+        items["part_bins"], items["part_bound"] = n, bound
         yield items[[c.strip().split(" ")[0] for c in _PLACED.split(",")]]
 
     return pack
@@ -186,13 +246,13 @@ def _deal(items: DataFrame, n: int, seed: int, capacity: int, items_per_partitio
     return dealt.groupBy("part").applyInPandas(one, _PLACED)
 
 
-def pack_pieces(pieces: DataFrame, seq_len: int = 2048, items_per_partition: int = ITEMS_PER_PARTITION, rounds: int = ROUNDS) -> DataFrame:
+def pack_pieces(pieces: DataFrame, seq_len: int = 2048, items_per_partition: int = ITEMS_PER_PARTITION) -> DataFrame:
     """Adds sequence_id and offset to pieces (a stored table with the columns of tokenize_pieces)."""
     full = pieces.filter(F.col("length") == seq_len).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     loose, done, seed, before = pieces.filter(F.col("length") < seq_len).select(columns), [full], 0, None
     n = loose.count()
-    while n:
+    while n:  # each further round saves a bin at least
         placed = materialise(_deal(loose, n, seed, seq_len, items_per_partition), f"pack{seed}").withColumn("sequence_id", F.col("bin") + F.lit(seed << 56))
         # Gaps: every bin that isn't full. Certified partitions add their bins under half full.
         gap = F.col("part_bins") > F.col("part_bound")
@@ -202,7 +262,7 @@ def pack_pieces(pieces: DataFrame, seq_len: int = 2048, items_per_partition: int
         if before is not None and stat["bins"] >= before[1]:
             done.append(before[0])
             break
-        if seed + 1 == rounds or stat["part"] == 0 or stat["again_bins"] < 2:
+        if stat["part"] == 0 or stat["again_bins"] < 2:
             done.append(placed)
             break
         done.append(placed.filter(~again))

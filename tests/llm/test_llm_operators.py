@@ -91,6 +91,37 @@ def test_bounds_never_exceed_the_optimum():
         assert packing.lower_bound(np.array(sizes), capacity) <= optimum(sizes, capacity) <= packing.best_fit_decreasing(np.array(sizes), capacity)[2]
 
 
+def test_repair_closes_gaps():
+    r, before, after = np.random.default_rng(0), 0, 0
+    for k in range(24):
+        lengths = np.sort(r.integers(300, 1101, 400) if k % 2 else r.integers(250, 800, 900))[::-1].copy()
+        bound, first = packing.lower_bound(lengths, 2048), packing.best_fit_decreasing(lengths, 2048)
+        bins, offsets, n = packing.repacked(lengths, *first, 2048, bound)
+        before, after = before + first[2] - bound, after + n - bound
+        order = np.lexsort((offsets, bins))
+        ends = np.append(0, (offsets + lengths)[order][:-1]) * np.append(False, np.diff(bins[order]) == 0)
+        assert (offsets[order] == ends).all() and (offsets + lengths).max() <= 2048 and set(bins) == set(range(n))
+    assert after <= 0.4 * before
+    assert packing.repacked(np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0, "i8"), 0, 2048, 0)[2] == 0
+
+
+def test_one_partition_is_repaired(spark):
+    """Fewer sequences than BFD needs, also where all items are in one partition."""
+    r = np.random.default_rng(1)
+    lengths = r.integers(300, 1101, 400)
+    pieces = spark.createDataFrame([(i, 0, 0, int(n), 0) for i, n in enumerate(lengths)], packing.PIECES)
+    out = packing.pack_pieces(pieces).toPandas()
+    bfd = packing.best_fit_decreasing(np.sort(lengths)[::-1], 2048)[2]
+    assert out.groupby("sequence_id").length.sum().max() <= 2048 and out.sequence_id.nunique() < bfd and len(out) == 400
+
+
+def test_a_very_long_text_is_cut_whole(spark):
+    text = "alpha beta " * 30000
+    out = packing.pack_documents(docs_of(spark, [(1, text), (2, "x")])).filter("doc_id = 1").toPandas().sort_values("piece")
+    ids = np.append(np.frombuffer(packing.tokenizer_at(None).ids(text), "<u4"), 0)
+    assert out.length.sum() == len(ids) and (out.length.iloc[1:] == 2048).all() and out.start.tolist() == [0, *out.length.cumsum().tolist()[:-1]]
+
+
 def test_special_token_strings_and_odd_spaces():
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -319,10 +350,24 @@ def test_language_held_out_accuracy(spark):
     assert all(out[i]["held_out"] for i in held) and np.mean([out[i]["lang_pred"] == truth[i] for i in held]) > 0.95
     assert out[9000]["lang_pred"] == out[9001]["lang_pred"] == "und" and out[9002]["lang_pred"] == "aa"
     assert all(0 <= x["score"] <= 1 for x in out.values())
+    clash = language.identify_languages(df.withColumn("lang_pred", F.lit("x")).withColumn("score", F.lit("y")))
+    assert clash.columns == ["doc_id", "held_out", "lang_pred", "score"] and clash.count() == len(rows) + 4
+    long = spark.createDataFrame([*rows, (9500, "thon ing theed " * 40000, "aa")], "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["lang_pred"] for r in language.identify_languages(long).collect()}[9500] == "aa"
     none = language.identify_languages(df.withColumn("lang", F.lit(None).cast("string"))).filter("lang_pred <> 'und'")
     assert none.isEmpty() and language.identify_languages(df.limit(0)).isEmpty()
 
 
+def test_more_languages_than_any_cap(spark):
+    """300 languages, each with words of its own, are all learned."""
+    r = random.Random(2)
+    syllable = lambda: r.choice("bcdfghjklmnpqrstvwxz") + r.choice("aeiou") + r.choice("bcdfghjklmnpqrstvwxz")
+    words_of = [["".join(syllable() for _ in range(2)) for _ in range(4)] for _ in range(300)]
+    rows = [(1000 * k + j, " ".join(r.choice(words_of[k]) for _ in range(12)), f"l{k:03}") for k in range(300) for j in range(4)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.col("doc_id"))
+    assert len(model.languages) == 300 and np.mean([model.predict(t)[0] == lang for _, t, lang in rows]) > 0.95
+
+
 def test_temperature_cools_overconfidence():
     r = np.random.default_rng(0)
     target = np.eye(2)[r.integers(0, 2, 400)]
