@@ -5,9 +5,14 @@ with everything but letters as one kind of space).  Document frequencies cover a
 the weights are trained by FTRL with an elastic net on a bounded sample of them, and a temperature
 fitted on a part held back from training calibrates the scores.
 
+Every language of the training documents is learned, however many there are: the model has a row of
+weights for each, over the n-grams that the L1 penalty leaves.
+
 Edge cases: a null text or one without letters is ``und`` with score 0; null languages aren't learned
 from, nor are rows whose id is null (they count as held out); without any training row everything is
-``und``; rows with equal ids stay rows of their own; other columns pass through.
+``und``; equal scores go to the first language by name; a text of any length counts whole; rows with
+equal ids stay rows of their own; other columns pass through, but for lang_pred and score, which the
+operator's replace; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,16 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .linear import Ftrl, softmax, temperature
 
 BITS = 16
-#: Rows that training may use at most, over all languages.
+#: Rows that training may use, over all languages; with more languages than that, one row of each.
 MAX_TRAINING_ROWS = 4000
-#: Languages that a model may have; its size is this many times 2^BITS floats at most.
-MAX_LANGUAGES = 256
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -77,17 +80,23 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [ngrams(t.as_py() or "") for t in batch.column(1)]
         kept = [k for k, f in enumerate(found) if f is not None]
         own = [found[k] for k in kept]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), pa.array([f[0].astype("<i4").tobytes() for f in own], pa.binary()), pa.array([f[1].astype("<i4").tobytes() for f in own], pa.binary())], names=["lang", "feature", "count"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), pa.array([f[0].astype("<u2").tobytes() for f in own], pa.binary()), pa.array([f[1].astype("<f4").tobytes() for f in own], pa.binary())], names=["lang", "feature", "count"])
 
 
 class LanguageModel:
+    """weights has a column for each feature that any language has a weight for; column says which (the last, of zeros, for none)."""
+
     def __init__(self, languages: list[str], idf: np.ndarray, weights: np.ndarray, bias: np.ndarray, heat: float):
-        self.languages, self.idf, self.weights, self.bias, self.heat = languages, idf, weights, bias, heat
+        self.languages, self.idf, self.bias, self.heat = languages, idf, bias, heat
+        used = np.flatnonzero(weights.any(axis=0))
+        self.column = np.full(weights.shape[1], len(used), "i4")
+        self.column[used] = np.arange(len(used))
+        self.weights = np.concatenate([weights[:, used], np.zeros((len(weights), 1), weights.dtype)], axis=1)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.languages or (found := ngrams(text or "")) is None:
             return "und", 0.0
-        p = softmax((self.weights[:, found[0]] @ _vector(found, self.idf) + self.bias) / self.heat)
+        p = softmax((self.weights[:, self.column[found[0]]] @ _vector(found, self.idf) + self.bias) / self.heat)
         best = int(p.argmax())
         return self.languages[best], float(p[best])
 
@@ -95,7 +104,7 @@ class LanguageModel:
 def fit(train: DataFrame, key: Column, max_rows: int = MAX_TRAINING_ROWS, epochs: int = 3) -> LanguageModel:
     """A model from train's text and lang; key is a column whose hash picks the sample."""
     train = train.filter(F.col("lang").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64(key, F.lit("sample")).alias("h"))
-    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return LanguageModel([], np.zeros(0), np.zeros((0, 0)), np.zeros(0), 1.0)
@@ -104,20 +113,21 @@ def fit(train: DataFrame, key: Column, max_rows: int = MAX_TRAINING_ROWS, epochs
     idf = np.full(1 << BITS, np.log(1 + rows))
     own = df[df.feature >= 0]
     idf[own.feature] = np.log((1 + rows) / (1 + own.docs))+ 1e-3
-    # So many rows of each language, chosen by hash.
+    # So many rows of each language, chosen by hash; of a rare one all, so that it has one at least.
     share = max(1, max_rows // len(languages))
-    taken = F.lit(False)
-    for lang, n in sizes.items():
-        limit = int(min(1.0, share / n) * 2**63)
-        taken = taken | ((F.col("lang") == lang) & (F.abs(F.shiftright("h", 1)) <= F.lit(limit // 2)))
-    sample = train.filter(taken).select("lang", "text").mapInArrow(_features, "lang string, feature binary, count binary").limit(2 * max_rows).toArrow().to_pylist()
+    limits = [(lang, int(min(1.0, max(2 * share, 20) / n) * 2**62) if n > max(2 * share, 20) else 2**63 - 1) for lang, n in sizes.items()]
+    table = F.broadcast(train.sparkSession.createDataFrame(limits, "lang string, most long"))  # a row for each language
+    near = train.withColumn("h", F.abs(F.shiftright("h", 1))).join(table, "lang").filter(F.col("h") <= F.col("most"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    near = near.withColumn("place", place).filter(F.col("place") <= share)
+    sample = near.select("lang", "text").mapInArrow(_features, "lang string, feature binary, count binary").toArrow().to_pylist()
     sample.sort(key=lambda r: (r["lang"], r["feature"], r["count"]))
     np.random.default_rng(0).shuffle(sample)
     number = {lang: k for k, lang in enumerate(languages)}
     bias_at = 1 << BITS
     data = []
     for r in sample:
-        found = np.frombuffer(r["feature"], "<i4"), np.frombuffer(r["count"], "<i4")
+        found = np.frombuffer(r["feature"], "<u2").astype("i8"), np.frombuffer(r["count"], "<f4")
         data.append((np.append(found[0], bias_at), np.append(_vector(found, idf), 1.0), np.eye(len(languages))[number[r["lang"]]]))
     held = data[::5] if len(data) >= 50 else []
     model = Ftrl((1 << BITS) + 1, len(languages), alpha=2.0, l1=1e-3, l2=1e-3)
