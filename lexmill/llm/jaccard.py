@@ -174,8 +174,9 @@ def _profile(size: int):
 
 
 def _combined(sigs: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
-    """One row (sig, smallest node, null) for each signature, and for those that several sets share here
-    a row (sig, node, smallest node) for each of them."""
+    """One row (key = signature, smallest node) for each signature, and for those that several sets share here
+    a row (key of its own, node, low = smallest node, signature) for each of them.  Nulls cost next to nothing
+    in a shuffle file."""
     all_sig = np.concatenate([*sigs, np.zeros(0, "u8")]).view("i8")
     all_node = np.repeat(np.array(nodes, "i8"), [len(x) for x in sigs])
     order = np.lexsort((all_node, all_sig))
@@ -185,8 +186,11 @@ def _combined(sigs: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
     several = np.repeat(count > 1, count)
     # Rows of one set stay together, so that shuffle files compress well.
     one = np.sort(order[begin])
-    low = pa.concat_arrays([pa.nulls(len(one), pa.int64()), pa.array(np.repeat(node[begin], count)[several])])
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([all_sig[one], sig[several]])), pa.array(np.concatenate([all_node[one], node[several]])), low], names=["sig", "node", "low"])
+    none, sig, node = pa.nulls(len(one), pa.int64()), sig[several], node[several]
+    low = pa.array(np.repeat(all_node[order[begin]], count)[several])
+    own = mix(sig.view("u8") ^ mix(node.view("u8"))).view("i8")
+    columns = [pa.array(np.concatenate([all_sig[one], own])), pa.array(np.concatenate([all_node[one], node])), pa.concat_arrays([none, low]), pa.concat_arrays([none, pa.array(sig)])]
+    return pa.RecordBatch.from_arrays(columns, names=["key", "node", "low", "sig"])
 
 
 def _sign(size: int, num: int, den: int, rows: int = 500_000):
@@ -278,7 +282,7 @@ def _near_pairs(num: int, den: int):
         rest, seen = None, set()
 
         def out(group):
-            if len(seen) > 1 << 16:
+            if len(seen) > 1 << 18:
                 seen.clear()
             # A pair that shares several signatures of a task is told once.
             pairs = [p for p in compare(group) if p not in seen] if group.num_rows > 1 else []
@@ -301,10 +305,11 @@ def _near_pairs(num: int, den: int):
     return run
 
 
-def similarity_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, block: int = BLOCK) -> DataFrame:
+def similarity_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, block: int = BLOCK, pivots: int = 2) -> DataFrame:
     """docs' columns but text, with n_shingles and component_id, the smallest doc_id reachable by links.
 
-    Two rows link when den * intersection >= num * union of their sets of ``size``-word shingles.
+    Two rows link when den * intersection >= num * union of their sets of ``size``-word shingles.  block and
+    pivots (further rounds of stars) change the work and how it is dealt, never the result.
     """
     spark = docs.sparkSession
     text = docs.select(F.col("text").cast("string").alias("_text"))
@@ -312,11 +317,10 @@ def similarity_components(docs: DataFrame, size: int = 5, num: int = 80, den: in
     profile = materialise(keyed.mapInArrow(_profile(size), ", ".join([*fields_of(keyed, ("_text",)), "n_shingles long, node long, fine binary, half binary"])), "profile")
 
     # One shuffle of all signatures; those of a single set end here.  Rows combined before are spread.
-    signed = text.mapInArrow(_sign(size, num, den), "sig long, node long, low long")
-    here = F.col("low").isNotNull()
-    by_sig = Window.partitionBy(F.when(here, F.xxhash64("sig", "node")).otherwise(F.col("sig")), here)
-    shared = signed.withColumns({"first": F.min("node").over(by_sig), "last": F.max("node").over(by_sig)}).filter(here | (F.col("first") != F.col("last")))
-    shared = materialise(shared.select("sig", "node", F.coalesce("low", "first").alias("pivot")).distinct(), "shared")
+    signed = text.mapInArrow(_sign(size, num, den), "key long, node long, low long, sig long")
+    by_key = Window.partitionBy("key")
+    shared = signed.withColumns({"first": F.min("node").over(by_key), "last": F.max("node").over(by_key)}).filter(F.col("low").isNotNull() | (F.col("first") != F.col("last")))
+    shared = materialise(shared.select(F.coalesce("sig", "key").alias("sig"), "node", F.coalesce("low", "first").alias("pivot")).distinct(), "shared")
     del signed
     drop_finished_shuffles(spark)
 
@@ -338,35 +342,56 @@ def similarity_components(docs: DataFrame, size: int = 5, num: int = 80, den: in
         drop_finished_shuffles(spark)
         return links
 
-    # Stars: a pivot goes to every task that some of its members are dealt to, by its number of them.
-    stars = materialise(shared.filter("node <> pivot").select("node", "pivot").distinct(), "stars")
-    tasks = stars.groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("tasks"))
-    members = stars.join(tasks, "pivot").select(F.xxhash64("pivot", F.pmod(F.xxhash64("node"), "tasks")).alias("group"), F.lit(1).alias("side"), "node", F.col("node").alias("root"))
-    pivots = tasks.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks").cast("long") - 1)).alias("k")).select(F.xxhash64("pivot", "k").alias("group"), F.lit(0).alias("side"), F.col("pivot").alias("node"), F.col("pivot").alias("root"))
-    found = near(members.union(pivots), "half")
-    discard(stars)
-    drop_finished_shuffles(spark)
-    links = exact(found)
+    def star_links(stars: DataFrame, data: str) -> DataFrame:
+        """Links of (node, root) with their pivots (pivot, pivot_root): a pivot goes to every task that some
+        of its members are dealt to, by its number of them."""
+        stars = materialise(stars, "stars")
+        tasks = stars.groupBy("pivot", "pivot_root").agg(F.ceil(F.count("*") / block).cast("int").alias("tasks"))
+        members = stars.join(tasks.select("pivot", "tasks"), "pivot").select(F.xxhash64("pivot", F.pmod(F.xxhash64("node"), "tasks").cast("long")).alias("group"), F.lit(1).alias("side"), "node", "root")
+        pivots = tasks.select("pivot", "pivot_root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks").cast("long") - 1)).alias("k")).select(F.xxhash64("pivot", "k").alias("group"), F.lit(0).alias("side"), F.col("pivot").alias("node"), F.col("pivot_root").alias("root"))
+        found = near(members.union(pivots), data)
+        discard(stars)
+        drop_finished_shuffles(spark)
+        return exact(found)
+
+    def joined_by(roots: DataFrame, links: DataFrame) -> DataFrame:
+        """roots with the components that links join; both go."""
+        out = connected_components(roots.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).union(links))
+        discard(roots, links)
+        return out
+
+    links = star_links(shared.filter("node <> pivot").select("node", F.col("node").alias("root"), "pivot", F.col("pivot").alias("pivot_root")).distinct(), "half")
     roots = connected_components(links)
     discard(links)
 
-    # Signatures whose members are still in several components.
-    member = shared.select("sig", "node").join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
-    open_ = member.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum1"), F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(38,0)")).alias("sum2")).filter("low <> high")
-    # Of signatures with the same members one is enough; two sums of hashes tell sets of members apart.
-    open_ = materialise(open_.groupBy("low", "high", "members", "sum1", "sum2").agg(F.min("sig").alias("sig")).select("sig", "members"), "open")
-    blocks = F.ceil(F.col("members") / block).cast("int")
-    member = member.distinct().join(open_, "sig").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    def open_members(roots: DataFrame) -> DataFrame:
+        """(sig, node, root, members) of signatures whose members are still in several components."""
+        member = shared.select("sig", "node").distinct().join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
+        open_ = member.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum1"), F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(38,0)")).alias("sum2")).filter("low <> high")
+        # Of signatures with the same members one is enough; two sums of hashes tell sets of members apart.
+        open_ = open_.groupBy("low", "high", "members", "sum1", "sum2").agg(F.min("sig").alias("sig")).select("sig", "members")
+        return materialise(member.join(open_, "sig"), "open")
+
+    # Other pivots, chosen by hash, join most of what belongs together before members are compared with each other.
+    member = open_members(roots)
+    for k in range(pivots):
+        order = F.struct(F.xxhash64("node", F.lit(k)), "node", "root")
+        chosen = member.groupBy("sig").agg(F.min(order).alias("p")).select("sig", F.col("p.node").alias("pivot"), F.col("p.root").alias("pivot_root"))
+        stars = member.join(chosen, "sig").filter("root <> pivot_root").select("node", "root", "pivot", "pivot_root").distinct()
+        roots = joined_by(roots, star_links(stars, "fine"))
+        discard(member)
+        member = open_members(roots)
     # A member of block b meets every other block once; groups of one block meet themselves.
+    member_ = member.withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = member.withColumn("other", other).select(F.xxhash64("sig", F.least("own", "other"), F.greatest("own", "other")).alias("group"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "root")
+    dealt = member_.withColumn("other", other).select(F.xxhash64("sig", F.least("own", "other"), F.greatest("own", "other")).alias("group"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "root")
     crossed = near(dealt, "fine")
-    discard(shared, open_)
+    discard(shared, member)
     drop_finished_shuffles(spark)
-    more = exact(crossed)
-    joined = connected_components(roots.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
-    discard(roots, more)
+    roots = joined_by(roots, exact(crossed))
 
-    classed = profile.drop("fine", "half").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = classed.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("_first"))
+    classed = profile.drop("fine", "half").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # Only components of several rows take another row's id: few next to all rows, so no component meets in one task.
+    first = classed.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("_first"), F.count("*").alias("n")).filter("n > 1").select("root", "_first")
+    first = materialise(first, "first")
     return classed.join(first, "root", "left").withColumn("component_id", F.coalesce("_first", "doc_id")).select("_row.*", "n_shingles", "component_id")
