@@ -1,12 +1,15 @@
 """Operator 9: quality rules and robust multivariate outliers, with DataFrame functions only.
 
 Each text's statistics become a vector of transformed shares.  Within every language and source a
-minimum-covariance-determinant estimate (MCD) of centre and scatter is made: from a robustly scaled
-start, concentration steps take mean and covariance of the 75 % of rows that lie nearest so far.  Rows
+minimum-covariance-determinant estimate (MCD) of centre and scatter is made: from several starts, on
+medians and MADs, concentration steps take mean and covariance of the 75 % of rows that lie nearest so
+far, which never raises the determinant; after two steps each group keeps the start of the least
+determinant and goes on until its determinant stands still.  Rows
 whose squared Mahalanobis distance from the centre is over the chi-square quantile of 0.999, with the
 core's consistency factor, are rejected, besides those that fail the base rules.  The floors of the
 scales let a text that is odd in one statistic alone pass that cutoff.
-Only sums and quantile sketches of groups are shuffled, so a group of any size is spread.
+Only sums and quantile sketches of groups are shuffled, and what is joined back to the rows is a written
+table with one row for each group, which Spark broadcasts if its size allows: a group of any size is spread.
 
 Edge cases: a null or empty text has no words and fails the base rules; null languages and sources are
 groups like any other; groups under ``min_group`` rows use their language's estimate, or the whole
@@ -117,66 +120,93 @@ def _estimate(rows: DataFrame) -> DataFrame:
     return out.select("group", *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i, j in pairs])
 
 
-def _with_distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    """rows with d2, the squared Mahalanobis distance, by forward substitution."""
-    out = rows.join(estimate, "group")
+def _with_distance(rows: DataFrame, estimate: DataFrame, how: str = "inner", *more: str) -> DataFrame:
+    """rows with d2, the squared Mahalanobis distance, by forward substitution, and more columns of the estimate."""
+    out = rows.join(estimate, "group", how)
     for i in range(P):
         rest = F.col(f"z{i}") - F.col(f"m{i}")
         for k in range(i):
             rest = rest - F.col(f"l{i}{k}") * F.col(f"y{k}")
         out = out.withColumn(f"y{i}", rest / F.col(f"l{i}{i}"))
     d2 = sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, P)), F.col("y0") * F.col("y0"))
-    return out.withColumn("d2", d2).select(*rows.columns, "d2")
+    return out.withColumn("d2", d2).select(*rows.columns, "d2", *more)
 
 
 def _quantiles(rows: DataFrame) -> DataFrame:
     return rows.groupBy("group").agg(F.percentile_approx("d2", F.lit(CORE), F.lit(2000)).alias("edge"), F.percentile_approx("d2", F.lit(0.5), F.lit(2000)).alias("middle"))
 
 
-def quality(docs: DataFrame, min_group: int = 50, steps: int = 3, cutoff: float = CUTOFF) -> DataFrame:
+#: First distances of the starts, over the robustly scaled z: their squares, absolute values, largest value and
+#: the squares of a squashed form, which outliers of different kinds distort in different ways.
+STARTS = (
+    lambda z: sum(x * x for x in z),
+    lambda z: sum(F.abs(x) for x in z),
+    lambda z: F.greatest(*[F.abs(x) for x in z]),
+    lambda z: sum(F.tanh(x) * F.tanh(x) for x in z),
+)
+
+
+def _spread(estimate: DataFrame) -> DataFrame:
+    """group, spread: the logarithm of the determinant."""
+    return estimate.select("group", (2 * sum((F.log(F.col(f"l{i}{i}")) for i in range(1, P)), F.log("l00"))).alias("spread"))
+
+
+def minimum_determinant(z: DataFrame, tolerance: float = 1e-4, most: int = 30) -> DataFrame:
+    """One row for each group of z (group, z_i), a scratch table: centre m_i and factor l_ij of the 75 % core with
+    the least determinant found, and the middle of the distances from it.
+
+    A start's steps are those of a group of its own.  Steps end when no determinant moves by more than
+    tolerance; the quantile sketches' error may let one swing about its end, so there are `most` at most.
+    """
+
+    def step(near: DataFrame, rows: DataFrame) -> DataFrame:
+        edges = materialise(near.groupBy("group").agg(F.percentile_approx("d2", F.lit(CORE), F.lit(2000)).alias("edge")), "edges")
+        return materialise(_estimate(near.join(edges, "group").filter("d2 <= edge").select(*rows.columns)), "estimate")
+
+    zs = [F.col(f"z{i}") for i in range(P)]
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("start"), d(zs).alias("d2")) for k, d in enumerate(STARTS)])).alias("s")
+    near = z.select("group", *zs, each).select(F.concat_ws("#", F.col("s.start"), "group").alias("group"), *zs, F.col("s.d2").alias("d2"))
+    rows = near.drop("d2")
+    estimate = step(near, rows)
+    estimate = step(_with_distance(rows, estimate), rows)
+    own = estimate.join(_spread(estimate), "group").withColumn("start", F.split_part("group", F.lit("#"), F.lit(1))).withColumn("group", F.regexp_replace("group", "^[0-9]+#", ""))
+    columns = [c for c in estimate.columns if c != "group"]
+    estimate = materialise(own.groupBy("group").agg(F.min_by(F.struct(*columns), F.struct("spread", "start")).alias("best")).select("group", "best.*"), "best")
+    for _ in range(most):
+        after = step(_with_distance(z, estimate), z)
+        move = _spread(after).join(_spread(estimate).withColumnRenamed("spread", "before"), "group").agg(F.max(F.abs(F.col("spread") - F.col("before")))).first()[0]
+        estimate = after
+        if move is None or move <= tolerance:
+            break
+    edges = _quantiles(_with_distance(z, estimate))
+    return materialise(estimate.join(edges.select("group", "middle"), "group"), "centre")
+
+
+def quality(docs: DataFrame, min_group: int = 50, cutoff: float = CUTOFF) -> DataFrame:
     """doc_id, lang, source, the statistics, base_failed, distance (squared, scaled; null if none) and kept."""
     stats = materialise(_vector(text_statistics(docs)), "stats")
     # Groups with enough rows; smaller ones fall back to the language, then to the whole table.
     fine = F.struct(F.lit(2).alias("level"), "lang", "source")
     middle = F.struct(F.lit(1).alias("level"), "lang", F.lit(None).cast("string").alias("source"))
     coarse = F.struct(F.lit(0).alias("level"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"))
-    sizes = stats.filter(~F.col("base_failed")).groupBy("lang", "source").agg(F.count("*").alias("n"))
-    by_lang = sizes.groupBy("lang").agg(F.sum("n").alias("n_lang"))
-    whole = sizes.agg(F.sum("n").alias("n_all"))
-    names = sizes.join(by_lang, sizes["lang"].eqNullSafe(by_lang["lang"])).drop(by_lang["lang"]).withColumn("key", F.lit(1)).join(whole.withColumn("key", F.lit(1)), "key")
+    sizes = materialise(stats.filter(~F.col("base_failed")).groupBy("lang", "source").agg(F.count("*").alias("n")), "sizes")
+    by_lang = sizes.groupBy(F.col("lang").alias("g_lang")).agg(F.sum("n").alias("n_lang"))
+    n_all = sizes.agg(F.sum("n")).first()[0] or 0
+    names = sizes.join(by_lang, F.col("lang").eqNullSafe(F.col("g_lang"))).drop("g_lang").withColumn("n_all", F.lit(n_all))
     names = names.withColumn("group", F.when(F.col("n") >= min_group, fine).when(F.col("n_lang") >= min_group, middle).when(F.col("n_all") >= min_group, coarse))
     names = materialise(names.select("lang", "source", F.to_json("group").alias("group")), "groups")
     keyed = stats.join(names.withColumnsRenamed({"lang": "g_lang", "source": "g_source"}), F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left").drop("g_lang", "g_source")
 
     own = keyed.filter(~F.col("base_failed") & F.col("group").isNotNull())
-    half = own.groupBy("group").agg(*[F.percentile_approx(x, F.lit(0.5), F.lit(2000)).alias(f"half{i}") for i, x in enumerate(NAMES)])
+    half = materialise(own.groupBy("group").agg(*[F.percentile_approx(x, F.lit(0.5), F.lit(2000)).alias(f"half{i}") for i, x in enumerate(NAMES)]), "half")
     off = own.join(half, "group").select("group", *[F.abs(F.col(x) - F.col(f"half{i}")).alias(x) for i, x in enumerate(NAMES)])
     mad = off.groupBy("group").agg(*[F.percentile_approx(x, F.lit(0.5), F.lit(2000)).alias(f"mad{i}") for i, x in enumerate(NAMES)])
     scale = materialise(half.join(mad, "group").select("group", *[f"half{i}" for i in range(P)], *[F.greatest(1.4826 * F.col(f"mad{i}"), F.lit(f)).alias(f"scale{i}") for i, f in enumerate(FLOORS.values())]), "scale")
-    z = own.join(scale, "group").select("doc_id", "group", *[((F.col(x) - F.col(f"half{i}")) / F.col(f"scale{i}")).alias(f"z{i}") for i, x in enumerate(NAMES)])
-    z = materialise(z, "z")
-
-    near = z.withColumn("d2", sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, P)), F.col("z0") * F.col("z0")))
-    edges = materialise(_quantiles(near), "edges")
-    estimate = None
-    for _ in range(steps):
-        core = near.join(edges.select("group", "edge"), "group").filter("d2 <= edge").select(*z.columns)
-        estimate = materialise(_estimate(core), "estimate")
-        near = _with_distance(z, estimate)
-        edges = materialise(_quantiles(near), "edges")
+    z = own.join(scale, "group").select("group", *[((F.col(x) - F.col(f"half{i}")) / F.col(f"scale{i}")).alias(f"z{i}") for i, x in enumerate(NAMES)])
+    centre = minimum_determinant(materialise(z, "z"))
     # A median distance of that of a normal sample at most, so that the cutoff means the same in each group.
     judged = keyed.join(scale, "group", "left").withColumns({f"z{i}": (F.col(x) - F.col(f"half{i}")) / F.col(f"scale{i}") for i, x in enumerate(NAMES)})
-    judged = _with_distance_left(judged, estimate.join(edges.select("group", "middle"), "group"))
+    judged = _with_distance(judged, centre, "left", "middle")
     distance = F.when(~F.col("base_failed"), F.col("d2") / CONSISTENCY * CHI_MEDIAN / F.greatest(F.col("middle") / CONSISTENCY, F.lit(CHI_MEDIAN)))
     judged = judged.withColumn("distance", distance)
     return judged.select(*stats.columns, "distance", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).alias("kept"))
-
-
-def _with_distance_left(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    out = rows.join(estimate, "group", "left")
-    for i in range(P):
-        rest = F.col(f"z{i}") - F.col(f"m{i}")
-        for k in range(i):
-            rest = rest - F.col(f"l{i}{k}") * F.col(f"y{k}")
-        out = out.withColumn(f"y{i}", rest / F.col(f"l{i}{i}"))
-    return out.withColumn("d2", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, P)), F.col("y0") * F.col("y0")))
