@@ -19,39 +19,40 @@ def has_template_markers(x: Column) -> Column:
 
 
 def looks_like_worked_example(x: Column) -> Column:
-    low = strip(F.lower(x))
+    low = F.lower(x)
     years = F.array_distinct(F.regexp_extract_all(low, F.lit(r"\b(year\s*\d+)\b"), 1))
-    study = low.rlike(r"\b19\d{2}\b|\b20\d{2}\b") & low.rlike(r"\b\d+(?:\.\d+)?\s*%") & x.rlike(r"\b[A-Z][a-zA-Z]+'s\b")
-    return (
-        contains_any(low, vocab.EXAMPLE_STRONG)
-        | (contains_any(low, vocab.EXAMPLE_NUMERIC) & low.rlike("[0-9]"))
+    study = x.contains("%") & x.contains("'s") & low.rlike(r"\b19\d{2}\b|\b20\d{2}\b") & low.rlike(r"\b\d+(?:\.\d+)?\s*%") & x.rlike(r"\b[A-Z][a-zA-Z]+'s\b")
+    numeric = (
+        contains_any(low, vocab.EXAMPLE_NUMERIC)
         | study
-        | (F.size(years) >= 2)
-        | ((numeric_density(x) >= 0.18) & contains_any(low, vocab.EXAMPLE_DENSE))
+        | (low.contains("year") & (F.size(years) >= 2))
+        | (contains_any(low, vocab.EXAMPLE_DENSE) & (numeric_density(x) >= 0.18))
     )
+    # All but the first test need a digit.
+    return contains_any(low, vocab.EXAMPLE_STRONG) | (x.rlike("[0-9]") & numeric)
 
 
 def looks_like_formula(x: Column) -> Column:
     low = F.lower(x)
-    numbers = F.size(F.regexp_extract_all(x, F.lit(r"(\b\d+(?:[.,]\d+)?\b)"), 1))
+    numbers = F.regexp_count(x, F.lit(r"\b\d+(?:[.,]\d+)?\b"))
     return (
-        x.rlike(r"\S\s*=\s*\S")
+        (x.contains("=") & x.rlike(r"\S\s*=\s*\S"))
         | contains_any(low, vocab.FORMULA_WORDS)
         | (low.contains("ratio") & contains_any(low, vocab.COMPUTE_CUES))
-        | ((numbers >= 2) & x.rlike(r"[+\-/*=÷×]"))
+        | (x.rlike(r"[+\-/*=÷×]") & (numbers >= 2))
     )
 
 
 def is_low_signal(x: Column) -> Column:
-    low = strip(F.lower(x))
+    low = F.lower(x)
     return (
-        (low == "")
-        | has_template_markers(x)
-        | looks_like_worked_example(x)
+        (strip(x) == "")
         | contains_any(low, vocab.NOISE_MARKERS)
         | contains_any(low, vocab.INSTRUCTION_MARKERS)
+        | looks_like_worked_example(x)
         | (numeric_density(x) >= 0.22)
-        | (F.size(F.regexp_extract_all(x, F.lit(r"(\S+)"), 1)) < 6)
+        | (F.regexp_count(x, F.lit(r"\S+")) < 6)
+        | has_template_markers(x)
     )
 
 
@@ -59,15 +60,16 @@ def classify_fact(x: Column) -> Column:
     """definition, key_point, example or instruction."""
     text = strip(x)
     low = F.lower(text)
-    numbers = F.size(F.regexp_extract_all(low, F.lit(r"(\b\d+(?:[.,]\d+)?\b)"), 1))
-    tokens = F.greatest(F.size(F.regexp_extract_all(low, F.lit("([a-z0-9]+)"), 1)), F.lit(1))
+    numbers = F.regexp_count(low, F.lit(r"\b\d+(?:[.,]\d+)?\b"))
+    tokens = F.greatest(F.regexp_count(low, F.lit("[a-z0-9]+")), F.lit(1))
+    many = x.rlike("[0-9]") & (numbers / tokens >= 0.25)
     start = r"^(" + "|".join(vocab.INSTRUCTION_STARTS) + r")\b"
     return (
-        F.when(text == "", "key_point")
-        .when(low.rlike(r"^there\s+(is|are)\b"), "example")
+        F.when(low == "", "key_point")
+        .when(low.startswith("there") & low.rlike(r"^there\s+(is|are)\b"), "example")
         .when(looks_like_worked_example(text), "example")
         .when(contains_any(low, vocab.INSTRUCTION_PHRASES) | low.rlike(start), "instruction")
-        .when(contains_any(low, vocab.EXAMPLE_MARKERS) | (numbers / tokens >= 0.25), "example")
+        .when(contains_any(low, vocab.EXAMPLE_MARKERS) | many, "example")
         .when(contains_any(low, vocab.DEFINITION_MARKERS), "definition")
         .otherwise("key_point")
     )
@@ -91,7 +93,7 @@ def definition_score(concept: Column, x: Column) -> Column:
     tokens = F.filter(F.regexp_extract_all(c, F.lit("([a-z0-9]+)"), 1), lambda t: ~t.isin(vocab.TOKEN_STOPWORDS) & (F.length(t) > 1))
     points = lambda test, n: F.when(F.coalesce(test, F.lit(False)), n).otherwise(0)
     starts = reduce(lambda a, b: a | b, [low.startswith(F.concat(F.lit(article), c, F.lit(verb))) for article in ("", "the ") for verb in (" is ", " refers to ")])
-    first8 = F.array_join(F.slice(F.regexp_extract_all(low, F.lit(r"(\S+)"), 1), 1, 8), " ")
+    first8 = F.array_join(F.slice(F.filter(F.split(low, r"\s+", 10), lambda w: w != ""), 1, 8), " ")
     named = F.array_contains(tokens, F.regexp_extract(low, r"^(?:a|an|the)\s+(\w+)", 1))
     score = (
         points(starts, 3)
@@ -102,7 +104,7 @@ def definition_score(concept: Column, x: Column) -> Column:
         + points(low.contains(c) | F.exists(tokens, lambda t: low.contains(t)), 1)
         - points(x.rlike(r"[\d$%]") & ~contains_any(low, vocab.STATISTIC_TERMS), 2)
         - points(contains_any(low, vocab.TASK_TERMS), 2)
-        - points(F.size(F.regexp_extract_all(x, F.lit(r"(\S+)"), 1)) > 55, 1)
+        - points(F.regexp_count(x, F.lit(r"\S+")) > 55, 1)
         - points(contains_any(low, vocab.VAGUE_TERMS), 3)
         - points(low.startswith("there are"), 3)
         - points(any_pattern(low, vocab.COMPARATIVES, any_case=False), 3)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,7 +17,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))
 
 
 def words(x: Column) -> Column:
@@ -29,8 +29,8 @@ def collapse(x: Column) -> Column:
 
 
 def contains_any(x: Column, terms: list[str]) -> Column:
-    """One pass for all terms, so that x is computed once."""
-    return x.rlike("|".join(map(re.escape, terms)))
+    """x should be a column or a bound variable, as each term looks at it anew."""
+    return reduce(lambda a, b: a | b, [x.contains(t) for t in terms])
 
 
 def fold_unicode(x: Column) -> Column:
@@ -139,8 +139,10 @@ def template_of(x: Column) -> Column:
 
 
 def numeric_density(x: Column) -> Column:
-    tokens = F.regexp_extract_all(F.lower(x), F.lit("([a-z0-9]+)"), 1)
-    return let(tokens, lambda t: F.when(F.size(t) == 0, F.lit(0.0)).otherwise(F.size(F.filter(t, lambda w: w.rlike("[0-9]"))) / F.size(t)))
+    """Share of the tokens that have a digit."""
+    low = F.lower(x)
+    numbers = F.regexp_count(low, F.lit("[a-z]*[0-9][a-z0-9]*"))
+    return F.when(x.rlike("[0-9]"), numbers / F.regexp_count(low, F.lit("[a-z0-9]+"))).otherwise(F.lit(0.0))
 
 
 def title_case(x: Column, acronyms: Column | None = None) -> Column:

@@ -88,3 +88,28 @@ def backend_report(pages: DataFrame) -> DataFrame:
     m = pages.withColumn("m", structure_metrics(F.col("markdown")))
     risk = [F.count_if(F.col("risk") == r).alias(f"risk_{r.lower()}") for r in ("LOW", "MEDIUM", "HIGH")]
     return m.groupBy("backend").agg(F.count("*").alias("pages"), F.avg("coverage").alias("coverage"), F.avg("m.sections").alias("sections"), F.avg("m.links").alias("links"), F.avg("m.words").alias("words"), *risk)
+
+
+#: (measure, how far apart, as a difference or a factor, what the larger one is called): fixed values of the report.
+THRESHOLDS = [("coverage", 0.02, "difference", "better"), ("low_risk", 0.1, "difference", "better"), ("chars", 1.2, "factor", "longer"), ("sections", 1.0, "difference", "more detailed"), ("links", 1.1, "factor", "more connected"), ("code_blocks", 0.0, "difference", "more technical")]
+
+
+def compared_backends(pages: DataFrame, first: str, second: str) -> DataFrame:
+    """measure, first, second, verdict: means of two backends' pages (backend, markdown, coverage, risk), one
+    of which is better, or both comparable, by THRESHOLDS."""
+    m = pages.filter(F.col("backend").isin(first, second)).withColumn("m", structure_metrics(F.col("markdown")))
+    values = {"coverage": F.col("coverage"), "low_risk": (F.col("risk") == "LOW").cast("double"), **{c: F.col(f"m.{c}").cast("double") for c in ("chars", "sections", "links", "code_blocks")}}
+    long = m.select("backend", F.explode(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)])).alias("measure", "value"))
+    wide = long.groupBy("measure").pivot("backend", [first, second]).agg(F.avg("value"))
+    a, b = F.col(f"`{first}`"), F.col(f"`{second}`")
+    out = F.lit("comparable")
+    for name, by, kind, word in THRESHOLDS:
+        over = lambda x, y, by=by, kind=kind: x > y * by if kind == "factor" else x - y > by
+        own = F.when(over(a, b), F.lit(f"{first} {word}")).when(over(b, a), F.lit(f"{second} {word}")).otherwise("comparable")
+        out = F.when(F.col("measure") == name, own).otherwise(out)
+    return wide.select("measure", a.alias("first"), b.alias("second"), out.alias("verdict"))
+
+
+def group_report(concepts: DataFrame) -> DataFrame:
+    """concept, n_facts, most facts first."""
+    return concepts.select("concept", "n_facts").orderBy(F.desc("n_facts"), "concept")

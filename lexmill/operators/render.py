@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify
-from ..functions.predicates import looks_like_uuid
-from ..functions.text import emphasize_once, let, page_title, words
-from .facts import citations, comparable_contents, concept_types, concepts_of, fallback_definitions, promoted, unique_contents
+from ..functions.predicates import all_sources_are_uuids, is_question, looks_like_uuid
+from ..functions.text import compare_text, emphasize_once, let, page_title, strip, words
+from .facts import citations, comparable_contents, concept_types, concepts_of, fallback_definitions, promoted, sources_by_text, unique_contents
 from .merge import stored
-from .related import related_by_chunks, related_by_tokens, see_also_titles
+from .related import related_by_chunks, related_by_tokens, see_also
 
 NO_DEFINITION = "No definition available."
 CAPS = {"formula": 3, "interpretation": 4, "example": 3, "caution": 3, "detail": 6}
@@ -27,10 +27,34 @@ def acronyms(concepts: DataFrame) -> DataFrame:
     return rows.filter(F.col("acronym").rlike("[A-Z]") & ~F.col("acronym").rlike("[a-z]") & F.length("acronym").between(2, 6)).select(F.lower("acronym").alias("lower"), "acronym").distinct()
 
 
-def link_maps(concepts: DataFrame) -> DataFrame:
+def titles(concepts: DataFrame) -> DataFrame:
+    """concept, title: display titles in which every known acronym has its capitals; labels meet only the
+    acronyms among their own words."""
+    own = concepts.select("concept").distinct()
+    tokens = own.select("concept", F.explode(F.array_distinct(F.transform(words(F.col("concept")), F.lower))).alias("lower"))
+    known = tokens.join(acronyms(own), "lower").groupBy("concept").agg(F.map_from_entries(F.collect_list(F.struct("lower", "acronym"))).alias("known"))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    return own.join(known, "concept", "left").select("concept", page_title(F.col("concept"), F.coalesce("known", none)).alias("title"))
+
+
+def _listed_titles(pairs: DataFrame, titled: DataFrame, order: str | None, name: str) -> DataFrame:
+    """concept, name: the titles of the others of pairs (concept, other), by a column or by themselves."""
+    rows = pairs.join(titled.select(F.col("concept").alias("other"), "title"), "other")
+    if order is None:
+        return rows.groupBy("concept").agg(F.array_sort(F.collect_set("title")).alias(name))
+    return rows.groupBy("concept").agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "title"))), lambda x: x["title"]).alias(name))
+
+
+def link_maps(concepts: DataFrame, titled: DataFrame | None = None) -> DataFrame:
     """match, title, alias: the display titles, and for acronyms the title of the first concept that shows them."""
-    titled = concepts.select("concept", page_title(F.col("concept")).alias("title"))
-    short = titled.join(acronyms(concepts), F.col("title").contains(F.col("acronym"))).groupBy("lower").agg(F.min_by("title", "concept").alias("title"))
+    titled = titles(concepts) if titled is None else titled
+    runs = F.regexp_extract_all("title", F.lit("([A-Z0-9]{2,})"), 1)
+    none = F.array().cast("array<string>")
+    cut = lambda r, k: F.when(F.length(r) >= k, F.transform(F.sequence(F.lit(1), F.length(r) - k + 1), lambda i: F.substring(r, i, k))).otherwise(none)
+    # All that a title could hold of an acronym, so that both meet by equality.
+    parts = F.array_distinct(F.flatten(F.transform(runs, lambda r: F.flatten(F.transform(F.sequence(F.lit(2), F.lit(6)), lambda k: cut(r, k))))))
+    shown = titled.select("concept", "title", F.explode(parts).alias("acronym"))
+    short = shown.join(acronyms(concepts), "acronym").groupBy("lower").agg(F.min_by("title", "concept").alias("title"))
     return short.select(F.col("lower").alias("match"), "title", F.lit(True).alias("alias")).union(titled.select(F.col("title").alias("match"), "title", F.lit(False).alias("alias")).distinct())
 
 
@@ -117,9 +141,11 @@ def wiki_pages(facts: DataFrame, antonyms=None) -> DataFrame:
     concepts = concepts_of(facts)
     definitions = stored(fallback_definitions(own), "definitions")
     none = F.array().cast("array<string>")
-    related = related_by_chunks(facts, 5, 2, antonyms).groupBy("concept").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "other"))), lambda x: page_title(x["other"])).alias("related"))
-    rows = concepts.select("concept", page_title(F.col("concept")).alias("title"))
-    for other in (definitions, sections(own, definitions), concept_types(own), related, see_also_titles(concepts, antonyms), source_names(facts)):
+    titled = stored(titles(concepts), "titles")
+    related = _listed_titles(related_by_chunks(facts, 5, 2, antonyms), titled, "rank", "related")
+    also = _listed_titles(see_also(concepts, antonyms), titled, None, "titles")
+    rows = concepts.select("concept").join(titled, "concept")
+    for other in (definitions, sections(own, definitions), concept_types(own), related, also, source_names(facts)):
         rows = rows.join(other, "concept", "left")
     lists = {k: F.coalesce(k, none).alias(k) for k in (*CAPS, "related", "titles", "sources")}
     rows = rows.select("concept", "title", "definition", F.coalesce("type", F.lit("general")).alias("type"), *lists.values())
@@ -127,7 +153,7 @@ def wiki_pages(facts: DataFrame, antonyms=None) -> DataFrame:
     rows = rows.filter(content).withColumn("definition", F.coalesce("definition", F.lit(NO_DEFINITION)))
     extra = F.get("interpretation", F.lit(0))
     intro = F.concat_ws(" ", emphasize_once(F.col("definition"), F.col("title")), F.concat(F.upper(F.left(extra, F.lit(1))), F.substring(extra, F.lit(2), F.lit(1 << 30))))
-    rows = inject_links(rows.withColumn("intro", intro), link_maps(concepts))
+    rows = inject_links(rows.withColumn("intro", intro), link_maps(concepts, titled))
     detail, interpretation = F.col("detail"), F.col("interpretation")
     first = lambda a, b: F.when(F.size(a) > 0, a).otherwise(b)
     ratio = F.concat_ws("\n", _section("Formula", F.col("formula"), True), _section("What It Tells You", first(interpretation, detail)), F.when(F.size(interpretation) > 0, _section("Key Takeaways", F.array_except(detail, interpretation))))
@@ -156,18 +182,86 @@ def standard_pages(facts: DataFrame, antonyms=None) -> DataFrame:
     item = F.struct("fact_seq", F.concat(F.col("content"), F.lit(" [^"), F.col("note"), F.lit("]")).alias("t"), "content", "note", F.array_join("sources", ", ").alias("s"))
     lists = cited.groupBy("concept").agg(F.array_sort(F.collect_list(item)).alias("x"))
     notes = F.array_join(F.transform(F.array_sort(F.array_distinct(F.transform("x", lambda x: F.struct(x["note"].alias("note"), x["s"].alias("s"))))), lambda x: F.concat(F.lit("[^"), x["note"], F.lit("]: chunk="), x["s"])), "\n")
-    related = related_by_tokens(concepts, 4, antonyms).groupBy("concept").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "other"))), lambda x: F.concat(F.lit("- [["), page_title(x["other"]), F.lit("]]"))).alias("related"))
-    rows = lists.join(fallback_definitions(facts), "concept", "left").join(related, "concept", "left").withColumn("title", page_title(F.col("concept")))
+    titled = stored(titles(concepts), "titles")
+    related = _listed_titles(related_by_tokens(concepts, 4, antonyms), titled, "rank", "others").select("concept", F.transform("others", lambda x: F.concat(F.lit("- [["), x, F.lit("]]"))).alias("related"))
+    rows = lists.join(fallback_definitions(facts), "concept", "left").join(related, "concept", "left").join(titled, "concept")
     page = F.concat_ws("\n", F.concat(F.lit("# "), F.col("title"), F.lit("\n")), lead(F.col("definition"), F.col("x.content")), _section("Key Points", F.col("x.t")), F.concat(F.lit("## Related Concepts\n"), F.coalesce(F.array_join("related", "\n"), F.lit("- None"))), F.concat(F.lit("\n## Sources\n"), notes))
     return rows.select("title", "concept", page.alias("markdown"))
 
 
+def enhanced_intro(title: Column, definition: Column, interpretations: Column, points: Column) -> Column:
+    """Two sentences at most: the definition, or else the first point or interpretation, with the title in bold,
+    and the first other item with a capital."""
+    primary = F.coalesce(F.when(definition != NO_DEFINITION, definition), F.get(points, F.lit(0)), F.get(interpretations, F.lit(0)))
+
+    def joined(p: Column) -> Column:
+        other = F.get(F.filter(F.concat(interpretations, points), lambda x: compare_text(x) != compare_text(p)), F.lit(0))
+        whole = F.concat_ws(" ", p, F.concat(F.upper(F.left(strip(other), F.lit(1))), F.substring(strip(other), F.lit(2), F.lit(1 << 30))))
+        return F.array_join(F.slice(F.split(strip(whole), r"(?<=[.!?])\s+"), 1, 2), " ")
+
+    alone = F.concat(F.lit("**"), title, F.lit("** is a concept in this source material."))
+    return F.when(primary.isNull(), alone).otherwise(let(emphasize_once(strip(primary), title), joined))
+
+
+ENHANCED_CAPS = {"formula": 3, "interpretation": 4, "example": 2, "caution": 3, "key_point": 4}
+
+
+def enhanced_pages(facts: DataFrame, antonyms=None) -> DataFrame:
+    """title, concept, markdown in semantic sections with footnotes; concepts with neither a definition nor an
+    item are left out, and sources that are all UUIDs hidden.  Links go into the intro."""
+    facts = stored(facts, "facts")
+    own = stored(unique_contents(facts).filter(~is_question(F.col("content")) & ~classify.has_template_markers(F.col("content"))), "contents")
+    concepts, titled = concepts_of(facts), stored(titles(concepts_of(facts)), "titles")
+    definitions = stored(fallback_definitions(own), "definitions")
+    x = F.col("content")
+    rows = own.withColumn("kind", classify.classify_semantic(x)).filter(F.col("kind").isin(*ENHANCED_CAPS))
+    plain = F.col("kind").isin("interpretation", "key_point")
+    rows = rows.join(definitions.select("concept", compare_text(F.coalesce("definition", F.lit(NO_DEFINITION))).alias("_d")), "concept", "left")
+    rows = rows.filter(~plain | (~classify.is_low_signal(x) & (compare_text(x) != F.coalesce("_d", F.lit("")))))
+    place = F.row_number().over(Window.partitionBy("concept", "kind").orderBy("fact_seq"))
+    cap = F.element_at(F.create_map(*[F.lit(v) for p in ENHANCED_CAPS.items() for v in p]), F.col("kind"))
+    rows = rows.withColumn("n", place).filter(F.col("n") <= cap).select("concept", "kind", "n", "content")
+    shown = definitions.filter("definition IS NOT NULL").select("concept", F.lit("definition").alias("kind"), F.lit(1).alias("n"), F.col("definition").alias("content")).unionByName(rows)
+    # Notes are numbered in the order of the page: equal lists of sources share one.
+    order = F.element_at(F.create_map(*[F.lit(v) for p in enumerate(("definition", *ENHANCED_CAPS)) for v in reversed(p)]), F.col("kind"))
+    cited = shown.join(citations(facts).select("concept", "content", "sources"), ["concept", "content"], "left").withColumn("at", F.struct(order.alias("o"), "n"))
+    notes = cited.filter("sources IS NOT NULL").groupBy("concept", "sources").agg(F.min("at").alias("first"))
+    notes = notes.withColumn("note", F.row_number().over(Window.partitionBy("concept").orderBy("first")))
+    cited = cited.join(notes.drop("first"), ["concept", "sources"], "left")
+    text = F.concat(F.col("content"), F.coalesce(F.concat(F.lit(" [^"), F.col("note"), F.lit("]")), F.lit("")))
+    item = F.struct("n", text.alias("t"), "content")
+    lists = [F.array_sort(F.collect_list(F.when(F.col("kind") == k, item))).alias(k) for k in ENHANCED_CAPS]
+    note = F.array_sort(F.collect_set(F.when(F.col("note").isNotNull(), F.struct("note", F.array_join("sources", ", ").alias("s")))))
+    grouped = cited.groupBy("concept").agg(*lists, note.alias("notes"))
+    related = _listed_titles(related_by_tokens(concepts, 4, antonyms), titled, "rank", "related")
+    hidden = sources_by_text(facts).groupBy("concept").agg(all_sources_are_uuids(F.flatten(F.collect_list("sources"))).alias("hidden"))
+    out = titled
+    for other, how in ((grouped, "inner"), (definitions, "left"), (related, "left"), (source_names(facts), "left"), (hidden, "left")):
+        out = out.join(other, "concept", how)
+    none = F.array().cast("array<string>")
+    definition, hide = F.coalesce("definition", F.lit(NO_DEFINITION)), F.coalesce("hidden", F.lit(True))
+    content = lambda k: F.transform(k, lambda x: x["content"])
+    out = out.withColumn("intro", enhanced_intro(F.col("title"), definition, content("interpretation"), content("key_point")))
+    out = inject_links(out, link_maps(concepts, titled))
+    section = lambda head, k, code=False: _section(head, F.when(hide, content(k)).otherwise(F.transform(k, lambda x: x["t"])), code)
+    notes_ = F.when(F.size("notes") > 0, F.array_join(F.transform("notes", lambda x: F.concat(F.lit("[^"), x["note"], F.lit("]: chunk="), x["s"])), "\n")).otherwise("- None")
+    page = F.concat_ws(
+        "\n", frontmatter(F.coalesce("sources", none)), F.concat(F.lit("# "), F.col("title"), F.lit("\n")), F.concat(F.col("intro"), F.lit("\n\n---\n")),
+        section("Formula", "formula", True), section("Interpretation", "interpretation"), section("Example", "example"), section("Cautions", "caution"), section("Key Points", "key_point"),
+        F.concat(F.lit("---\n\n## Related Concepts\n"), F.when(F.size(F.coalesce("related", none)) > 0, F.array_join(F.transform("related", lambda x: F.concat(F.lit("- [["), x, F.lit("]]"))), "\n")).otherwise("- None")),
+        F.when(~hide, F.concat(F.lit("\n---\n\n## Sources\n"), notes_)),
+    )
+    return out.select("title", "concept", page.alias("markdown"))
+
+
 def redirects(near: DataFrame, concepts: DataFrame) -> DataFrame:
     """title, target, markdown: of each near-duplicate pair the label with fewer facts points to the other."""
     n = concepts.select("concept", "n_facts")
     rows = near.join(n.select(F.col("concept").alias("left"), F.col("n_facts").alias("nl")), "left").join(n.select(F.col("concept").alias("right"), F.col("n_facts").alias("nr")), "right").filter("nl <> nr")
     fewer = F.col("nl") < F.col("nr")
-    rows = rows.select(page_title(F.when(fewer, F.col("left")).otherwise(F.col("right"))).alias("title"), page_title(F.when(fewer, F.col("right")).otherwise(F.col("left"))).alias("target")).groupBy("title").agg(F.max("target").alias("target"))
+    titled = titles(concepts)
+    rows = rows.select(F.when(fewer, F.col("left")).otherwise(F.col("right")).alias("a"), F.when(fewer, F.col("right")).otherwise(F.col("left")).alias("b"))
+    rows = rows.join(titled.select(F.col("concept").alias("a"), "title"), "a").join(titled.select(F.col("concept").alias("b"), F.col("title").alias("target")), "b").groupBy("title").agg(F.max("target").alias("target"))
     stub = F.concat(F.lit("---\ngenerated_by_backend: redirect\ngenerated_by_model: none\n---\n\n# "), F.col("title"), F.lit("\n\n> This page redirects to [["), F.col("target"), F.lit("]].\n\n## Redirect\n[["), F.col("target"), F.lit("]]\n"))
     return rows.withColumn("markdown", stub)
 

@@ -49,7 +49,7 @@ def labels_v(spark: SparkSession, sf_dir: str) -> DataFrame:
 def counted_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """labels_v with an order and a number of facts, as the merges take them."""
     rows = labels_v(spark, sf_dir)
-    return rows.select("concept", F.xxhash64("concept").alias("concept_seq"), F.length("concept").cast("long").alias("n_facts"))
+    return rows.select("concept", F.conv(F.substring(F.md5(F.col("concept")), 1, 15), 16, 10).cast("long").alias("concept_seq"), F.length("concept").cast("long").alias("n_facts"))
 
 
 @query(f"WITH {q.SENTENCES}, kept AS (SELECT source, {q.classify('sentence')} AS class FROM sent WHERE length(sentence) > 10 AND NOT {q.matches('sentence', vocab.NOISE_PATTERNS)}) SELECT source, class, count(*) AS n FROM kept GROUP BY source, class")
@@ -129,13 +129,16 @@ def pair_predicates(spark, sf_dir):
     return found.select("a", "b", pairs.is_duplicate(a, b).alias("duplicate"), pairs.is_sibling(a, b).alias("sibling"), pairs.is_cousin(a, b).alias("cousin"), pairs.has_strong_overlap(a, b).alias("overlap"), pairs.has_antonyms(a, b).alias("antonym"), pairs.are_similar(a, b).alias("similar"), pairs.near_duplicates(a, b).alias("near"))
 
 
-@query(f"WITH {LABELS}, t AS (SELECT concept, length(concept) AS n, {q.match_tokens('concept')} AS m FROM labels) SELECT array_to_string(m, ' ') AS key, count(*) AS labels, sum(n)::BIGINT AS facts FROM t GROUP BY array_to_string(m, ' ')")
+FOLD = "list_reduce(list({'c': concept, 'n': n::BIGINT, 's': length(concept)::BIGINT} ORDER BY ('0x' || md5(concept)[1:15])::BIGINT, concept), lambda a, x: CASE WHEN x.n > a.n OR (x.n = a.n AND x.s < a.s) THEN {'c': x.c, 'n': a.n + x.n, 's': x.s} ELSE {'c': a.c, 'n': a.n + x.n, 's': a.s} END)"
+
+
+@query(f"WITH {LABELS}, t AS (SELECT concept, length(concept) AS n, {q.match_tokens('concept')} AS m FROM labels) SELECT array_to_string(m, ' ') AS key, {FOLD}.c AS winner, count(*) AS labels, sum(n)::BIGINT AS facts FROM t GROUP BY array_to_string(m, ' ')")
 def exact_token_groups(spark, sf_dir):
     """Exact-token duplicates: the merged label's key, members and facts."""
     labels = counted_labels(spark, sf_dir)
     mapping = mg.exact_duplicates(labels)
     key = F.array_join(text.match_tokens(F.col("merged")), " ")
-    return labels.join(mapping, "concept").groupBy(key.alias("key")).agg(F.count("*").alias("labels"), F.sum("n_facts").alias("facts"))
+    return labels.join(mapping, "concept").groupBy(key.alias("key"), F.col("merged").alias("winner")).agg(F.count("*").alias("labels"), F.sum("n_facts").alias("facts"))
 
 
 @query(f"WITH {LABELS}, t AS (SELECT concept, length(concept) AS n, {q.match_tokens('concept')} AS m FROM labels) SELECT array_to_string(m, '') AS key, count(*) AS labels, sum(n)::BIGINT AS facts FROM t GROUP BY array_to_string(m, '')")
@@ -187,12 +190,26 @@ def best_definition(spark, sf_dir):
     return fx.best_definitions(grouped(spark, sf_dir))
 
 
-@query()
+UNIQUE = "u AS (SELECT concept, content, fact_seq FROM (SELECT *, row_number() OVER (PARTITION BY concept, lower(content) ORDER BY fact_seq) AS k FROM grouped) WHERE k = 1)"
+PICK = "first(content ORDER BY score DESC, fact_seq) FILTER (WHERE ok AND score >= -2 AND {})"
+
+
+@query(f"""WITH {q.FACTS}, {GROUPED}, {UNIQUE}, b AS (SELECT *, {q.classify('content')} AS base FROM u),
+c AS (SELECT *, {q.semantic('content', 'base')} AS class, {q.score('concept', 'content')} AS score, NOT {q.template_markers('content')} AND base <> 'example' AS ok FROM b)
+SELECT concept, coalesce({PICK.format("class = 'definition'")}, {PICK.format("class = 'key_point'")}, {PICK.format("base IN ('definition', 'key_point')")}, first(content ORDER BY fact_seq) FILTER (WHERE class = 'key_point')) AS definition FROM c GROUP BY concept""")
 def fallback_definition(spark, sf_dir):
     return fx.fallback_definitions(fx.unique_contents(grouped(spark, sf_dir)))
 
 
-@query()
+TESTS = [f"max(({q.any_of('lower(content)', terms)})::INT) * {n}" for _, signals in vocab.TYPE_SIGNALS for n, terms in signals]
+TOTALS, RANGE = [], iter(TESTS)
+for NAME, SIGNALS in vocab.TYPE_SIGNALS:
+    TOTALS.append(" + ".join([next(RANGE) for _ in SIGNALS] + ([r"2 * max(regexp_matches(lower(content), '\S\s*[=/÷]\s*\S')::INT)"] if NAME == "ratio" else [])))
+
+
+@query(f"""WITH {q.FACTS}, {GROUPED}, t AS (SELECT concept, regexp_extract_all(lower(concept), '[a-z]+') AS w, {", ".join(f"{x} AS s{i}" for i, x in enumerate(TOTALS))} FROM grouped GROUP BY concept)
+SELECT concept, CASE WHEN list_has_any(w, {q.listed(vocab.RATIO_WORDS).replace('(', '[').replace(')', ']')}) THEN 'ratio' WHEN list_has_any(w, {q.listed(vocab.METHOD_WORDS).replace('(', '[').replace(')', ']')}) THEN 'method' WHEN list_has_any(w, {q.listed(vocab.SYSTEM_WORDS).replace('(', '[').replace(')', ']')}) THEN 'system'
+{" ".join(f"WHEN s{i} >= 2 THEN '{name}'" for i, (name, _) in enumerate(vocab.TYPE_SIGNALS))} ELSE 'general' END AS type FROM t""")
 def concept_type(spark, sf_dir):
     return fx.concept_types(grouped(spark, sf_dir))
 
@@ -206,7 +223,14 @@ def unique_content_counts(spark, sf_dir):
     return a.join(b, "concept").select("concept", "contents", "comparable")
 
 
-@query()
+DEFINED = f"""s AS (SELECT *, {q.score('concept', 'content')} AS score FROM grouped WHERE NOT {q.template_markers('content')} AND {q.classify('content')} <> 'example'),
+d AS (SELECT concept, content AS definition FROM (SELECT *, row_number() OVER (PARTITION BY concept ORDER BY score DESC, fact_seq) AS k FROM s) WHERE k = 1 AND score >= -2)"""
+
+
+@query(rf"""WITH {q.FACTS}, {GROUPED}, {DEFINED}, b AS (SELECT g.*, {q.classify('content')} AS base, {q.compare_text('content')} AS k FROM grouped g),
+f AS (SELECT b.* FROM b LEFT JOIN d ON d.concept = b.concept WHERE NOT {q.template_markers('content')} AND content NOT LIKE '%?' AND base NOT IN ('instruction', 'example') AND NOT {q.low_signal('content')} AND k <> coalesce({q.compare_text('definition')}, '')),
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY concept, k ORDER BY fact_seq) AS n FROM f) WHERE n = 1)
+SELECT concept, fact_seq, content FROM (SELECT *, row_number() OVER (PARTITION BY concept, regexp_replace(k, '\b\$?\d[\d,]*(\.\d+)?%?\b', '<num>', 'g') ORDER BY fact_seq) AS m FROM o) WHERE m <= 2""")
 def promoted_facts(spark, sf_dir):
     rows = grouped(spark, sf_dir)
     return fx.promoted(rows, fx.best_definitions(rows)).select("concept", "fact_seq", "content")
@@ -295,6 +319,16 @@ def wiki_pages(spark, sf_dir):
     return render.wiki_pages(grouped(spark, sf_dir))
 
 
+@query()
+def enhanced_pages(spark, sf_dir):
+    return render.enhanced_pages(grouped(spark, sf_dir))
+
+
+@query(f"WITH {q.FACTS}, {GROUPED} SELECT concept, count(*) AS n_facts FROM grouped GROUP BY concept")
+def group_report(spark, sf_dir):
+    return evaluate.group_report(fx.concepts_of(grouped(spark, sf_dir)))
+
+
 @query()
 def standard_pages(spark, sf_dir):
     return render.standard_pages(grouped(spark, sf_dir))

@@ -100,9 +100,10 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
 
 
 def update_cache(cache: DataFrame, answers: DataFrame, path: str) -> None:
-    """cache with new answers, as a new version in path; failures (null) aren't kept, so they are asked again."""
-    fresh = answers.filter(F.col("canonical").isNotNull()).select("name", "canonical")
-    cache.join(fresh, "name", "left_anti").unionByName(fresh).write.mode("append").parquet(path)
+    """Appends answers for names that cache doesn't hold, so each name is there once however often this is
+    called; failures (null) aren't kept, so they are asked again."""
+    fresh = answers.filter(F.col("canonical").isNotNull()).groupBy("name").agg(F.min("canonical").alias("canonical"))
+    fresh.join(cache.select("name"), "name", "left_anti").write.mode("append").parquet(path)
 
 
 def save_evaluation(evaluation: DataFrame, path: str) -> None:
