@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import jsons
-from ..functions.text import concept_tokens, page_title, words
+from ..functions.text import page_title, words
 from ..operators import render
 from ..operators.facts import concepts_of
 from ..operators.merge import stored
@@ -55,8 +55,7 @@ def enrich_thin(facts: DataFrame, model: models.Model, least: int = 6) -> DataFr
 def synthesized(pages: DataFrame, facts: DataFrame, model: models.Model, model_name: str = "", most: int = 25) -> DataFrame:
     """pages (title, concept, markdown) written by the model from up to `most` facts each; a failed one stays
     as it was, stamped with the reason."""
-    ranked = related_by_chunks(facts, 5).select("concept", F.struct("rank", page_title(F.col("other")).alias("title")).alias("r"))
-    related = ranked.groupBy("concept").agg(F.array_sort(F.collect_list("r"))["title"].alias("titles"))
+    related = render._listed_titles(related_by_chunks(facts, 5), render.titles(concepts_of(facts)), "rank", "titles")
     prompts = render.synthesis_prompts(facts, related, most).withColumn("batch_id", F.abs(F.xxhash64("concept")))
     asked = stored(models.answers(prompts, model), "synthesis").select("concept", "answer", "error")
     rows = pages.join(asked, "concept", "left")
@@ -100,8 +99,3 @@ def matched_pages(pages: DataFrame, facts: DataFrame, least: float = 0.6) -> Dat
     hits = title.select("*", F.explode("tw").alias("w")).join(concept.select("*", F.explode("cw").alias("w")), "w").groupBy("title", "concept").agg(F.count("*").alias("n"), F.first(F.size("tw")).alias("a"), F.first(F.size("cw")).alias("b"))
     share = F.col("n") / F.least("a", "b")
     return hits.filter(share >= least).groupBy("title").agg(F.max_by("concept", F.struct(share, F.col("n"), F.col("concept"))).alias("concept"))
-
-
-def canonical_cached_key(x: Column) -> Column:
-    """The key under which a cache may hold a label: its token set in order."""
-    return F.array_join(F.array_sort(concept_tokens(x)), " ")

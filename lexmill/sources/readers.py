@@ -89,6 +89,17 @@ def write_vault(pages: DataFrame, path: str) -> int:
     return n
 
 
+def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """A written table, or None if there is none."""
+    try:
+        spark.read.parquet(path)
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        return None
+    return spark.read.schema(schema).parquet(path)
+
+
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """name, canonical of earlier answers; empty if there is none."""
     try:

@@ -165,6 +165,9 @@ def test_sources_round_trip(spark, tmp_path, sample):
     answers = spark.createDataFrame([("a", "A"), ("b", None)], "name string, canonical string")
     readers.update_cache(readers.read_cache(spark, str(tmp_path / "cache")), answers, str(tmp_path / "cache"))
     assert [tuple(r) for r in readers.read_cache(spark, str(tmp_path / "cache")).collect()] == [("a", "A")]
+    again = spark.createDataFrame([("a", "A"), ("c", "C"), ("c", "C")], "name string, canonical string")
+    readers.update_cache(readers.read_cache(spark, str(tmp_path / "cache")), again, str(tmp_path / "cache"))
+    assert sorted(tuple(r) for r in readers.read_cache(spark, str(tmp_path / "cache")).collect()) == [("a", "A"), ("c", "C")]
     assert readers.write_vault(spark.createDataFrame([("A/B", "x"), ("AB", "y")], "title string, markdown string"), str(tmp_path / "out")) == 2
     assert {f.name: f.read_text() for f in (tmp_path / "out").glob("*.md")} == {"AB.md": "x", "AB 2.md": "y"}
 
@@ -238,6 +241,109 @@ def test_prompts_have_related_titles_and_all_seeds(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a", "The order book lists all open orders of the market.")], "doc_id long, source string, text string")
     seeds = spark.createDataFrame([(f"seed number {i}x", i) for i in range(600)], "seed string, seed_idx int")
     options, given, prompts = pipeline.Options(models.rule_extractor(), models.rule_namer()), [], models.prompt_of_statements
-    monkeypatch.setattr(models, "prompt_of_statements", lambda rows, names: given.extend(names) or prompts(rows, names))
+    monkeypatch.setattr(models, "prompt_of_statements", lambda rows, names, strict=False: given.extend(names) or prompts(rows, names, strict))
     pipeline.name_concepts(pipeline.extract_statements(docs, options), options, seeds)
     assert given == [f"seed number {i}x" for i in range(600)]
+
+
+def test_topology_makes_models_and_requests():
+    topology = {
+        "backends": {"a": {"base_url": "http://localhost:1", "model": "m1", "weight": 2}, "b": {"provider": "messages", "base_url": "https://x.test/v1", "model": "m2", "system": "Be brief."}, "c": {"provider": "generate", "base_url": "https://y.test/v1", "model": "m3"}, "r": {"provider": "rule-name"}},
+        "passes": {"extract": ["a", {"backend": "b", "weight": 3}], "name": ["r"], "write": [{"backend": "c", "max_tokens": 7}]},
+    }
+    rule = models.rule_namer()
+    out = models.from_topology(topology, {"rule-name": rule})
+    assert out["name"] is rule and [w for _, w in out["extract"].members] == [2, 3] and out["write"].max_tokens == 7
+    assert models.paced(out["write"]) and models.paced(out["extract"]) and not models.paced(out["extract"].members[0][0])
+    path, _, body = out["extract"].members[1][0]._request("m2", "hi")
+    assert path == "/messages" and body["system"] == "Be brief."
+    path, _, body = out["write"]._request("m3", "hi")
+    assert path == "/models/m3:generateContent" and out["write"]._answer({"candidates": [{"content": {"parts": [{"text": "a"}, {"text": "b"}]}}]}) == "ab"
+    chat = models.Chat("http://h", "m", json_mode="schema", json_schema={"type": "array"})
+    assert chat._request("m", "p")[2]["response_format"]["json_schema"]["schema"]["properties"] == {"items": {"type": "array"}}
+    for wrong in ({"base_url": "ftp://h", "model": "m"}, {"base_url": "http://h", "model": ""}, {"base_url": "http://h", "model": "m", "json_mode": "schema"}):
+        with pytest.raises(ValueError):
+            models.Chat(**wrong)
+
+
+def test_a_pausing_model_is_passed_over(monkeypatch):
+    import email.message
+    import io
+    import urllib.error
+
+    asked = []
+
+    def post(self, path, headers, body):
+        asked.append(body["model"])
+        if body["model"] == "m1":
+            raise urllib.error.HTTPError("u", 429, "slow", email.message.Message(), io.BytesIO(b"retry-after: 30"))
+        return {"choices": [{"message": {"content": "ok"}}]}
+
+    monkeypatch.setattr(models.Chat, "_post", post)
+    chat = models.Chat("http://h", "m1", fallback_models=["m2"])
+    assert [chat.generate("p"), chat.generate("p")] == ["ok", "ok"] and asked == ["m1", "m2", "m2"] and chat.hops == 2
+
+
+def test_retries_dead_letters_and_metrics(spark, tmp_path):
+    assert models.is_array('x [1] y') and models.is_array('{"k": [1]}') and not models.is_array('{"k": 1}') and not models.is_array("[1")
+    docs = spark.createDataFrame([(1, "a", "The order book lists all open orders."), (2, "b", "Broken text that is refused here.")], "doc_id long, source string, text string")
+    rule = models.rule_extractor()
+    model = models.Rule(lambda p: "oops" if "Broken" in p else rule.rule(p))
+    options = pipeline.Options(model, models.rule_namer(), dead_letters=str(tmp_path / "dead"))
+    statements = pipeline.extract_statements(docs, options)
+    assert statements.count() == 1
+    metrics = {r["measure"]: r["value"] for r in pipeline.run_metrics(options, statements=statements).collect()}
+    assert (metrics["extract_batches"], metrics["extract_failed"], metrics["extract_retries"], metrics["statements"]) == (2, 1, 2 - 1, 1)
+    dead = spark.read.parquet(str(tmp_path / "dead"))
+    assert [(r["pass"], r["error"]) for r in dead.collect()] == [("extract", "malformed answer")]
+    assert models.requeue(dead, rule, accept=models.is_array).filter("answer IS NOT NULL").count() == 1
+    with pytest.raises(Exception, match="malformed answer"):
+        pipeline.extract_statements(docs, pipeline.Options(model, models.rule_namer(), raise_failures=True)).collect()
+
+
+def test_seeds_are_resolved_in_order(spark, tmp_path):
+    rows = spark.createDataFrame([(f"Gross Margin is number {i}.",) for i in range(50)] + [("Order Book rules.",)], "statement string")
+    (tmp_path / "s.json").write_text('["X"]')
+    assert [r["seed"] for r in pipeline.resolve_seeds(rows, None, str(tmp_path / "s.json"))[0].collect()] == ["X"]
+    asked = []
+    small = models.Rule(lambda p: asked.append(p) or ("no" if len(asked) == 1 else '["A", " ", "A", "B"]'))
+    assert [r["seed"] for r in pipeline.resolve_seeds(rows, small, str(tmp_path / "none"))[0].collect()] == ["A", "B"] and len(asked) == 2
+    assert "40" in asked[0] and "20" in asked[1] and pipeline.resolve_seeds(rows, models.Rule(lambda p: "no"))[0] is None
+    assert pipeline.derive_seeds(rows, models.rule_seeder())[0] == "Gross Margin"
+    docs = spark.createDataFrame([(1, "a", "The order book lists all open orders.")], "doc_id long, source string, text string")
+    seeds = spark.createDataFrame([(0, "Other Name")], "seed_idx int, seed string")
+    options = pipeline.Options(models.rule_extractor(), models.rule_namer(), strict_seeds=True)
+    assert pipeline.name_concepts(pipeline.extract_statements(docs, options), options, seeds).isEmpty()
+
+
+def test_stream_gate_and_pages(spark, tmp_path):
+    text = "Gross Margin is what remains of sales. Gross Margin falls when costs rise in every plant. "
+    for i in range(2):
+        spark.createDataFrame([(i, f"s{i}", text * (i + 1))], "doc_id long, source string, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    options = pipeline.Options(models.rule_extractor(), models.rule_namer(), seeder=models.rule_seeder())
+    two_pass.stream_facts(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"), options).awaitTermination(120)
+    assert [r["seed"] for r in spark.read.parquet(str(tmp_path / "out/seeds")).collect()] == ["Gross Margin"]
+    assert two_pass.stream_pages(spark, str(tmp_path / "out"), options).columns == ["title", "concept", "markdown"]
+
+
+def test_titles_links_and_enhanced_pages(spark, sample):
+    names = spark.createDataFrame([("fifo method", 1, 1), ("FIFO Cost", 2, 1), ("gross margin", 3, 1)], "concept string, concept_seq long, n_facts long")
+    assert {r["concept"]: r["title"] for r in render.titles(names).collect()} == {"fifo method": "FIFO Method", "FIFO Cost": "FIFO Cost", "gross margin": "Gross Margin"}
+    links = {tuple(r) for r in render.link_maps(names).collect()}
+    assert ("fifo", "FIFO Cost", True) in links and ("Gross Margin", "Gross Margin", False) in links and len(links) == 4
+    pages = {r["concept"]: r["markdown"] for r in render.enhanced_pages(facts.clean_facts(sample)).collect()}
+    assert pages and all("## Related Concepts" in m and "# " in m for m in pages.values())
+    intro = spark.range(1).select(render.enhanced_intro(F.lit("Gross Margin"), F.lit("Gross margin is sales less cost."), F.array(F.lit("high values are good. And more.")), F.array().cast("array<string>")).alias("i")).first()["i"]
+    assert intro == "**Gross Margin** is sales less cost. High values are good."
+    made = spark.createDataFrame([("a", "# x", 0.9, "LOW"), ("b", "# x\n## s\n## t\n## u", 0.5, "HIGH")], "backend string, markdown string, coverage double, risk string")
+    verdict = {r["measure"]: r["verdict"] for r in evaluate.compared_backends(made, "a", "b").collect()}
+    assert verdict["coverage"] == "a better" and verdict["sections"] == "b more detailed" and verdict["links"] == "comparable"
+    assert [r["concept"] for r in evaluate.group_report(names.withColumn("n_facts", F.col("concept_seq"))).collect()] == ["gross margin", "FIFO Cost", "fifo method"]
+
+
+def test_islands_of_a_long_path(spark):
+    n = 70
+    edges = spark.createDataFrame([(f"c{i:03}", f"c{i + 1:03}") for i in range(n)], "a string, b string")
+    nodes = spark.createDataFrame([(f"c{i:03}",) for i in range(n + 1)] + [("z",)], "concept string")
+    out = {r["concept"]: r["island"] for r in merge._islands(edges, nodes).collect()}
+    assert set(out.values()) == {"c000", "z"} and len(out) == n + 2
