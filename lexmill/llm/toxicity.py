@@ -3,13 +3,15 @@
 Voters are lexicons and patterns: sets of words and word beginnings that labelled rows show to go with
 toxic texts, dealt over several voters, a fixed list of insults, and counts of hits.  A generative label
 model, fitted by EM to the votes on all documents, estimates each voter's accuracies and which voters
-are correlated beyond the label; correlated ones are modelled jointly.  Its posterior labels train a
-linear classifier on hashed words and word beginnings, which scores every text.
-
-Edge cases: a null or empty text has no features and gets the model's base score; labels that are null
-or whose document is absent aren't used; where a document has several labels the highest counts; rows
-whose id is null count as held out; without labelled rows of both kinds the fixed list alone votes;
-rows with equal ids stay rows of their own; other columns pass through.
+are correlated beyond the label; correlated ones are modelled jointly.  Its posterior labels of a bounded
+sample of all documents that may be learned from, labelled or not, train a linear classifier on hashed
+words and word beginnings, which scores every text.  Gold labels only make lexicons and the prior.
+
+Edge cases: a null or empty text has no features and gets the model's base score; a text of any length
+counts whole; labels that are null or whose document is absent aren't used; where a document has several
+labels the highest counts; rows whose id is null count as held out; without labelled rows of both kinds
+the fixed list alone votes; rows with equal ids or texts stay rows of their own and get equal scores; an
+empty table gives an empty result; other columns pass through, but for toxicity, which the operator's replaces.
 """
 
 from __future__ import annotations
@@ -26,8 +28,10 @@ from ._words import LOWER, NOT_ALNUM, Words, join, mix
 from .linear import Ftrl
 
 BITS = 20
-#: Labelled rows that are learned from at most, about half of them toxic.
+#: Labelled rows that lexicons are made from at most, about half of them toxic.
 MAX_LABELLED_ROWS = 5000
+#: Documents whose posterior labels train the classifier at most, about half of them with a vote.
+MAX_TRAINING_ROWS = 6000
 #: The fixed list (general insults).
 INSULTS = ("clown", "disgusting", "dumb", "fool", "garbage", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "ugly", "vermin", "worthless")
 PREFIXES = (4, 5, 6, 7)
@@ -179,22 +183,50 @@ def _patterns(voters: np.ndarray):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED_ROWS, epochs: int = 3) -> ToxicityModel:
-    """A model from docs (doc_id, text) and labels (doc_id, toxic) that may be learned from."""
+def _training_features(voters: np.ndarray, shares: tuple[int, int]):
+    """Of rows (h, text) those whose h is within the share of rows without or with a vote."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pattern, raw = [], []
+            for h, x in zip(batch.column(0).to_pylist(), _slices(batch.column(1)), strict=True):
+                p = vote(x, voters)
+                if h <= shares[p > 0]:
+                    pattern.append(p)
+                    raw.append(x.astype("<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(pattern, pa.int32()), pa.array(raw, pa.binary())], names=["pattern", "features"])
+
+    return run
+
+
+def _hash(salt: str):
+    """62 bits of an id's hash; a null id's is null."""
+    return F.when(F.col("doc_id").isNotNull(), F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(salt)), 2))
+
+
+def _collected(df: DataFrame, key: str) -> list[tuple[int, np.ndarray]]:
+    """(key, features) in an order that depends on the rows alone."""
+    found = sorted(((r[key], r["features"]) for r in df.toArrow().to_pylist()))
+    np.random.default_rng(0).shuffle(found)
+    return [(k, np.frombuffer(f, "<i4")) for k, f in found]
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED_ROWS, epochs: int = 3, may_learn=None, max_training: int = MAX_TRAINING_ROWS) -> ToxicityModel:
+    """A model from docs (doc_id, text) and labels (doc_id, toxic) that may be learned from.
+
+    Votes are counted over all docs; may_learn (a column, null as false) says whose texts may train the classifier.
+    """
     labels = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    labels = labels.withColumn("h", F.abs(F.shiftright(F.xxhash64("doc_id", F.lit("sample")), 1)))
+    labels = labels.withColumn("h", _hash("sample"))
     sizes = {r["toxic"]: r["n"] for r in labels.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     share = {y: int(min(1.0, max_rows / 2 / n) * 2**62) for y, n in sizes.items()}
     # A sample of max_rows ids, with room for chance: small enough to broadcast.
     sample = labels.filter(F.col("h") <= F.when(F.col("toxic") > 0, share.get(1, 0)).otherwise(share.get(0, 0))).select("doc_id", "toxic").limit(max_rows + max_rows // 4)
     text = F.col("text").cast("string").alias("text")
-    found = docs.select("doc_id", text).join(F.broadcast(sample), "doc_id").select("toxic", "text").mapInArrow(_sample_features, "toxic int, features binary").toArrow().to_pylist()
-    found.sort(key=lambda r: (r["toxic"], r["features"]))
-    np.random.default_rng(0).shuffle(found)
-    rows, toxic = [np.frombuffer(r["features"], "<i4") for r in found], np.array([r["toxic"] > 0 for r in found], bool)
+    found = _collected(docs.select("doc_id", text).join(F.broadcast(sample), "doc_id").select("toxic", "text").mapInArrow(_sample_features, "toxic int, features binary"), "toxic")
+    rows, toxic = [x for _, x in found], np.array([y > 0 for y, _ in found], bool)
     kept = distinct_rows(rows, toxic)
-    rows, toxic = [rows[k] for k in kept], toxic[kept]
-    voters = mine_voters(rows, toxic)
+    voters = mine_voters([rows[k] for k in kept], toxic[kept])
     seen = docs.select(text).mapInArrow(_patterns(voters), "pattern int, docs long").groupBy("pattern").agg(F.sum("docs").alias("docs")).toPandas()
     patterns, counts = seen.pattern.to_numpy("i8"), seen.docs.to_numpy("f8")
     hits = np.array([bin(p).count("1") for p in patterns.tolist()])
@@ -202,22 +234,26 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED_ROWS, e
     model = LabelModel(prior=prior)
     if len(patterns):
         model.fit(patterns, counts, np.where(hits >= 1, 0.9, 0.02))
-    # A row's own label is one more, nearly sure voter.
-    own = np.array([vote(x, voters) for x in rows], "i8")
-    q = model.posterior(own) if len(own) and len(patterns) else np.zeros(0)
-    odds = np.log(np.clip(q, 1e-9, 1 - 1e-9)) - np.log(1 - np.clip(q, 1e-9, 1 - 1e-9)) + np.where(toxic[: len(q)], 1, -1) * np.log(0.97 / 0.03)
-    q = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+    # Half of the training rows have a vote, as far as there are so many.
+    n = [float(counts[hits == 0].sum()), float(counts[hits > 0].sum())]
+    shares = tuple(int(min(1.0, max_training / 2 / max(1.0, x)) * 2**62) for x in n)
+    allowed = F.coalesce(F.lit(True) if may_learn is None else may_learn, F.lit(False))
+    near = docs.select(_hash("train").alias("h"), text, allowed.alias("a")).filter(F.col("a") & (F.col("h") <= max(shares))).select("h", "text")
+    train = _collected(near.mapInArrow(_training_features(voters, shares), "pattern int, features binary").limit(max_training + max_training // 4), "pattern")
+    kept = distinct_rows([x for _, x in train], np.array([p > 0 for p, _ in train], bool))
+    train = [train[k] for k in kept]
+    q = model.posterior(np.array([p for p, _ in train], "i8")) if train and len(patterns) else np.zeros(0)
     classifier, bias_at = Ftrl((1 << BITS) + 1, 1 + 1, alpha=1.0, l1=4.0, l2=0.01), 1 << BITS
     support = np.zeros(1 << BITS, "i4")
-    for x in rows:
+    for _, x in train:
         support[x] += 1
     for _ in range(epochs):
-        for x, p in zip(rows, q, strict=False):
+        for (_, x), p in zip(train, q, strict=False):
             index = np.append(x[support[x] >= 5], bias_at)
             classifier.update(index, np.ones(len(index)), np.array([1 - p, p]))
     w = classifier.weights
     weights, bias = (w[1] - w[0])[:bias_at], float(w[1, bias_at] - w[0, bias_at])
-    if not len(q):  # nothing to learn from: the fixed list decides
+    if not len(q) or not (toxic.any() and not toxic.all()):  # no labels to learn from: the fixed list decides
         weights, bias = np.where(voters >> LEXICONS & 1, 4.0, 0.0), -3.0
     return ToxicityModel(weights.astype("f4"), bias)
 
@@ -246,6 +282,6 @@ def learnable(labels: DataFrame, folds: int = 5, held_fold: int = 0) -> DataFram
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0, max_rows: int = MAX_LABELLED_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
-    model = fit(docs.select("doc_id", "text"), learnable(labels, folds, held_fold), max_rows)
+    model = fit(docs.select("doc_id", "text"), learnable(labels, folds, held_fold), max_rows, may_learn=~held_out(folds, held_fold))
     out = score(docs.select("doc_id", held_out(folds, held_fold).alias("held_out"), "text"), model)
     return out.select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
