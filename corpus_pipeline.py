@@ -25,7 +25,7 @@ SHINGLE, NUM, DEN = 5, 80, 100
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents under the score; learns from labels outside the held fold."""
     labels = toxicity.learnable(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    model = toxicity.fit(docs.select("doc_id", "text"), labels)
+    model = toxicity.fit(docs.select("doc_id", "text"), labels, may_learn=~toxicity.held_out())
     return toxicity.score(docs, model).filter(F.col("toxicity") < TOXIC).select(COLUMNS)
 
 
