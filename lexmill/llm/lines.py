@@ -1,12 +1,17 @@
 """Operator 5: line dedup over levelled sorted runs of line hashes.
 
-The runs are an LSM-like store: each batch of documents writes one run of level 0, a table of
-(line hash, documents that have it) dealt and sorted by hash; when a level has ``fanout`` runs they
-are merged into one of the next.  Lines are then merge-joined with the runs, and lose those whose key
-is in at least ``min_docs`` documents of all batches so far.
+The runs are an LSM-like store of tables, bucketed and sorted by hash, all alike, so that joining them
+moves none of their rows.  Each batch of documents counts its line hashes, merge-anti-joins them with
+the settled runs, whose lines are in enough documents already and need no more counting, and adds what
+is left as a run of its own on level 0.  When a level has ``fanout`` runs, they are compacted into one
+of the next level, and hashes that have reached ``min_docs`` documents there become a settled run.
+After the last batch one compaction over all levels settles the rest; then lines lose those whose key
+is settled.
 
 Edge cases: a null or empty text is one empty line; keys under ``min_chars`` code points never count;
-each row counts as a document, also where ids repeat or are null; an empty table gives an empty result.
+each row counts as a document, also where ids repeat or are null; texts of any length count whole; equal
+rows are treated alike; an empty table gives an empty result; other columns pass through, but for
+kept_text, n_lines and n_dropped, which the operator's replace.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import fields_of, materialise, packed, scratch_path
+from ._store import delete, discard, fields_of, materialise, packed, scratch_path
 
 #: Stripped at both ends of a line: \x20 and \x09 to \x0d.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -28,35 +33,66 @@ _KEYS = "t1 long, t2 long, pos int, h1 long, h2 long, once boolean"
 
 
 class LineRuns:
-    """Sorted runs by level; paths only are kept on the driver, at most fanout a level."""
-
-    def __init__(self, spark: SparkSession, fanout: int = 3):
-        self._spark, self._fanout, self.levels = spark, fanout, [[]]
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self._spark.read.schema(_RUN).parquet(*paths) if paths else self._spark.createDataFrame([], _RUN)
-
-    def _write(self, counts: DataFrame, level: int) -> None:
-        path = scratch_path(self._spark, f"run{level}")
-        # The aggregate before has dealt the rows by hash already; each file is sorted.
-        counts.sortWithinPartitions("h1", "h2").write.option("compression", "zstd").parquet(path)
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(path)
+    """Sorted runs by level, and settled ones; the driver holds their names only."""
+
+    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 3):
+        self._spark, self._min, self._fanout = spark, min_docs, fanout
+        self._buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels, self.settled, self._paths = [[]], [], {}
+
+    def _write(self, counts: DataFrame, what: str) -> str:
+        """A run: counts, dealt and sorted by hash, each bucket by one task."""
+        path = scratch_path(self._spark, what)
+        name = "lexmill_" + path.rsplit("-", 1)[1]
+        rows = counts.repartition(self._buckets, "h1", "h2")
+        rows.write.bucketBy(self._buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").option("compression", "zstd").option("path", path).saveAsTable(name)
+        self._paths[name] = path
+        return name
+
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self._spark.sql(f"DROP TABLE IF EXISTS {name}")
+            delete(self._spark, self._paths.pop(name))
+
+    def _read(self, names: list[str]) -> DataFrame:
+        out = self._spark.createDataFrame([], _RUN) if not names else self._spark.table(names[0])
+        for name in names[1:]:
+            out = out.unionByName(self._spark.table(name))
+        return out
 
     def add(self, keys: DataFrame) -> None:
         """One more run from (h1, h2) rows, one for each document and key; full levels are compacted."""
-        self._write(keys.groupBy("h1", "h2").agg(F.count("*").alias("docs")), 0)
+        fresh = keys.groupBy("h1", "h2").agg(F.count("*").alias("docs"))
+        for name in self.settled:
+            fresh = fresh.join(self._spark.table(name).hint("merge"), ["h1", "h2"], "left_anti")
+        self.levels[0].append(self._settle(self._write(fresh, "run")))
         level = 0
         while len(self.levels[level]) >= self._fanout:
-            merged, self.levels[level] = self._read(self.levels[level]), []
-            self._write(merged.groupBy("h1", "h2").agg(F.sum("docs").alias("docs")), level + 1)
-            level += 1
-
-    def keys(self, min_docs: int) -> DataFrame:
-        """(h1, h2) of the lines in at least min_docs documents of all runs."""
-        runs = self._read([p for level in self.levels for p in level])
-        return runs.groupBy("h1", "h2").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("h1", "h2")
+            if level + 1 == len(self.levels):
+                self.levels.append([])
+            self.levels[level + 1].append(self._compact(self.levels[level]))
+            self.levels[level], level = [], level + 1
+
+    def _settle(self, name: str) -> str:
+        """What has come to min_docs in a run is copied to a settled one; wherever runs are read it counts no more."""
+        due = self._spark.table(name).filter(F.col("docs") >= self._min)
+        if not due.isEmpty():
+            self.settled.append(self._write(due, "settled"))
+        return name
+
+    def _compact(self, names: list[str]) -> str:
+        merged = self._write(self._read(names).filter(F.col("docs") < self._min).groupBy("h1", "h2").agg(F.sum("docs").alias("docs")), "run")
+        self._drop(names)
+        return self._settle(merged)
+
+    def keys(self) -> DataFrame:
+        """(h1, h2) of the lines in at least min_docs documents, as a scratch table; the store is gone then."""
+        rest = self._read([n for level in self.levels for n in level]).filter(F.col("docs") < self._min).groupBy("h1", "h2").agg(F.sum("docs").alias("docs"))
+        due = rest.filter(F.col("docs") >= self._min).select("h1", "h2")
+        out = materialise(due.unionByName(self._read(self.settled).select("h1", "h2")).distinct(), "frequent")
+        self._drop([*self._paths])
+        self.levels, self.settled = [[]], []
+        return out
 
 
 def _with_text_hash(docs: DataFrame) -> DataFrame:
@@ -113,7 +149,8 @@ def drop_frequent_lines(docs: DataFrame, keys: DataFrame, frequent: DataFrame) -
     Lines are found by their text's hash, so copies of a text share one list of positions.
     """
     hits = keys.select("t1", "t2", "pos", "h1", "h2").join(frequent, ["h1", "h2"], "left_semi")
-    drops = hits.groupBy("t1", "t2").agg(F.collect_set("pos").alias("_drops"))
+    # Written, so that joins know their sizes: few hashes are broadcast, and a text with many copies is split.
+    drops = materialise(hits.groupBy("t1", "t2").agg(F.collect_set("pos").alias("_drops")), "drops")
     joined = _with_text_hash(docs).join(drops, ["t1", "t2"], "left").drop("t1", "t2")
     out = joined.mapInArrow(_drop_lines, ", ".join([*fields_of(joined, ("_text", "_drops")), "kept_text string, n_lines long, n_dropped long"]))
     return out.select("_row.*", "kept_text", "n_lines", "n_dropped")
@@ -121,11 +158,14 @@ def drop_frequent_lines(docs: DataFrame, keys: DataFrame, frequent: DataFrame) -
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 3) -> DataFrame:
     """docs' columns but text, with kept_text, n_lines, n_dropped; documents come in as so many batches."""
-    docs, runs = packed(docs, ("kept_text", "n_lines", "n_dropped")), LineRuns(docs.sparkSession, fanout)
+    docs, runs = packed(docs, ("kept_text", "n_lines", "n_dropped")), LineRuns(docs.sparkSession, min_docs, fanout)
     keys = materialise(line_keys(docs, min_chars).withColumn("batch", F.pmod("t1", F.lit(batches)).cast("int")), "lines")
     for k in range(batches):
         runs.add(keys.filter((F.col("batch") == k) & F.col("once")).select("h1", "h2"))
-    return drop_frequent_lines(docs, keys, runs.keys(min_docs))
+    frequent = runs.keys()
+    out = drop_frequent_lines(docs, keys, frequent)
+    discard(keys, frequent)
+    return out
 
 
 ORACLE = r"""

@@ -196,6 +196,19 @@ def test_line_dedup(spark, rows):
     assert Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in out.collect()) == expected
 
 
+@pytest.mark.parametrize("fanout", [2, 3, 9])
+def test_line_runs_count_over_all_batches(spark, fanout):
+    """Against plain counts, with hashes that are frequent in one batch, over several, and settled early."""
+    r, plain = random.Random(fanout), Counter()
+    runs = lines.LineRuns(spark, 4, fanout)
+    for k in range(6):
+        batch = [(r.randint(0, 30 + 10 * k), 1) for _ in range(25)] + [(1000 + k, 2)] * r.randint(2, 5) + [(2000, 3)]
+        plain.update(batch)
+        runs.add(spark.createDataFrame(batch, "h1 long, h2 long"))
+    assert {tuple(x) for x in runs.keys().collect()} == {k for k, n in plain.items() if n >= 4}
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("lexmill_")]
+
+
 @pytest.mark.parametrize("n", [13, 4])
 def test_substring_dedup(spark, rows, n):
     split, first = [(d, words(t)) for d, t in rows], {}
@@ -322,6 +335,50 @@ def test_decontamination_recall_by_length():
             assert seen[n, edits, "found"] >= (1 if n < 25 else 0.95) * seen[n, edits, "all"], (n, edits)
 
 
+def test_decontamination_edges(spark, rows):
+    item = " ".join(f"it{i}" for i in range(30))
+    benchmark = spark.createDataFrame([(1, item), (1, item), (2, item), (None, item)], "item_id long, text string")
+    docs = docs_of(spark, [*rows, (9000, "w " * 100000 + item), (9001, item), (9001, item), (None, item)])
+    out = decontamination.find_contamination(docs.withColumn("edits", F.lit("x")), benchmark)
+    found = Counter(r["doc_id"] for r in out.filter("edits = 0").collect())
+    assert set(found) == {9000, 9001, None} and found[9001] == 2 * found[9000]
+    assert decontamination.find_contamination(docs.limit(0), benchmark).isEmpty()
+    assert decontamination.find_contamination(docs, benchmark.limit(0)).isEmpty()
+
+
+def test_quality_and_licences_of_odd_rows(spark, rows):
+    long = "\n".join(f"line number {i} of a very long text" for i in range(20000))
+    odd = [*rows, (9000, long), (9001, "Licensed under MIT."), (9001, "Licensed under MIT."), (9002, long + "\nLicensed under MIT.")]
+    docs = docs_of(spark, odd).withColumn("group", F.lit("clash")).withColumn("d2", F.lit(1)).withColumn("sequence", F.lit(1))
+    out = quality.quality(docs).collect()
+    assert len(out) == len(odd) and len({r["kept"] for r in out if r["doc_id"] == 9001}) == 1
+    assert next(r["n_words"] for r in out if r["doc_id"] == 9000) == 160000
+    found = Counter((r["doc_id"], tuple(r["licences"])) for r in licenses.scan_licenses(docs).collect())
+    assert found[9001, ("MIT",)] == 2 and found[9002, ("MIT",)] == 1 and sum(found.values()) == len(odd)
+
+
+def test_minimum_determinant_against_plain_numpy(spark):
+    """The same starts and steps on a plain array: the estimate's determinant is as small, and smaller than one start's."""
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.normal(size=(700, 5)), r.normal(size=(200, 5)) * 0.3 + [6, 6, 0, 0, 0]])
+    z = spark.createDataFrame([("g", *map(float, v)) for v in x], "group string, " + ", ".join(f"z{i} double" for i in range(5)))
+    got = quality.minimum_determinant(z).first()
+
+    def step(d):
+        core = x[d <= np.sort(d)[int(np.ceil(0.75 * len(d))) - 1]]
+        m, c = core.mean(axis=0), 0.9 * np.cov(core.T, bias=True) + 0.1 * np.eye(5)
+        return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m), np.log(np.linalg.det(c))
+
+    ends = []
+    for start in ((x**2).sum(1), abs(x).sum(1), abs(x).max(1), (np.tanh(x) ** 2).sum(1)):
+        d, spread = step(start)
+        for _ in range(60):
+            d, spread = step(d)
+        ends.append(spread)
+    spread = 2 * sum(np.log(got[f"l{i}{i}"]) for i in range(5))
+    assert spread <= min(ends) + 0.05
+
+
 def test_edit_distance_against_all_stretches():
     def plain(a, b):
         row = list(range(len(b) + 1))
@@ -393,6 +450,16 @@ def test_toxicity_held_out(spark):
     assert toxicity.score_toxicity(df, lab.limit(0)).count() == 602
 
 
+def test_toxicity_edges(spark, rows):
+    docs = docs_of(spark, [*rows, (9000, "idiot " * 60000), (9001, "same"), (9001, "same")])
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    out = toxicity.score_toxicity(docs, none).collect()
+    assert len(out) == len(rows) + 3 and len({r["score"] for r in out if r["doc_id"] == 9001}) == 1
+    assert toxicity.score_toxicity(docs.limit(0), none).isEmpty()
+    clash = toxicity.score(docs.withColumn("toxicity", F.lit("x")), toxicity.fit(docs, none))
+    assert dict(clash.dtypes)["toxicity"] == "double" and clash.count() == len(rows) + 3
+
+
 def test_label_model_finds_good_and_correlated_voters():
     r = np.random.default_rng(0)
     y = r.random(20000) < 0.2
