@@ -14,8 +14,9 @@ each edit spoils at most q of an item's runs of q words, so a stretch with no mo
 edits has a least number of the item's runs, on diagonals no farther apart than those edits.
 
 Items of less than 4 words, or null, aren't told from chance and match nothing.  Edge cases: a null or empty text matches nothing; rows with equal or null
-ids are matched each by itself; repeated items (equal ids or texts) each match; empty tables give an
-empty result.
+ids are matched each by itself; repeated items (equal or null ids, equal texts) each match; texts of any
+length are searched whole; of equally near places the first counts; empty tables give an empty result; other
+columns pass through, but for those named as a column of the result, which that column replaces.
 """
 
 from __future__ import annotations
@@ -226,7 +227,7 @@ class ItemIndex:
         for (k, item), (edits, first, end) in found.items():
             i, h = self.items[item]
             out[k].append((i, edits, len(h), first - int(bounds[k]), end - int(bounds[k])))
-        return [sorted(x) for x in out]
+        return [sorted(x, key=lambda m: (m[0] is None, m[0] or 0, *m[1:])) for x in out]
 
     def _by_runs(self, q: int, keys: np.ndarray, items: np.ndarray, offsets: np.ndarray, hashes: np.ndarray, bounds: np.ndarray, found: dict) -> None:
         """Verifies all places with enough runs of an item on diagonals near enough."""
