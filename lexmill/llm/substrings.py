@@ -11,7 +11,8 @@ build the automaton, so a passage that a third of all documents share is no bott
 
 Edge cases: a null or empty text has no words; rows whose id is null neither lose words nor serve as
 reference; rows with the same id never remove one another's words; a later copy of a whole text loses
-everything if it has a window; an empty table gives an empty result; other columns pass through.
+everything if it has a window; texts of any length count whole; an empty table gives an empty result; other
+columns pass through, but for kept_text, n_words and n_removed, which the operator's replace.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import fields_of, materialise, packed
-from ._words import Words, join, windows
+from ._store import discard, drop_finished_shuffles, fields_of, materialise, packed
+from ._words import Words, join, mix, windows
 
 #: Words of a run whose hash stands for the window.
 RUN = 5
@@ -52,18 +53,40 @@ def minimizers(hashes: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def _emit_minimizers(length: int):
+def _combined(found: list[np.ndarray], owner: list[np.ndarray]) -> pa.RecordBatch:
+    """One row (key = minimizer, smallest text, null) for each minimizer, and for those that several texts share
+    here a row (key of its own, text, minimizer) for each of them."""
+    all_m, all_t = np.concatenate([np.zeros(0, "u8"), *found]).view("i8"), np.concatenate([np.zeros(0, "i8"), *owner])
+    order = np.lexsort((all_t, all_m))
+    m, t = all_m[order], all_t[order]
+    begin = np.flatnonzero(np.append(True, m[1:] != m[:-1])) if len(m) else np.zeros(0, "i8")
+    count = np.diff(np.append(begin, len(m)))
+    several = np.repeat(count > 1, count)
+    one = np.sort(order[begin])  # rows of one text stay together, so that shuffle files compress well
+    own = mix(m[several].view("u8") ^ mix(t[several].view("u8"))).view("i8")
+    columns = [np.concatenate([all_m[one], own]), np.concatenate([all_t[one], t[several]])]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.concat_arrays([pa.nulls(len(one), pa.int64()), pa.array(m[several])])], names=["key", "t", "m"])
+
+
+def _emit_minimizers(length: int, rows: int = 500_000):
+    """Minimizers of each distinct text, combined by about so many rows: of a passage that a third of all texts
+    share only one row of each such lot meets the others."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies within a task count once
+        found, owner, held = [], [], 0
         for batch in batches:
-            found, owner = [np.zeros(0, "u8")], [np.zeros(0, "i8")]
             keys = batch.column(0).to_pylist()
             for key, h in zip(keys, _word_hashes(batch.column(1).to_pylist()), strict=True):
                 if key not in seen:
                     seen.add(key)
                     found.append(np.unique(minimizers(h, length)))
                     owner.append(np.full(len(found[-1]), key))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view("i8")), pa.array(np.concatenate(owner))], names=["m", "t"])
+                    held += len(found[-1])
+                    if held >= rows:
+                        yield _combined(found, owner)
+                        found, owner, held = [], [], 0
+        yield _combined(found, owner)
 
     return run
 
@@ -229,17 +252,25 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
     """(t, spans) of the texts that repeat something; texts has t, doc_id (the smallest) and _text."""
-    found = texts.select("t", "_text").mapInArrow(_emit_minimizers(length), "m long, t long")
-    by_m = Window.partitionBy("m")
-    shared = found.withColumns({"low": F.min("t").over(by_m), "high": F.max("t").over(by_m)}).filter("low <> high").groupBy("t").agg(F.collect_set("m").alias("shared"))
+    spark = texts.sparkSession
+    found = texts.select("t", "_text").mapInArrow(_emit_minimizers(length), "key long, t long, m long")
+    by_key = Window.partitionBy("key")
+    shared = found.withColumns({"low": F.min("t").over(by_key), "high": F.max("t").over(by_key)}).filter(F.col("m").isNotNull() | (F.col("low") != F.col("high")))
+    shared = materialise(shared.select("t", F.coalesce("m", "key").alias("m")).groupBy("t").agg(F.collect_set("m").alias("shared")), "shared")
+    drop_finished_shuffles(spark)
     runs = materialise(texts.join(shared, "t").mapInArrow(_emit_runs(length), "t long, doc long, start long, words binary").distinct(), "runs")
+    discard(shared)
     seen = runs.mapInArrow(_emit_windows(length), "w long, t long, doc long, start long, pos int")
-    low = seen.groupBy("w").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low <> high").select("w", "low")
+    # Written, so that a window of very many texts can be split where it is joined.
+    low = materialise(seen.groupBy("w").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low <> high").select("w", "low"), "low")
+    drop_finished_shuffles(spark)
     verdict = seen.join(low, "w").groupBy("t", "start").agg(F.collect_list(F.struct("pos", "low")).alias("found"))
     # Shards by the words of all runs, an upper bound on those of the passages.
     words = runs.agg(F.coalesce(F.sum(F.length("words")), F.lit(0)).alias("n")).first()["n"] // 8
     shards = int(max(1, words // SHARD_WORDS))
     routed = materialise(runs.join(verdict, ["t", "start"]).select("t", "doc", "start", "words", F.col("found.pos").alias("pos"), F.col("found.low").alias("low")).mapInArrow(_route(length, shards), "shard long, kind int, t long, doc long, start long, words binary"), "routed")
+    discard(runs, low)
+    drop_finished_shuffles(spark)
     tasks = routed.filter("kind = 1").groupBy("shard").agg(F.ceil(F.count("*") / TASK_STRETCHES).cast("int").alias("tasks"))
     dealt = routed.join(tasks, "shard").withColumn("task", F.when(F.col("kind") == 0, F.sequence(F.lit(0), F.col("tasks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("t", "start"), "tasks").cast("int"))))
     spans = dealt.select("shard", F.explode("task").alias("task"), "kind", "t", "doc", "start", "words").groupBy("shard", "task").applyInPandas(_match(length), "t long, first long, end long")
