@@ -105,7 +105,9 @@ def _emit_runs(length: int):
             for t, doc, shared, h in zip(batch.column("t").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("shared"), _word_hashes(batch.column("_text").to_pylist()), strict=True):
                 at = np.flatnonzero(np.isin(minimizers(h, length).view("i8"), shared.values.to_numpy(zero_copy_only=False)))
                 rows += [(t, doc, a, h[a : b + length].tobytes()) for a, b in _stretches(at)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["t", "doc", "start", "words"])
+            t, doc, start = (np.array([r[k] for r in rows], "i8") for k in range(3))
+            run_id = mix(t.view("u8") ^ mix(start.view("u8"))).view("i8")
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (run_id, t, doc, start)), pa.array([r[3] for r in rows], pa.binary())], names=["r", "t", "doc", "start", "words"])
 
     return run
 
@@ -115,9 +117,9 @@ def _emit_windows(length: int):
         for batch in batches:
             w = [windows(np.frombuffer(x.as_py(), "u8"), length) for x in batch.column("words")]
             count = [len(x) for x in w]
-            t, doc, start = (np.repeat(batch.column(c).to_numpy(), count) for c in ("t", "doc", "start"))
+            r, doc = (np.repeat(batch.column(c).to_numpy(), count) for c in ("r", "doc"))
             within = np.concatenate([np.zeros(0, "i4"), *(np.arange(n, dtype="i4") for n in count)])
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate([np.zeros(0, "u8"), *w]).view("i8"), t, doc, start, within)], names=["w", "t", "doc", "start", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate([np.zeros(0, "u8"), *w]).view("i8"), r, doc, within)], names=["w", "r", "doc", "pos"])
 
     return run
 
@@ -258,17 +260,18 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
     shared = found.withColumns({"low": F.min("t").over(by_key), "high": F.max("t").over(by_key)}).filter(F.col("m").isNotNull() | (F.col("low") != F.col("high")))
     shared = materialise(shared.select("t", F.coalesce("m", "key").alias("m")).groupBy("t").agg(F.collect_set("m").alias("shared")), "shared")
     drop_finished_shuffles(spark)
-    runs = materialise(texts.join(shared, "t").mapInArrow(_emit_runs(length), "t long, doc long, start long, words binary").distinct(), "runs")
+    runs = materialise(texts.join(shared, "t").mapInArrow(_emit_runs(length), "r long, t long, doc long, start long, words binary").distinct(), "runs")
     discard(shared)
-    seen = runs.mapInArrow(_emit_windows(length), "w long, t long, doc long, start long, pos int")
+    drop_finished_shuffles(spark)
+    seen = runs.mapInArrow(_emit_windows(length), "w long, r long, doc long, pos int")
     # Written, so that a window of very many texts can be split where it is joined.
     low = materialise(seen.groupBy("w").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low <> high").select("w", "low"), "low")
     drop_finished_shuffles(spark)
-    verdict = seen.join(low, "w").groupBy("t", "start").agg(F.collect_list(F.struct("pos", "low")).alias("found"))
+    verdict = seen.select("w", "r", "pos").join(low, "w").groupBy("r").agg(F.collect_list(F.struct("pos", "low")).alias("found"))
     # Shards by the words of all runs, an upper bound on those of the passages.
     words = runs.agg(F.coalesce(F.sum(F.length("words")), F.lit(0)).alias("n")).first()["n"] // 8
     shards = int(max(1, words // SHARD_WORDS))
-    routed = materialise(runs.join(verdict, ["t", "start"]).select("t", "doc", "start", "words", F.col("found.pos").alias("pos"), F.col("found.low").alias("low")).mapInArrow(_route(length, shards), "shard long, kind int, t long, doc long, start long, words binary"), "routed")
+    routed = materialise(runs.join(verdict, "r").select("t", "doc", "start", "words", F.col("found.pos").alias("pos"), F.col("found.low").alias("low")).mapInArrow(_route(length, shards), "shard long, kind int, t long, doc long, start long, words binary"), "routed")
     discard(runs, low)
     drop_finished_shuffles(spark)
     tasks = routed.filter("kind = 1").groupBy("shard").agg(F.ceil(F.count("*") / TASK_STRETCHES).cast("int").alias("tasks"))
