@@ -252,15 +252,17 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=[*(batch.schema.names[k] for k in kept), "kept_text", "n_words", "n_removed"])
 
 
-def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
-    """(t, spans) of the texts that repeat something; texts has t, doc_id (the smallest) and _text."""
+def repeated_spans(texts: DataFrame, first: DataFrame, length: int) -> DataFrame:
+    """(t, spans) of the texts that repeat something; texts has t, doc_id and _text, first the smallest doc_id
+    (first_doc) of each t.  A text counts with that one; further copies of it change nothing."""
     spark = texts.sparkSession
     found = texts.select("t", "_text").mapInArrow(_emit_minimizers(length), "key long, t long, m long")
     by_key = Window.partitionBy("key")
     shared = found.withColumns({"low": F.min("t").over(by_key), "high": F.max("t").over(by_key)}).filter(F.col("m").isNotNull() | (F.col("low") != F.col("high")))
     shared = materialise(shared.select("t", F.coalesce("m", "key").alias("m")).groupBy("t").agg(F.collect_set("m").alias("shared")), "shared")
     drop_finished_shuffles(spark)
-    runs = materialise(texts.join(shared, "t").mapInArrow(_emit_runs(length), "r long, t long, doc long, start long, words binary").distinct(), "runs")
+    own = texts.join(shared.join(first, "t"), "t").filter("doc_id = first_doc").select("t", "doc_id", "_text", "shared")
+    runs = materialise(own.mapInArrow(_emit_runs(length), "r long, t long, doc long, start long, words binary"), "runs")
     discard(shared)
     drop_finished_shuffles(spark)
     seen = runs.mapInArrow(_emit_windows(length), "w long, r long, doc long, pos int")
@@ -285,8 +287,7 @@ def dedup_substrings(docs: DataFrame, length: int = 13) -> DataFrame:
     keyed = packed(docs, ("kept_text", "n_words", "n_removed")).withColumns({"t": F.xxhash64("_text"), "doc_id": F.col("_row.doc_id").cast("long")})
     first = keyed.filter("doc_id IS NOT NULL").groupBy("t").agg(F.min("doc_id").alias("first_doc"))
     texts = keyed.filter("doc_id IS NOT NULL").select("t", "doc_id", "_text")
-    firsts = texts.join(first, "t").filter("doc_id = first_doc").select("t", "doc_id", "_text")
-    spans = materialise(repeated_spans(firsts, length), "spans")
+    spans = materialise(repeated_spans(texts, first, length), "spans")
     # A later copy of a whole text loses all its words, if they make a window.
     joined = keyed.join(first.join(spans, "t", "left"), "t", "left")
     copy = F.coalesce(F.col("doc_id") > F.col("first_doc"), F.lit(False)) & (F.size(F.filter(F.split(F.col("_text"), r"[ \t-\r]+", length + 2), lambda x: x != "")) >= length)
