@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 _RNG = np.random.Generator(np.random.PCG64(20240607))
@@ -41,6 +43,20 @@ def join(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"\n".join([*raw, b""]), "u1"), begins
 
 
+def slices(texts: list[str | None], rows: int = 500, chars: int = 500_000) -> Iterator[list[str | None]]:
+    """texts in order, in lists of so many rows or code points at most (or one longer text): what is worked on at
+    once takes some 50 bytes for each of theirs."""
+    first, held = 0, 0
+    for k, t in enumerate(texts):
+        n = len(t or "")
+        if k > first and (k - first == rows or held + n > chars):
+            yield texts[first:k]
+            first, held = k, 0
+        held += n
+    if first < len(texts):
+        yield texts[first:]
+
+
 class Words:
     """starts, ends, hashes of the words of joined texts; bounds[k]:bounds[k + 1] are those of text k."""
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._words import NOT_ALNUM, Words, join, mix
+from ._words import NOT_ALNUM, Words, join, mix, slices
 
 STRIDE, WINDOW, SHORTEST = 3, 12, 4
 SAMPLED = 8
@@ -272,10 +272,9 @@ def _find(index: ItemIndex):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, rows, owner = batch.column("_text").to_pylist(), [], []
-            for low in range(0, len(texts), 500):
-                for k, hits in enumerate(index.matches(texts[low : low + 500]), low):
-                    rows += hits
-                    owner += [k] * len(hits)
+            for k, hits in enumerate(h for part in slices(texts) for h in index.matches(part)):
+                rows += hits
+                owner += [k] * len(hits)
             take = pa.array(owner, pa.int64())
             kept = [k for k, name in enumerate(batch.schema.names) if name != "_text"]
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())

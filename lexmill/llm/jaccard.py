@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import discard, drop_finished_shuffles, fields_of, materialise, packed
-from ._words import Words, join, mix, windows
+from ._words import Words, join, mix, slices, windows
 from .components import connected_components
 
 #: Members of one signature that are compared in one task; larger groups are dealt over pairs of blocks.
@@ -139,11 +139,6 @@ def shingle_sets(texts: list[str | None], size: int) -> Iterator[np.ndarray]:
         yield np.unique(windows(h, min(size, len(h)))) if len(h) else h
 
 
-def _slices(texts: list, rows: int = 500) -> Iterator[list]:
-    for k in range(0, len(texts), rows):
-        yield texts[k : k + rows]
-
-
 def _set_id(shingles: np.ndarray) -> int:
     return int(mix(np.array([shingles.sum(dtype="u8") + np.uint64(len(shingles))], "u8")).view("i8")[0])
 
@@ -154,10 +149,12 @@ def _profile(size: int):
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
+            at = 0
+            for texts in slices(batch.column("_text").to_pylist()):
+                part = batch.slice(at, len(texts))
+                at += len(texts)
                 n, ids, fine, half = [], [], [], []
-                for s in shingle_sets(part.column("_text").to_pylist(), size):
+                for s in shingle_sets(texts, size):
                     node, cells = (_set_id(s), None) if len(s) else (None, None)
                     if node is not None and node not in seen:
                         seen.add(node)
@@ -201,7 +198,7 @@ def _sign(size: int, num: int, den: int, rows: int = 500_000):
         seen: set[int] = set()  # copies within a task are signed once
         sigs, nodes, held = [], [], 0
         for batch in batches:
-            for part in _slices(batch.column("_text").to_pylist()):
+            for part in slices(batch.column("_text").to_pylist()):
                 for s in shingle_sets(part, size):
                     if len(s) and (node := _set_id(s)) not in seen:
                         seen.add(node)
@@ -222,7 +219,7 @@ def _whole(size: int):
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            for part in _slices(batch.column("_text").to_pylist(), 100):
+            for part in slices(batch.column("_text").to_pylist(), 100):
                 rows = []
                 for s in shingle_sets(part, size):
                     if len(s) and (node := _set_id(s)) not in seen:

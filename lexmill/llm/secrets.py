@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._words import slices
 from .automaton import Automaton, compile_rules, scan
 
 
@@ -120,7 +121,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: int = l
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            hits = [x for low in range(0, len(texts), 1000) for x in spans_of(rules, automaton, texts[low : low + 1000])]
+            hits = [x for part in slices(texts, 1000, 1_000_000) for x in spans_of(rules, automaton, part)]
             own = [[h for h in x if h[1] < base] for x in hits]
             columns = {name: batch.column(name) for name in batch.schema.names if name != "text"}
             for r in range(base):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import discard, drop_finished_shuffles, fields_of, materialise, packed
-from ._words import Words, join, mix, windows
+from ._words import Words, join, mix, slices, windows
 
 #: Words of a run whose hash stands for the window.
 RUN = 5
@@ -34,9 +34,9 @@ RUN = 5
 SHARD_WORDS, TASK_STRETCHES = 100_000, 20_000
 
 
-def _word_hashes(texts: list[str | None], rows: int = 500) -> Iterator[np.ndarray]:
-    for k in range(0, len(texts), rows):
-        words = Words(*join(texts[k : k + rows]), lower=False)
+def _word_hashes(texts: list[str | None]) -> Iterator[np.ndarray]:
+    for part in slices(texts):
+        words = Words(*join(part), lower=False)
         for a, b in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist(), strict=True):
             yield words.hashes[a:b]
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._words import LOWER, NOT_ALNUM, Words, join, mix
+from ._words import LOWER, NOT_ALNUM, Words, join, mix, slices
 from .linear import Ftrl
 
 BITS = 20
@@ -59,10 +59,9 @@ def features(texts: list[str | None]) -> Iterator[np.ndarray]:
         yield np.unique(all_[a:b][kept[a:b]])
 
 
-def _slices(column: pa.Array, rows: int = 500) -> Iterator[np.ndarray]:
-    texts = column.to_pylist()
-    for k in range(0, len(texts), rows):
-        yield from features(texts[k : k + rows])
+def _slices(column: pa.Array) -> Iterator[np.ndarray]:
+    for part in slices(column.to_pylist()):
+        yield from features(part)
 
 
 def distinct_rows(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
