@@ -392,3 +392,21 @@ def similarity_components(docs: DataFrame, size: int = 5, num: int = 80, den: in
     first = classed.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("_first"), F.count("*").alias("n")).filter("n > 1").select("root", "_first")
     first = materialise(first, "first")
     return classed.join(first, "root", "left").withColumn("component_id", F.coalesce("_first", "doc_id")).select("_row.*", "n_shingles", "component_id")
+
+
+#: DuckDB SQL of op1_jaccard_join: all pairs by shared shingles between distinct sets, components by recursion.
+ORACLE = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+tok AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i, len(w) AS n FROM words),
+runs AS (SELECT doc_id, n, i, x, lead(x, 1) OVER p AS y, lead(x, 2) OVER p AS z FROM tok WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+shingle AS (SELECT DISTINCT doc_id, md5(concat_ws(' ', x, y, z)) AS s FROM runs WHERE i <= greatest(n - 2, 1)),
+sets AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, '' ORDER BY s)) AS k FROM shingle GROUP BY doc_id),
+classes AS (SELECT k, n, min(doc_id) AS rep FROM sets GROUP BY k, n),
+own AS (SELECT rep, n, s FROM shingle JOIN classes ON rep = doc_id),
+edges AS (SELECT l.rep AS a, r.rep AS b FROM own l JOIN own r ON l.s = r.s AND l.rep <> r.rep AND 100 * least(l.n, r.n) >= 90 * greatest(l.n, r.n)
+  GROUP BY l.rep, r.rep, l.n, r.n HAVING 100 * count(*) >= 90 * (l.n + r.n - count(*))),
+reach(a, b) AS (SELECT rep, rep FROM classes UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a),
+roots AS (SELECT a, min(b) AS root FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(sets.n, 0) AS n_shingles, coalesce(root, d.doc_id) AS component_id
+FROM documents d LEFT JOIN sets USING (doc_id) LEFT JOIN classes USING (k) LEFT JOIN roots ON a = rep
+"""

@@ -73,6 +73,8 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_jaccard_join": jaccard.ORACLE,
     "op5_line_dedup": lines.ORACLE,
+    "op6_substring_dedup": substrings.ORACLE,
     "op10_license_scan": licenses.oracle(),
 }

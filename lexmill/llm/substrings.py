@@ -295,3 +295,16 @@ def dedup_substrings(docs: DataFrame, length: int = 13) -> DataFrame:
     marked = joined.withColumn("_spans", F.when(copy, every).when(F.col("doc_id").isNotNull() & (F.col("doc_id") == F.col("first_doc")), F.col("spans"))).select("_row", "_text", "_spans")
     out = marked.mapInArrow(_remove, ", ".join([*fields_of(marked, ("_text", "_spans")), "kept_text string, n_words long, n_removed long"]))
     return out.select("_row.*", "kept_text", "n_words", "n_removed")
+
+
+#: DuckDB SQL of op6_substring_dedup.
+ORACLE = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+tok AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i, len(w) AS n FROM words),
+win AS (SELECT doc_id, i, x, CASE WHEN i <= n - 12 THEN md5(string_agg(x, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)) END AS k FROM tok),
+lows AS (SELECT k, min(doc_id) AS low FROM win WHERE k IS NOT NULL GROUP BY k),
+hits AS (SELECT win.doc_id, i, x, coalesce(low < win.doc_id, false) AS hit FROM win LEFT JOIN lows USING (k)),
+marked AS (SELECT doc_id, i, x, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM hits)
+SELECT d.doc_id, count(x) AS n_words, count(x) FILTER (WHERE gone) AS n_removed, sha256(coalesce(string_agg(x, ' ' ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM documents d LEFT JOIN marked USING (doc_id) GROUP BY d.doc_id
+"""
