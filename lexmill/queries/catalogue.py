@@ -111,7 +111,8 @@ def label_tokens(spark, sf_dir):
     return labels_v(spark, sf_dir).select("concept", F.array_join(text.match_tokens(c), " ").alias("tokens"), F.array_join(F.array_sort(text.concept_tokens(c)), " ").alias("token_set"))
 
 
-@query()
+@query(f"""WITH {LABELS}, {q.NORMAL}, w AS (SELECT concept, {q.words('concept')} AS w FROM labels)
+SELECT concept, label, {q.merge_key('concept')} AS merge_key, {q.page_title('w')} AS title FROM normal JOIN w USING (concept)""")
 def normalized_labels(spark, sf_dir):
     c = F.col("concept")
     return labels_v(spark, sf_dir).select("concept", text.normalize_label(c).alias("label"), text.merge_key(c).alias("merge_key"), text.page_title(c).alias("title"))
@@ -148,7 +149,16 @@ def compact_token_groups(spark, sf_dir):
     return labels.join(mg.compact_duplicates(labels), "concept").groupBy(key.alias("key")).agg(F.count("*").alias("labels"), F.sum("n_facts").alias("facts"))
 
 
-@query()
+FAMILY_FOLD = """list_reduce(list({'c': concept, 'n': n, 'metric': metric, 'e': evidence} ORDER BY ('0x' || md5(concept)[1:15])::BIGINT, concept), lambda a, x:
+  CASE WHEN (x.metric <> a.metric AND x.metric) OR (x.metric = a.metric AND (x.n > a.n OR (x.n = a.n AND x.e > a.e)))
+  THEN {'c': x.c, 'n': a.n + x.n, 'metric': x.metric, 'e': x.e} ELSE {'c': a.c, 'n': a.n + x.n, 'metric': a.metric, 'e': a.e} END)"""
+
+
+@query(f"""WITH {LABELS}, {q.NORMAL}, t AS (SELECT concept, label, length(concept)::BIGINT AS n, {q.match_tokens('concept')} AS m FROM labels JOIN normal USING (concept)),
+s AS (SELECT *, coalesce(m[-1] IN {q.listed(vocab.METRIC_SUFFIXES)}, false) AS metric, {q.antonyms('m', 'm')} AS split,
+  {{'normal': (label = concept)::INT, 'words': len({q.words('concept')}), 'short': -length(concept), 'name': lower(label)}} AS evidence FROM t),
+f AS (SELECT *, array_to_string(CASE WHEN metric AND len(m) > 1 THEN m[:-2] ELSE m END, ' ') || CASE WHEN split THEN ' | ' || concept ELSE '' END AS family FROM s),
+won AS (SELECT family, ({FAMILY_FOLD}).c AS merged FROM f GROUP BY family) SELECT concept, merged FROM f JOIN won USING (family)""")
 def metric_family_merge(spark, sf_dir):
     return mg.metric_families(counted_labels(spark, sf_dir))
 
@@ -334,7 +344,13 @@ def standard_pages(spark, sf_dir):
     return render.standard_pages(grouped(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {LABELS}, t AS (SELECT concept, length(concept) AS n, {q.match_tokens('concept')} AS m, {q.words('concept')} AS w FROM labels),
+u AS (SELECT concept, unnest(w) AS x FROM t), c AS (SELECT DISTINCT regexp_replace(x, '[^A-Za-z0-9]', '', 'g') AS acronym FROM u),
+k AS (SELECT concept, map_from_entries(list({{'k': lower(acronym), 'v': acronym}})) AS known FROM (SELECT DISTINCT concept, acronym FROM u JOIN c ON lower(x) = lower(acronym) WHERE {q.is_acronym('acronym')}) GROUP BY concept),
+titled AS (SELECT t.concept, n, m, {q.page_title('w', 'known')} AS title FROM t LEFT JOIN k USING (concept)),
+stubs AS (SELECT l.title, max(r.title) AS target FROM titled l JOIN titled r ON l.n < r.n WHERE {q.near('l.m', 'r.m')} GROUP BY l.title)
+SELECT title, target, '---' || chr(10) || 'generated_by_backend: redirect' || chr(10) || 'generated_by_model: none' || chr(10) || '---' || chr(10) || chr(10) || '# ' || title || chr(10) || chr(10)
+  || '> This page redirects to [[' || target || ']].' || chr(10) || chr(10) || '## Redirect' || chr(10) || '[[' || target || ']]' || chr(10) AS markdown FROM stubs""")
 def redirect_pages(spark, sf_dir):
     labels = counted_labels(spark, sf_dir)
     return render.redirects(related.near_duplicate_pairs(labels), labels)

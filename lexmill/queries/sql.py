@@ -178,3 +178,40 @@ def near(a: str, b: str) -> str:
     longer, shorter = f"(CASE WHEN len({a}) > len({b}) THEN {a} ELSE {b} END)", f"(CASE WHEN len({a}) > len({b}) THEN {b} ELSE {a} END)"
     one = f"(least(len({a}), len({b})) >= 2 AND ((abs(len({a}) - len({b})) = 1 AND list_has_all({longer}, {shorter})) OR (len({a}) = len({b}) AND len(list_filter(list_zip({a}, {b}), lambda p: p[1] <> p[2])) = 1)))"
     return f"(NOT {antonyms(a, b)} AND NOT {sibling(a, b)} AND NOT {cousin(a, b)} AND ({run} OR {one}))"
+
+
+def merge_key(x: str) -> str:
+    return f"array_to_string(list_filter(regexp_extract_all(lower({x}), '[a-z0-9]+'), lambda t: t NOT IN {listed(vocab.MERGE_STOPWORDS)}), ' ')"
+
+
+def capital(t: str) -> str:
+    return f"(upper({t}[1:1]) || lower({t}[2:]))"
+
+
+def is_acronym(t: str) -> str:
+    return f"(regexp_matches({t}, '[A-Z]') AND NOT regexp_matches({t}, '[a-z]') AND length({t}) BETWEEN 2 AND 6)"
+
+
+#: normal(concept, label) of labels(concept), for labels without parentheses.
+NORMAL = rf"""
+normal_1 AS (SELECT concept, {words(f"regexp_replace(replace(concept, '-', ' '), '^({'|'.join(vocab.LEADING_FILLERS)})', '', 'i')")} AS v FROM labels),
+normal_2 AS (SELECT concept, list_filter(v, lambda t, i: i = 1 OR lower(t) <> lower(v[i - 1])) AS v FROM normal_1),
+normal_3 AS (SELECT concept, CASE WHEN lower(v[-1]) IN {listed(vocab.GENERIC_SUFFIXES)} AND (len(v) >= 3 OR (len(v) = 2 AND length(v[1]) > 3)) THEN v[:-2] ELSE v END AS v FROM normal_2),
+normal_4 AS (SELECT concept, v, v[-1] AS z, lower(v[-1]) AS y FROM normal_3),
+normal_5 AS (SELECT concept, CASE WHEN len(v) = 0 THEN v ELSE list_append(v[:-2], CASE WHEN y IN {listed(vocab.SINGULAR_EXCEPTIONS)} OR length(z) <= 3 OR y NOT LIKE '%s' THEN z
+  WHEN y LIKE '%ies' AND length(z) > 4 THEN z[:-4] || 'y' WHEN y LIKE '%ss' THEN z ELSE z[:-2] END) END AS v FROM normal_4),
+normal AS (SELECT concept, array_to_string(list_transform(list_transform(v, lambda t: {{'t': t, 'c': regexp_replace(t, '[^A-Za-z0-9]', '', 'g')}}),
+  lambda s: CASE WHEN {is_acronym('s.c')} THEN s.c ELSE {capital('s.t')} END), ' ') AS label FROM normal_5)"""
+
+
+def title_case(w: str, known: str | None = None) -> str:
+    """Of a list of words; known is a map from lower case to acronyms."""
+    plain = f"CASE WHEN {is_acronym('t')} THEN t WHEN i > 1 AND lower(t) IN {listed(vocab.CONNECTORS)} THEN lower(t) ELSE {capital('t')} END"
+    cased = plain if known is None else f"coalesce({known}[lower(t)], {plain})"
+    return f"array_to_string(list_transform({w}, lambda t, i: {cased}), ' ')"
+
+
+def page_title(w: str, known: str | None = None) -> str:
+    """Of a list of words."""
+    initials = f"upper(array_to_string(list_transform(list_filter({w}[:-2], lambda t: regexp_matches(t, '[A-Za-z]')), lambda t: t[1:1]), ''))"
+    return f"(CASE WHEN len({w}) >= 2 AND {is_acronym(w + '[-1]')} AND contains({initials}, {w}[-1]) THEN {title_case(w + '[:-2]', known)} || ' (' || {w}[-1] || ')' ELSE {title_case(w, known)} END)"
