@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -134,8 +135,7 @@ def test_special_token_strings_and_odd_spaces():
         assert own.ids(x) == np.asarray(tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-@pytest.mark.parametrize(("size", "num", "den", "block"), [(3, 90, 100, 700), (5, 80, 100, 3)])
-def test_jaccard_components(spark, rows, size, num, den, block):
+def plain_components(rows, size, num, den):
     def shingles(t):
         w = [ascii_lower(x) for x in words(t)]
         return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} - {()}
@@ -154,7 +154,12 @@ def test_jaccard_components(spark, rows, size, num, den, block):
     low = {}
     for i, (d, _) in enumerate(rows):
         low[find(i)] = min(x for x in (low.get(find(i)), d) if x is not None) if d is not None or low.get(find(i)) is not None else None
-    expected = Counter((d, len(sets[i]), low[find(i)]) for i, (d, _) in enumerate(rows))
+    return Counter((d, len(sets[i]), low[find(i)]) for i, (d, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize(("size", "num", "den", "block"), [(3, 90, 100, 700), (5, 80, 100, 3)])
+def test_jaccard_components(spark, rows, size, num, den, block):
+    expected = plain_components(rows, size, num, den)
     out = jaccard.similarity_components(docs_of(spark, rows), size, num, den, block)
     assert {"root", "sig", "_key"} <= set(out.columns)
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out.collect()) == expected
@@ -209,8 +214,7 @@ def test_line_runs_count_over_all_batches(spark, fanout):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("lexmill_")]
 
 
-@pytest.mark.parametrize("n", [13, 4])
-def test_substring_dedup(spark, rows, n):
+def plain_removed(rows, n):
     split, first = [(d, words(t)) for d, t in rows], {}
     for d, w in split:
         for i in range(len(w) - n + 1) if d is not None else ():
@@ -222,10 +226,28 @@ def test_substring_dedup(spark, rows, n):
             if first[tuple(w[i : i + n])] < d:
                 gone[i : i + n] = [True] * n
         expected[d, len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g)] += 1
+    return expected
+
+
+@pytest.mark.parametrize("n", [13, 4])
+def test_substring_dedup(spark, rows, n):
+    expected = plain_removed(rows, n)
     out = substrings.dedup_substrings(docs_of(spark, rows), n)
     assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in out.collect()) == expected
 
 
+def test_sql_of_whole_table_queries(rows):
+    """The SQL that two queries are held against, against the same brute force, on rows of distinct ids."""
+    unique = list({d: (d, t) for d, t in rows if d is not None}.values())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", unique)
+    found = con.execute(f"SELECT doc_id, n_shingles, component_id FROM ({jaccard.ORACLE})").fetchall()
+    assert Counter(found) == plain_components(unique, 3, 90, 100)
+    found = con.execute(f"SELECT doc_id, n_words, n_removed, kept_sha256 FROM ({substrings.ORACLE})").fetchall()
+    assert Counter(found) == Counter((*x[:3], hashlib.sha256(x[3].encode()).hexdigest()) for x in plain_removed(unique, 13).elements())
+
+
 def test_suffix_automaton_prefers_the_smallest_document():
     a = substrings.SuffixAutomaton()
     a.add([1, 2, 3, 4], 5)
