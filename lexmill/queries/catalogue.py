@@ -293,18 +293,17 @@ def concept_evaluation(spark, sf_dir):
     return out.select("total_concepts", F.round("avg_facts", 6).alias("avg_facts"), F.round("singleton_ratio", 6).alias("singleton_ratio"), F.size("suspicious").cast("long").alias("suspicious"))
 
 
-@query(f"""WITH {q.FACTS}, {GROUPED}, seeds AS (SELECT p_name AS seed, row_number() OVER (ORDER BY p_name) AS seed_idx FROM (SELECT DISTINCT p_name FROM part) WHERE p_name LIKE 'l%'),
-c AS (SELECT DISTINCT concept, {q.concept_tokens('concept')} AS t FROM grouped WHERE concept NOT IN (SELECT seed FROM seeds)),
-h AS (SELECT concept, seed, seed_idx, len(list_intersect(t, {q.concept_tokens('seed')})) AS n, len(t) AS size FROM c, seeds),
-b AS (SELECT *, row_number() OVER (PARTITION BY concept ORDER BY n DESC, seed_idx) AS k FROM h WHERE n > 0),
+@query(f"""WITH {LABELS}, seeds AS (SELECT DISTINCT p_name AS seed FROM part),
+c AS (SELECT concept, {q.concept_tokens('concept')} AS t FROM labels WHERE concept NOT IN (SELECT seed FROM seeds)),
+h AS (SELECT concept, seed, len(list_intersect(t, {q.concept_tokens('seed')})) AS n, len(t) AS size FROM c, seeds),
+b AS (SELECT *, row_number() OVER (PARTITION BY concept ORDER BY n DESC, seed) AS k FROM h WHERE n > 0),
 m AS (SELECT concept, seed FROM b WHERE k = 1 AND n / size >= 0.5)
-SELECT coalesce(m.seed, g.concept) AS concept, count(*) AS n FROM grouped g LEFT JOIN m ON m.concept = g.concept GROUP BY 1""")
+SELECT l.concept AS label, coalesce(m.seed, l.concept) AS concept FROM labels l LEFT JOIN m ON m.concept = l.concept""")
 def seed_anchor(spark, sf_dir):
-    from pyspark.sql import Window
-
-    names = load(spark, sf_dir, "part").select(F.col("p_name").alias("seed")).distinct().filter("seed LIKE 'l%'")
-    seeds = names.withColumn("seed_idx", F.row_number().over(Window.orderBy("seed")))
-    return related.anchor_to_seeds(grouped(spark, sf_dir), seeds).groupBy("concept").agg(F.count("*").alias("n"))
+    """All spellings of part names, anchored to all part names."""
+    seeds = load(spark, sf_dir, "part").select(F.col("p_name").alias("seed"), F.col("p_name").alias("seed_idx")).distinct()
+    labels = labels_v(spark, sf_dir)
+    return related.anchor_to_seeds(labels.withColumn("label", F.col("concept")), seeds).select("label", "concept")
 
 
 @query(f"""WITH {q.FACTS}, {GROUPED}, f AS (SELECT concept, content, source_chunk_id, min(fact_seq) AS seq FROM grouped GROUP BY ALL), s AS (SELECT concept, content, min(seq) AS seq, array_to_string(list(source_chunk_id ORDER BY seq), ',') AS sources FROM f GROUP BY concept, content),
