@@ -4,12 +4,14 @@ Each text's statistics become a vector of transformed shares.  Within every lang
 minimum-covariance-determinant estimate (MCD) of centre and scatter is made: from several starts, on
 medians and MADs, concentration steps take mean and covariance of the 75 % of rows that lie nearest so
 far, which never raises the determinant; after two steps each group keeps the start of the least
-determinant and goes on until its determinant stands still.  Rows
+determinant and goes on by itself until its determinant falls no more, then leaves the steps.  The 75 %
+are exact: sketches only say between which distances the last of them must lie.  Rows
 whose squared Mahalanobis distance from the centre is over the chi-square quantile of 0.999, with the
 core's consistency factor, are rejected, besides those that fail the base rules.  The floors of the
 scales let a text that is odd in one statistic alone pass that cutoff.
-Only sums and quantile sketches of groups are shuffled, and what is joined back to the rows is a written
-table with one row for each group, which Spark broadcasts if its size allows: a group of any size is spread.
+Only sums, quantile sketches and the few distances between those bounds are shuffled, and what is joined
+back to the rows is a written table with one row for each group, which Spark broadcasts if its size allows: a
+group of any size is spread, and a join makes no more rows than it reads.
 
 Edge cases: a null or empty text has no words and fails the base rules; null languages and sources are
 groups like any other; groups under ``min_group`` rows use their language's estimate, or the whole
@@ -19,7 +21,7 @@ their own; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import materialise
@@ -32,6 +34,8 @@ NAMES = list(FLOORS)
 P = len(NAMES)
 #: Share of rows in a concentration step, weight of the unit matrix in each covariance.
 CORE, RIDGE = 0.75, 0.1
+#: Parts of a group's rows by one of which the rank of a sketched quantile may be off.
+ACCURACY = 2000
 #: Median of a chi-square variable of P = 5 degrees of freedom.
 CHI_MEDIAN = 4.3515
 #: The covariance of the CORE nearest rows of a normal sample is smaller than that of all rows by this:
@@ -132,8 +136,18 @@ def _with_distance(rows: DataFrame, estimate: DataFrame, how: str = "inner", *mo
     return out.withColumn("d2", d2).select(*rows.columns, "d2", *more)
 
 
-def _quantiles(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("group").agg(F.percentile_approx("d2", F.lit(CORE), F.lit(2000)).alias("edge"), F.percentile_approx("d2", F.lit(0.5), F.lit(2000)).alias("middle"))
+def core_edges(near: DataFrame) -> DataFrame:
+    """group, edge: the least d2 that CORE of a group's rows don't exceed, exactly.
+
+    Sketched quantiles twice their error to both sides of CORE hold the edge between them; the distances
+    there are counted (equal ones are one row), with all lesser ones as one more count before them.
+    """
+    off = 2 / ACCURACY
+    sketch = near.groupBy("group").agg(F.count("*").alias("n"), F.percentile_approx("d2", F.array(F.lit(CORE - off), F.lit(CORE + off)), F.lit(ACCURACY)).alias("ends"))
+    ends = materialise(sketch.select("group", F.ceil(F.col("n") * CORE).alias("rank"), F.col("ends")[0].alias("low"), F.col("ends")[1].alias("high")), "ends")
+    between = near.join(ends, "group").filter("d2 <= high").groupBy("group", "rank", F.when(F.col("d2") >= F.col("low"), F.col("d2")).alias("edge")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("group").orderBy(F.col("edge").asc_nulls_first()))
+    return between.withColumn("upto", upto).filter("edge IS NOT NULL AND upto >= rank").groupBy("group").agg(F.min("edge").alias("edge"))
 
 
 #: First distances of the starts, over the robustly scaled z: their squares, absolute values, largest value and
@@ -146,21 +160,21 @@ STARTS = (
 )
 
 
-def _spread(estimate: DataFrame) -> DataFrame:
-    """group, spread: the logarithm of the determinant."""
-    return estimate.select("group", (2 * sum((F.log(F.col(f"l{i}{i}")) for i in range(1, P)), F.log("l00"))).alias("spread"))
+def _spread() -> Column:
+    """The logarithm of an estimate's determinant."""
+    return 2 * sum((F.log(F.col(f"l{i}{i}")) for i in range(1, P)), F.log("l00"))
 
 
-def minimum_determinant(z: DataFrame, tolerance: float = 1e-4, most: int = 30) -> DataFrame:
+def minimum_determinant(z: DataFrame, tolerance: float = 1e-4) -> DataFrame:
     """One row for each group of z (group, z_i), a scratch table: centre m_i and factor l_ij of the 75 % core with
     the least determinant found, and the middle of the distances from it.
 
-    A start's steps are those of a group of its own.  Steps end when no determinant moves by more than
-    tolerance; the quantile sketches' error may let one swing about its end, so there are `most` at most.
+    A start's steps are those of a group of its own.  A group goes on while its determinant falls by more
+    than tolerance.  As no determinant is under that of RIDGE times the unit matrix, all come to rest.
     """
 
     def step(near: DataFrame, rows: DataFrame) -> DataFrame:
-        edges = materialise(near.groupBy("group").agg(F.percentile_approx("d2", F.lit(CORE), F.lit(2000)).alias("edge")), "edges")
+        edges = materialise(core_edges(near), "edges")
         return materialise(_estimate(near.join(edges, "group").filter("d2 <= edge").select(*rows.columns)), "estimate")
 
     zs = [F.col(f"z{i}") for i in range(P)]
@@ -169,17 +183,20 @@ def minimum_determinant(z: DataFrame, tolerance: float = 1e-4, most: int = 30) -
     rows = near.drop("d2")
     estimate = step(near, rows)
     estimate = step(_with_distance(rows, estimate), rows)
-    own = estimate.join(_spread(estimate), "group").withColumn("start", F.split_part("group", F.lit("#"), F.lit(1))).withColumn("group", F.regexp_replace("group", "^[0-9]+#", ""))
     columns = [c for c in estimate.columns if c != "group"]
-    estimate = materialise(own.groupBy("group").agg(F.min_by(F.struct(*columns), F.struct("spread", "start")).alias("best")).select("group", "best.*"), "best")
-    for _ in range(most):
-        after = step(_with_distance(z, estimate), z)
-        move = _spread(after).join(_spread(estimate).withColumnRenamed("spread", "before"), "group").agg(F.max(F.abs(F.col("spread") - F.col("before")))).first()[0]
-        estimate = after
-        if move is None or move <= tolerance:
-            break
-    edges = _quantiles(_with_distance(z, estimate))
-    return materialise(estimate.join(edges.select("group", "middle"), "group"), "centre")
+    own = estimate.withColumns({"spread": _spread(), "start": F.split_part("group", F.lit("#"), F.lit(1)), "group": F.regexp_replace("group", "^[0-9]+#", "")})
+    best = own.groupBy("group").agg(F.min_by(F.struct(*columns), F.struct("spread", "start")).alias("best"), F.min("spread").alias("spread"))
+    found = materialise(best.withColumn("falls", F.lit(True)), "best")
+    while not (falling := found.filter("falls")).isEmpty():
+        after = step(_with_distance(z, falling.select("group", "best.*")), z).select("group", F.struct(*columns).alias("after"), _spread().alias("now"))
+        less = F.col("now") < F.col("spread")
+        found = materialise(found.join(after, "group", "left").select(
+            "group", F.when(less, F.col("after")).otherwise(F.col("best")).alias("best"), F.when(less, F.col("now")).otherwise(F.col("spread")).alias("spread"),
+            F.coalesce(less & (F.col("spread") - F.col("now") > tolerance), F.lit(False)).alias("falls"),
+        ), "best")
+    estimate = found.select("group", "best.*")
+    middle = _with_distance(z, estimate).groupBy("group").agg(F.percentile_approx("d2", F.lit(0.5), F.lit(ACCURACY)).alias("middle"))
+    return materialise(estimate.join(middle, "group"), "centre")
 
 
 def quality(docs: DataFrame, min_group: int = 50, cutoff: float = CUTOFF) -> DataFrame:

@@ -401,6 +401,41 @@ def test_minimum_determinant_against_plain_numpy(spark):
     assert spread <= min(ends) + 0.05
 
 
+def test_minimum_determinant_leaves_groups_at_rest(spark, monkeypatch):
+    """Large groups, one with many equal rows, end where plain exact steps end, and only those that still fall go on."""
+    r = np.random.default_rng(5)
+    groups = {f"g{k}": np.concatenate([r.normal(size=(9000, 5)), r.normal(size=(3000, 5)) + [3, 0, k, 0, 0]]) for k in range(2)}
+    groups["ties"] = r.integers(0, 3, size=(6000, 5)).astype(float)
+    z = spark.createDataFrame([(g, *map(float, v)) for g, x in groups.items() for v in x], "group string, " + ", ".join(f"z{i} double" for i in range(5)))
+    worked, estimate = [], quality._estimate
+    monkeypatch.setattr(quality, "_estimate", lambda rows: worked.append(rows.select("group").distinct().count()) or estimate(rows))
+    got = {row["group"]: row for row in quality.minimum_determinant(z).collect()}
+    steps = Counter()
+    for g, x in groups.items():
+
+        def step(d, x=x):
+            core = x[d <= np.sort(d)[int(np.ceil(0.75 * len(d))) - 1]]
+            m, c = core.mean(axis=0), 0.9 * np.cov(core.T, bias=True) + 0.1 * np.eye(5)
+            return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m), np.linalg.slogdet(c)[1]
+
+        first = ((x**2).sum(1), abs(x).sum(1), abs(x).max(1), (np.tanh(x) ** 2).sum(1))
+        d, spread = min((step(step(d)[0]) for d in first), key=lambda e: e[1])
+        fell = 1.0
+        while fell > 1e-4:
+            steps[g] += 1
+            d, now = step(d)
+            fell, spread = spread - now, min(spread, now)
+        assert abs(2 * sum(np.log(got[g][f"l{i}{i}"]) for i in range(5)) - spread) < 1e-6
+    assert worked == [12, 12] + [sum(n > k for n in steps.values()) for k in range(max(steps.values()))]
+
+
+def test_core_edges_are_exact(spark):
+    r = np.random.default_rng(8)
+    near = {"large": r.exponential(size=30000), "equal": np.full(9000, 2.0), "few": r.integers(0, 4, 9001).astype(float), "one": np.array([0.5]), "none within": np.repeat([0.0, 9.0], [7499, 2501])}
+    rows = spark.createDataFrame([(g, float(d)) for g, ds in near.items() for d in ds], "group string, d2 double")
+    assert {x["group"]: x["edge"] for x in quality.core_edges(rows).collect()} == {g: float(np.sort(ds)[int(np.ceil(0.75 * len(ds))) - 1]) for g, ds in near.items()}
+
+
 def test_edit_distance_against_all_stretches():
     def plain(a, b):
         row = list(range(len(b) + 1))
