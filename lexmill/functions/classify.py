@@ -1,4 +1,8 @@
-"""Classes of facts, definition scores and concept types, as CASE expressions."""
+"""Classes of facts, definition scores and concept types, as CASE expressions.
+
+low is lower(x) and worked looks_like_worked_example(x), where they are columns at hand: a filter or an aggregate
+works an expression out anew for each term that looks at it.
+"""
 
 from __future__ import annotations
 
@@ -14,12 +18,13 @@ from .text import contains_any, numeric_density, strip
 UNBOUNDED = 1 << 30
 
 
-def has_template_markers(x: Column) -> Column:
-    return any_pattern(x, vocab.TEMPLATE_PATTERNS)
+def has_template_markers(x: Column, low: Column | None = None) -> Column:
+    low = F.lower(x) if low is None else low
+    return contains_any(low, vocab.TEMPLATE_LITERALS) & any_pattern(x, vocab.TEMPLATE_PATTERNS)
 
 
-def looks_like_worked_example(x: Column) -> Column:
-    low = F.lower(x)
+def looks_like_worked_example(x: Column, low: Column | None = None) -> Column:
+    low = F.lower(x) if low is None else low
     years = F.array_distinct(F.regexp_extract_all(low, F.lit(r"\b(year\s*\d+)\b"), 1))
     study = x.contains("%") & x.contains("'s") & low.rlike(r"\b19\d{2}\b|\b20\d{2}\b") & low.rlike(r"\b\d+(?:\.\d+)?\s*%") & x.rlike(r"\b[A-Z][a-zA-Z]+'s\b")
     numeric = (
@@ -32,8 +37,8 @@ def looks_like_worked_example(x: Column) -> Column:
     return contains_any(low, vocab.EXAMPLE_STRONG) | (x.rlike("[0-9]") & numeric)
 
 
-def looks_like_formula(x: Column) -> Column:
-    low = F.lower(x)
+def looks_like_formula(x: Column, low: Column | None = None) -> Column:
+    low = F.lower(x) if low is None else low
     numbers = F.regexp_count(x, F.lit(r"\b\d+(?:[.,]\d+)?\b"))
     return (
         (x.contains("=") & x.rlike(r"\S\s*=\s*\S"))
@@ -43,23 +48,23 @@ def looks_like_formula(x: Column) -> Column:
     )
 
 
-def is_low_signal(x: Column) -> Column:
-    low = F.lower(x)
+def is_low_signal(x: Column, low: Column | None = None, worked: Column | None = None) -> Column:
+    low = F.lower(x) if low is None else low
     return (
         (strip(x) == "")
         | contains_any(low, vocab.NOISE_MARKERS)
         | contains_any(low, vocab.INSTRUCTION_MARKERS)
-        | looks_like_worked_example(x)
+        | (looks_like_worked_example(x, low) if worked is None else worked)
         | (numeric_density(x) >= 0.22)
-        | (F.regexp_count(x, F.lit(r"\S+")) < 6)
-        | has_template_markers(x)
+        | ~x.rlike(r"^\s*+(?:\S++\s++){5}\S")
+        | has_template_markers(x, low)
     )
 
 
-def classify_fact(x: Column) -> Column:
+def classify_fact(x: Column, low: Column | None = None, worked: Column | None = None) -> Column:
     """definition, key_point, example or instruction."""
     text = strip(x)
-    low = F.lower(text)
+    low = F.lower(text) if low is None else strip(low)
     numbers = F.regexp_count(low, F.lit(r"\b\d+(?:[.,]\d+)?\b"))
     tokens = F.greatest(F.regexp_count(low, F.lit("[a-z0-9]+")), F.lit(1))
     many = x.rlike("[0-9]") & (numbers / tokens >= 0.25)
@@ -67,7 +72,7 @@ def classify_fact(x: Column) -> Column:
     return (
         F.when(low == "", "key_point")
         .when(low.startswith("there") & low.rlike(r"^there\s+(is|are)\b"), "example")
-        .when(looks_like_worked_example(text), "example")
+        .when(looks_like_worked_example(text, low) if worked is None else worked, "example")
         .when(contains_any(low, vocab.INSTRUCTION_PHRASES) | low.rlike(start), "instruction")
         .when(contains_any(low, vocab.EXAMPLE_MARKERS) | many, "example")
         .when(contains_any(low, vocab.DEFINITION_MARKERS), "definition")
@@ -75,39 +80,40 @@ def classify_fact(x: Column) -> Column:
     )
 
 
-def classify_semantic(x: Column, base: Column | None = None) -> Column:
+def classify_semantic(x: Column, base: Column | None = None, low: Column | None = None) -> Column:
     """The finer class; base is classify_fact(x) where it is at hand."""
-    base, low = classify_fact(x) if base is None else base, strip(F.lower(x))
+    low = F.lower(x) if low is None else low
+    base = classify_fact(x, low) if base is None else base
     return (
         F.when(base == "instruction", "instruction")
-        .when(looks_like_formula(x), "formula")
+        .when(looks_like_formula(x, low), "formula")
         .when(contains_any(low, vocab.CAUTION_MARKERS), "caution")
         .when(contains_any(low, vocab.INTERPRETATION_MARKERS), "interpretation")
         .otherwise(base)
     )
 
 
-def definition_score(concept: Column, x: Column) -> Column:
+def definition_score(concept: Column, x: Column, low: Column | None = None) -> Column:
     """How well a fact would define a concept."""
-    c, low = strip(F.lower(concept)), strip(F.lower(x))
+    c, low = strip(F.lower(concept)), strip(F.lower(x) if low is None else low)
     tokens = F.filter(F.regexp_extract_all(c, F.lit("([a-z0-9]+)"), 1), lambda t: ~t.isin(vocab.TOKEN_STOPWORDS) & (F.length(t) > 1))
     points = lambda test, n: F.when(F.coalesce(test, F.lit(False)), n).otherwise(0)
     starts = reduce(lambda a, b: a | b, [low.startswith(F.concat(F.lit(article), c, F.lit(verb))) for article in ("", "the ") for verb in (" is ", " refers to ")])
     first8 = F.array_join(F.slice(F.filter(F.split(low, r"\s+", 10), lambda w: w != ""), 1, 8), " ")
     named = F.array_contains(tokens, F.regexp_extract(low, r"^(?:a|an|the)\s+(\w+)", 1))
     score = (
-        points(starts, 3)
+        points(low.contains(c) & starts, 3)
         + points(contains_any(low, vocab.DEFINITION_TERMS), 2)
         + points(low.rlike(r"^(a|an|the)\s+[a-z]"), 1)
-        + points(first8.contains(c), 2)
+        + points(low.contains(F.split_part(c, F.lit(" "), F.lit(1))) & first8.contains(c), 2)
         + points(named, 1)
         + points(low.contains(c) | F.exists(tokens, lambda t: low.contains(t)), 1)
         - points(x.rlike(r"[\d$%]") & ~contains_any(low, vocab.STATISTIC_TERMS), 2)
         - points(contains_any(low, vocab.TASK_TERMS), 2)
-        - points(F.regexp_count(x, F.lit(r"\S+")) > 55, 1)
+        - points(x.rlike(r"^\s*+(?:\S++\s++){55}\S"), 1)
         - points(contains_any(low, vocab.VAGUE_TERMS), 3)
         - points(low.startswith("there are"), 3)
-        - points(any_pattern(low, vocab.COMPARATIVES, any_case=False), 3)
+        - points(contains_any(low, vocab.COMPARATIVE_LITERALS) & any_pattern(low, vocab.COMPARATIVES, any_case=False), 3)
     )
     return score.cast("int")
 

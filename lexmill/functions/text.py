@@ -41,7 +41,7 @@ def fold_unicode(x: Column) -> Column:
 
 def sentences(x: Column) -> Column:
     """Trimmed sentences that aren't blank, cut after . ! or ? and white space."""
-    return F.filter(F.transform(F.split(x, r"(?<=[.!?])\s+"), strip), lambda s: s != "")
+    return F.filter(F.split(strip(x), r"(?<=[.!?])\s+"), lambda s: s != "")  # only the ends of the text can be blank
 
 
 def _capital(x: Column) -> Column:
@@ -55,8 +55,10 @@ def _title(token: Column) -> Column:
 
 def group_key(x: Column) -> Column:
     """The label that facts are grouped by: signs as spaces, capitals of up to six letters kept, else title case."""
-    tokens = words(F.regexp_replace(x, r"[^a-zA-Z0-9\s]", " "))
-    return F.array_join(F.transform(tokens, lambda t: F.when(t.rlike("^[A-Z]{1,6}$"), t).otherwise(_title(t))), " ")
+    clean = F.btrim(F.regexp_replace(x, "[^a-zA-Z0-9]+", " "))
+    token = lambda t: F.when(t.rlike("^[A-Z]{1,6}$"), t).otherwise(_title(t))
+    # Most labels have neither short capitals nor digits, and need no look at each token.
+    return F.when(clean.rlike(r"[0-9]|\b[A-Z]{1,6}\b"), F.array_join(F.transform(words(clean), token), " ")).otherwise(F.initcap(clean))
 
 
 def _parentheses(x: Column) -> Column:
@@ -130,12 +132,16 @@ def concept_tokens(x: Column) -> Column:
 
 
 def compare_text(x: Column) -> Column:
-    return collapse(F.regexp_replace(strip(F.lower(x)), r"[^a-z0-9\s]", " "))
+    return F.btrim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "))
 
 
 def template_of(x: Column) -> Column:
     """compare_text with numbers as one mark."""
-    return F.regexp_replace(compare_text(x), r"\b\$?\d[\d,]*(?:\.\d+)?%?\b", "<num>")
+    return number_marked(compare_text(x))
+
+
+def number_marked(x: Column) -> Column:
+    return F.when(x.rlike("[0-9]"), F.regexp_replace(x, r"\b\$?\d[\d,]*(?:\.\d+)?%?\b", "<num>")).otherwise(x)
 
 
 def numeric_density(x: Column) -> Column:

@@ -79,6 +79,9 @@ INSTRUCTION_MARKERS = [
 ]
 INSTRUCTION_PHRASES = ["calculate", "provide", "use the following", "compute", "determine", "find", "apply", "solve", "search", "submit", "locate", "prepare", "write"]
 INSTRUCTION_STARTS = ["calculate", "compute", "determine", "find", "apply", "use", "solve", "search", "submit", "locate", "prepare", "write"]
+#: Lower-case texts one of which is in all that a template pattern or a comparative finds.
+TEMPLATE_LITERALS = ["...", "units at $", "figure"]
+COMPARATIVE_LITERALS = ["than", "vs", "versus", "compared to", "compared with", "relative to"]
 INTERPRETATION_MARKERS = ["means", "indicates", "shows", "suggests", "measures", "implies"]
 CAUTION_MARKERS = ["misleading", "manipulate", "risk", "caution", "however", "can be", "may be", "warning"]
 EXAMPLE_STRONG = ["resulting from", "requiring an entry", "requires an entry", "remains constant across all scenarios", "independent of the final", "at period end should", "must always equal"]

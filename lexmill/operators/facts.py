@@ -5,12 +5,12 @@ facts: fact_id, fact_seq, concept, content, source_chunk_id.  fact_seq gives eve
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify
 from ..functions.predicates import is_noise_fact, is_question, is_valid_concept
-from ..functions.text import compare_text, concept_tokens, group_key, strip, template_of
+from ..functions.text import compare_text, concept_tokens, group_key, number_marked, strip
 from .chunks import explode_sentences
 
 VARIANTS = 4
@@ -31,6 +31,18 @@ def facts_from_sentences(docs: DataFrame, labels: DataFrame, least: int = 10) ->
     return rows.select(F.sha2(F.concat_ws("|", source, "sent_idx", "sentence"), 256).alias("fact_id"), seq.alias("fact_seq"), spelled.alias("concept"), F.col("sentence").alias("content"), source.alias("source_chunk_id"))
 
 
+def judged(facts: DataFrame, **columns) -> DataFrame:
+    """facts with _low, _worked and the given columns, which may look at those two, each worked out once a row: filters and
+    aggregates above look at the columns, as no filter goes below a projection that isn't deterministic."""
+    x = F.col("content")
+    rows = facts.withColumn("_low", F.lower(x)).withColumn("_worked", classify.looks_like_worked_example(x, F.col("_low")))
+    return rows.select("*", *[c.alias(n) for n, c in columns.items()], F.spark_partition_id().alias("_at")).filter("_at >= 0")
+
+
+def _class() -> Column:
+    return classify.classify_fact(F.col("content"), F.col("_low"), F.col("_worked"))
+
+
 def clean_facts(facts: DataFrame) -> DataFrame:
     return facts.filter(~is_noise_fact(F.col("content")))
 
@@ -72,7 +84,8 @@ def without_examples(facts: DataFrame) -> DataFrame:
 def first_by(facts: DataFrame, key) -> DataFrame:
     """The first row of each concept and key."""
     keyed = facts.withColumn("_key", key)
-    firsts = keyed.groupBy("concept", "_key").agg(F.min_by(F.struct(*facts.columns), "fact_seq").alias("f"))
+    # The key comes first, as the sorts look at the first eight bytes of the first column before anything else.
+    firsts = keyed.groupBy("_key", "concept").agg(F.min_by(F.struct(*facts.columns), "fact_seq").alias("f"))
     return firsts.select("f.*")
 
 
@@ -90,6 +103,15 @@ def comparable_contents(facts: DataFrame, limit: int = 0) -> DataFrame:
     return out
 
 
+def unique_counts(facts: DataFrame) -> DataFrame:
+    """concept, contents, comparable: how many rows unique_contents and comparable_contents have, 0 for none, in one pass."""
+    text = strip(F.col("content"))
+    keys = F.array(F.struct(F.lit(0).alias("kind"), F.lower(text).alias("key")), F.struct(F.lit(1).alias("kind"), compare_text(F.col("content")).alias("key")))
+    rows = facts.select(F.inline(keys), "concept").groupBy("key", "kind", "concept").agg(F.count("*").alias("n"))
+    counted = lambda kind: F.count_if((F.col("kind") == kind) & (F.col("key") != ""))
+    return rows.groupBy("concept").agg(counted(0).alias("contents"), counted(1).alias("comparable"))
+
+
 def sources_by_text(facts: DataFrame) -> DataFrame:
     """concept, content, sources: distinct, in order of their first fact; a blank source is "unknown"."""
     named = facts.withColumn("content", strip(F.col("content"))).filter(F.col("content") != "")
@@ -111,12 +133,16 @@ def citations(facts: DataFrame) -> DataFrame:
 def promoted(facts: DataFrame, definitions: DataFrame | None = None, examples: bool = False, per_template: int = 2) -> DataFrame:
     """Facts fit for a page's body: no templates, questions, instructions or low signals, not the definition
     (concept, definition), once for each comparison form and at most so often for each sentence template."""
-    x, base = F.col("content"), classify.classify_fact(F.col("content"))
-    fine = F.when(base == "example", F.lit(examples)).otherwise(~classify.is_low_signal(x))
-    rows = facts.filter(~classify.has_template_markers(x) & ~is_question(x) & (base != "instruction") & fine)
+    x, low = F.col("content"), F.col("_low")
+    rows = judged(facts, _base=_class(), _dull=classify.is_low_signal(x, low, F.col("_worked")))
+    fine = F.when(F.col("_base") == "example", F.lit(examples)).otherwise(~F.col("_dull"))
+    rows = rows.filter(~is_question(x) & (F.col("_base") != "instruction") & fine)
+    if examples:  # elsewhere low signals have all templates
+        rows = rows.filter(~classify.has_template_markers(x, low))
+    rows = judged(rows.select(*facts.columns), _k=compare_text(x)).select(*facts.columns, "_k")
     if definitions is not None:
-        rows = rows.join(definitions.select("concept", compare_text(F.coalesce("definition", F.lit(""))).alias("_d")), "concept", "left").filter(F.coalesce("_d", F.lit("")) != compare_text(x)).drop("_d")
-    once = first_by(rows, compare_text(x)).withColumn("_t", template_of(x))
+        rows = rows.join(definitions.select("concept", compare_text(F.coalesce("definition", F.lit(""))).alias("_d")), "concept", "left").filter(F.coalesce("_d", F.lit("")) != F.col("_k")).drop("_d")
+    once = first_by(rows, F.col("_k")).withColumn("_t", number_marked(F.col("_k")))
     place = F.row_number().over(Window.partitionBy("concept", "_t").orderBy("fact_seq"))
     return once.withColumn("_n", place).filter(F.col("_n") <= per_template).select(facts.columns)
 
@@ -124,9 +150,9 @@ def promoted(facts: DataFrame, definitions: DataFrame | None = None, examples: b
 def best_definitions(facts: DataFrame) -> DataFrame:
     """concept, definition, score: the best scored fact that is no template or example; ties go to the
     first; none under -2."""
-    x = F.col("content")
-    rows = facts.filter(~classify.has_template_markers(x) & (classify.classify_fact(x) != "example"))
-    scored = rows.select("concept", "content", "fact_seq", classify.definition_score(F.col("concept"), x).alias("score"))
+    x, low = F.col("content"), F.col("_low")
+    rows = judged(facts.select("concept", "content", "fact_seq"), _ok=~classify.has_template_markers(x, low) & (_class() != "example")).filter("_ok")
+    scored = rows.select("concept", "content", "fact_seq", classify.definition_score(F.col("concept"), x, low).alias("score"))
     best = scored.groupBy("concept").agg(F.max_by(F.struct("content", "score"), F.struct("score", -F.col("fact_seq"))).alias("b"))
     return best.filter(F.col("b.score") >= -2).select("concept", F.col("b.content").alias("definition"), F.col("b.score").alias("score"))
 
@@ -134,11 +160,11 @@ def best_definitions(facts: DataFrame) -> DataFrame:
 def fallback_definitions(facts: DataFrame) -> DataFrame:
     """concept, definition: best of the definitions, else of the key points, else of both by base class,
     else the first key point."""
-    x = F.col("content")
-    base = classify.classify_fact(x)
-    rows = facts.withColumns({"_base": base, "_class": classify.classify_semantic(x, base)})
-    score = F.struct(classify.definition_score(F.col("concept"), x).alias("score"), (-F.col("fact_seq")).alias("seq"))
-    rows = rows.withColumns({"_s": score, "_ok": ~classify.has_template_markers(x) & (F.col("_base") != "example")})
+    x, low = F.col("content"), F.col("_low")
+    rows = judged(facts.select("concept", "content", "fact_seq"), _base=_class())
+    score = F.struct(classify.definition_score(F.col("concept"), x, low).alias("score"), (-F.col("fact_seq")).alias("seq"))
+    ok = ~classify.has_template_markers(x, low) & (F.col("_base") != "example")
+    rows = rows.select("concept", "content", "fact_seq", "_base", classify.classify_semantic(x, F.col("_base"), low).alias("_class"), score.alias("_s"), ok.alias("_ok"))
     picked = {}
     for name, test in (("d", F.col("_class") == "definition"), ("k", F.col("_class") == "key_point"), ("b", F.col("_base").isin("definition", "key_point"))):
         mine = test & F.col("_ok") & (F.col("_s.score") >= -2)

@@ -347,3 +347,13 @@ def test_islands_of_a_long_path(spark):
     nodes = spark.createDataFrame([(f"c{i:03}",) for i in range(n + 1)] + [("z",)], "concept string")
     out = {r["concept"]: r["island"] for r in merge._islands(edges, nodes).collect()}
     assert set(out.values()) == {"c000", "z"} and len(out) == n + 2
+
+
+
+def lowered(df) -> int:
+    """How often a plan works out the lower case of a content."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("lower(content")
+
+
+def test_promoted_works_out_each_test_once(sample):
+    assert lowered(facts.promoted(sample)) <= 8
