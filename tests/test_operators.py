@@ -357,3 +357,7 @@ def lowered(df) -> int:
 
 def test_promoted_works_out_each_test_once(sample):
     assert lowered(facts.promoted(sample)) <= 8
+
+
+def test_best_definitions_work_out_each_test_once(sample):
+    assert lowered(facts.best_definitions(sample)) <= 4
