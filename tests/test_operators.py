@@ -361,3 +361,7 @@ def test_promoted_works_out_each_test_once(sample):
 
 def test_best_definitions_work_out_each_test_once(sample):
     assert lowered(facts.best_definitions(sample)) <= 4
+
+
+def test_fallback_definitions_work_out_each_test_once(sample):
+    assert lowered(facts.fallback_definitions(sample)) <= 4
