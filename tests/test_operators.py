@@ -365,3 +365,8 @@ def test_best_definitions_work_out_each_test_once(sample):
 
 def test_fallback_definitions_work_out_each_test_once(sample):
     assert lowered(facts.fallback_definitions(sample)) <= 4
+
+
+def test_unique_counts_keep_concepts_without_comparable_contents(spark):
+    rows = spark.createDataFrame([("A", "One two.", 0), ("A", " one TWO. ", 1), ("A", "one two!", 2), ("B", "一二", 3), ("B", " ", 4)], "concept string, content string, fact_seq long")
+    assert sorted(map(tuple, facts.unique_counts(rows).collect())) == [("A", 2, 1), ("B", 1, 0)]
