@@ -370,3 +370,11 @@ def test_fallback_definitions_work_out_each_test_once(sample):
 def test_unique_counts_keep_concepts_without_comparable_contents(spark):
     rows = spark.createDataFrame([("A", "One two.", 0), ("A", " one TWO. ", 1), ("A", "one two!", 2), ("B", "一二", 3), ("B", " ", 4)], "concept string, content string, fact_seq long")
     assert sorted(map(tuple, facts.unique_counts(rows).collect())) == [("A", 2, 1), ("B", 1, 0)]
+
+
+def planned(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_standard_pages_compare_no_pairs_of_notes(sample):
+    assert "array_distinct(transform(x" not in planned(render.standard_pages(sample))
