@@ -378,3 +378,12 @@ def planned(df) -> str:
 
 def test_standard_pages_compare_no_pairs_of_notes(sample):
     assert "array_distinct(transform(x" not in planned(render.standard_pages(sample))
+
+
+def test_sections_are_cut_before_the_shuffle(sample):
+    definitions = facts.fallback_definitions(sample)
+    assert planned(render.sections(sample, definitions)).count("WindowGroupLimit") == 2
+
+
+def test_enhanced_pages_gather_no_sources_of_whole_concepts(sample):
+    assert "flatten(collect_list(sources" not in planned(render.enhanced_pages(sample))
