@@ -387,3 +387,14 @@ def test_sections_are_cut_before_the_shuffle(sample):
 
 def test_enhanced_pages_gather_no_sources_of_whole_concepts(sample):
     assert "flatten(collect_list(sources" not in planned(render.enhanced_pages(sample))
+
+
+def test_risk_by_evidence_equals_risk_of_the_joined_facts(spark):
+    rows = spark.createDataFrame([("A", "It increases by 20%"), ("A", "in 1999 and 20011999."), ("B", "Never higher."), ("C", None)], "concept string, content string")
+    pages = spark.createDataFrame([("A", "It decreases. Many studies of 1999, 2000, 2001, 1%, 2%, 3%, 4%, 5%, 6%"), ("B", "always lower"), ("C", "lower")], "concept string, markdown string")
+    bag = rows.groupBy("concept").agg(F.concat_ws(" ", F.collect_list("content")).alias("bag"))
+    joined = pages.join(bag, "concept").join(evaluate.evidence(rows), "concept")
+    for covered in (0.5, 0.65, 0.9):
+        has = {w: F.col(w) for p in evaluate.CONTRADICTIONS for w in p}
+        two = joined.select(evaluate.hallucination_risk(F.col("markdown"), F.col("bag"), F.lit(covered)), evaluate.risk_by_evidence(F.col("markdown"), has, F.col("figures"), F.lit(covered)))
+        assert all(a == b for a, b in two.collect())
