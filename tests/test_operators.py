@@ -398,3 +398,7 @@ def test_risk_by_evidence_equals_risk_of_the_joined_facts(spark):
         has = {w: F.col(w) for p in evaluate.CONTRADICTIONS for w in p}
         two = joined.select(evaluate.hallucination_risk(F.col("markdown"), F.col("bag"), F.lit(covered)), evaluate.risk_by_evidence(F.col("markdown"), has, F.col("figures"), F.lit(covered)))
         assert all(a == b for a, b in two.collect())
+
+
+def test_related_chunks_reads_facts_once(sample):
+    assert "InMemoryRelation" in planned(related.related_by_chunks(sample))
