@@ -402,3 +402,9 @@ def test_risk_by_evidence_equals_risk_of_the_joined_facts(spark):
 
 def test_related_chunks_reads_facts_once(sample):
     assert "InMemoryRelation" in planned(related.related_by_chunks(sample))
+
+
+def test_answered_prompts_are_not_kept(spark):
+    prompts = spark.createDataFrame([(1, 'x\n[{"id": "c", "text": "One. Two."}]')], "batch_id long, prompt string")
+    out = pipeline._asked(prompts, models.rule_extractor(), "extract", pipeline.Options(models.rule_extractor(), models.rule_namer()))
+    assert [(r["prompt"], r["answer"] is None) for r in out.collect()] == [(None, False)]
