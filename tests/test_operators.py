@@ -401,7 +401,7 @@ def test_risk_by_evidence_equals_risk_of_the_joined_facts(spark):
 
 
 def test_related_chunks_reads_facts_once(sample):
-    assert "InMemoryRelation" in planned(related.related_by_chunks(sample))
+    assert "LogicalRDD" not in planned(related.related_by_chunks(sample))  # only what is stored
 
 
 def test_answered_prompts_are_not_kept(spark):
